@@ -111,12 +111,41 @@ def steps(sorted_values: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by (bucket, hash), and the bounds of each bucket in it. The bucket takes the high bits."""
-    order = np.argsort(hashes, kind="stable")
-    cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
-    inner = np.searchsorted(hashes[order], cuts, side="left")
-    return order, np.concatenate([[0], inner, [len(hashes)]]).astype(np.int64)
+def bucket_bits(spark: SparkSession) -> int:
+    """There are 2 ** this many buckets, a few for each shuffle partition."""
+    return max(1, (BUCKETS_PER_PARTITION * partitions(spark) - 1).bit_length())
+
+
+def bounds(sorted_values: np.ndarray, bits: int, size: int = 64) -> np.ndarray:
+    """Where each bucket of sorted values of size bits begins, and the end: the bucket is in the highest bits."""
+    at = np.arange(1 << bits, dtype=np.uint64) << np.uint64(size - bits)
+    return np.append(np.searchsorted(sorted_values, at), len(sorted_values))
+
+
+def answered(edges: np.ndarray, rows: pa.Table) -> np.ndarray:
+    """The buckets' answers (bucket, blob) in the order of the sorted values that a chunk has sent."""
+    out = np.zeros(int(edges[-1]), bool)
+    for b, blob in zip(rows["bucket"].to_pylist(), rows["blob"].to_pylist(), strict=True):
+        n = int(edges[b + 1] - edges[b])
+        out[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+    return out
+
+
+#: What goes to buckets and comes back.
+PACKET = "bucket int, chunk bigint, kind int, blob binary"
+
+
+def packets(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "chunk", "kind", "blob"])
+
+
+def groups(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -200,12 +229,3 @@ def repeats_covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     edge[: len(starts)] += starts.astype(np.int32)
     edge[width : width + len(starts)] -= starts.astype(np.int32)
     return np.cumsum(edge[:n]) > 0
-
-
-def masks(sent_order: np.ndarray, bounds: np.ndarray, answers: dict[int, np.ndarray]) -> np.ndarray:
-    """Puts the answers of the buckets back: a flag for each value that was sent, in the order of the values."""
-    out = np.zeros(len(sent_order), bool)
-    for b, bits in answers.items():
-        lo, hi = bounds[b], bounds[b + 1]
-        out[sent_order[lo:hi]] = np.unpackbits(bits, count=hi - lo).astype(bool)
-    return out

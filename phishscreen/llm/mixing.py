@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of equal source and size that one task ranks, about.
 CELL_ROWS = 20_000
 MAX_STEPS = 60
+#: Starts of the systematic rounding that are tried.
+STARTS = 16
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, max_rate: float) -> list[float]:
@@ -77,8 +79,13 @@ def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cells = cells.join(F.broadcast(dual), "sid").withColumn("rate", F.round(full, 9)).withColumn("base", F.floor("rate").cast("long"))
     part = F.round((F.col("rate") - F.col("base")) * unit).cast("long") * F.col("n")
     before = F.coalesce(F.sum(part).over(Window.partitionBy("sid").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = lambda x: F.floor((x + unit // 2) / F.lit(unit)).cast("long")
-    cells = cells.select("sid", "size", "salt", "rate", "base", (upto(before + part) - upto(before)).alias("more"))
+    cells = cut(cells.select("sid", "size", "salt", "rate", "base", "n", before.alias("before"), (before + part).alias("after")))
+    more = F.floor((F.col("after") + F.col("shift")) / F.lit(unit)).cast("long") - F.floor((F.col("before") + F.col("shift")) / F.lit(unit)).cast("long")
+    # Where systematic rounding starts is free: the start that comes nearest to the target.
+    starts = F.array(*[F.lit(unit * (2 * i + 1) // (2 * STARTS)) for i in range(STARTS)])
+    tried = cells.withColumn("shift", F.explode(starts)).groupBy("sid", "shift").agg(F.sum((F.col("base") * F.col("n") + more) * F.col("size")).alias("took"))
+    nearest = tried.join(F.broadcast(table.select("sid", "target")), "sid").groupBy("sid").agg(F.min_by("shift", F.struct(F.abs(F.col("took") - F.col("target")), "shift")).alias("shift"))
+    cells = cells.join(F.broadcast(nearest), "sid").withColumn("more", more).select("sid", "size", "salt", "rate", "base", "more")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("sid", "size", "salt").orderBy("draw", "doc_id")))
     rows = rows.join(cells, ["sid", "size", "salt"]).withColumn("copies", F.col("base") + (F.col("nth") <= F.col("more")).cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "draw")

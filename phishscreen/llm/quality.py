@@ -30,7 +30,7 @@ MAX_FALSE_REJECT = 0.01
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SLICE_BYTES = 1 << 20
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_chars", "n_alpha_words", "n_distinct")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_chars", "n_alpha_words", "n_doubled")
 STAT_SCHEMA = ", ".join(f"{c} bigint" for c in STATS)
 
 
@@ -59,8 +59,8 @@ def text_statistics(data: np.ndarray, off: np.ndarray, hasher: Hasher, window: i
     prefix = hasher.prefix(data)
     words = hasher.of(prefix, starts, ends)
     doc = np.repeat(np.arange(docs, dtype=np.uint64), n_words) * np.uint64(0xA0761D6478BD642F)
-    seen = np.unique(words ^ doc, return_index=True)[1]
-    distinct = np.bincount(np.repeat(np.arange(docs), n_words)[seen], minlength=docs) if len(seen) else np.zeros(docs, np.int64)
+    doubled = np.zeros(len(words), bool)
+    doubled[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
     repeat = np.zeros(len(starts), bool)
     grams = hasher.windows(hasher.prefix(words), window)
     if len(grams):
@@ -82,7 +82,7 @@ def text_statistics(data: np.ndarray, off: np.ndarray, hasher: Hasher, window: i
     for i in range(docs):
         all_lines = [x for x in raw[off[i] : off[i + 1]].split(b"\n") if x.strip()]
         lines[i], dup[i] = len(all_lines), len(all_lines) - len(set(all_lines))
-    values = (n_words, _sums(lead & ~_SPACES[data], off), _sums(_SYMBOL[data], off), dup, _sums(repeat, first), lines, _sums(_UPPER[data], off), _sums(_BANG[data], off), _sums(lead, off), _sums(letters[ends] > letters[starts], first), distinct)
+    values = (n_words, _sums(lead & ~_SPACES[data], off), _sums(_SYMBOL[data], off), dup, _sums(repeat, first), lines, _sums(_UPPER[data], off), _sums(_BANG[data], off), _sums(lead, off), _sums(letters[ends] > letters[starts], first), _sums(doubled, first))
     return dict(zip(STATS, values, strict=True))
 
 
@@ -118,7 +118,7 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     """The statistics as rates, which don't depend on the length of the text."""
     s = {k: np.asarray(v, np.float64) for k, v in stats.items()}
     words, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["n_chars"], 1), np.maximum(s["n_lines"], 1)
-    return np.column_stack([s["n_symbols"] / words, s["n_bangs"] / words, s["n_upper"] / chars, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, 1 - s["n_alpha_words"] / words])
+    return np.column_stack([s["n_symbols"] / words, s["n_bangs"] / words, s["n_upper"] / chars, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, 1 - s["n_alpha_words"] / words, s["n_doubled"] / words])
 
 
 def _c(n: np.ndarray) -> np.ndarray:
@@ -135,24 +135,27 @@ class Forest:
     rows: int
 
     @classmethod
-    def grow(cls, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
+    def grow(cls, x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
+        """Splits are drawn from the box between low and high, which may be wider than the rows: what lies in a part of the
+        box without rows is set apart by the first split that cuts the part off."""
         rng, out = np.random.default_rng(seed), []
         rows = min(rows, len(x))
         limit = int(np.ceil(np.log2(max(rows, 2))))
         for _ in range(trees):
             nodes: list[list] = [[-1, 0.0, 0, 0.0]]
-            todo = [(0, x[rng.choice(len(x), rows, replace=False)], 0)]
+            todo = [(0, x[rng.choice(len(x), rows, replace=False)], 0, low, high)]
             while todo:
-                at, part, depth = todo.pop()
-                spread = np.flatnonzero(part.max(0) > part.min(0)) if len(part) > 1 else []
-                if depth >= limit or not len(spread):
+                at, part, depth, lo, hi = todo.pop()
+                spread = np.flatnonzero(hi > lo)
+                if depth >= limit or len(part) <= 1 or not len(spread):
                     nodes[at][3] = depth + float(_c(len(part)))
                     continue
                 f = int(rng.choice(spread))
-                v = float(rng.uniform(part[:, f].min(), part[:, f].max()))
-                below = part[:, f] <= v
+                v = float(rng.uniform(lo[f], hi[f]))
+                below, cut_hi, cut_lo = part[:, f] <= v, hi.copy(), lo.copy()
+                cut_hi[f] = cut_lo[f] = v
                 nodes[at] = [f, v, len(nodes), 0.0]
-                todo += [(len(nodes), part[below], depth + 1), (len(nodes) + 1, part[~below], depth + 1)]
+                todo += [(len(nodes), part[below], depth + 1, lo, cut_hi), (len(nodes) + 1, part[~below], depth + 1, cut_lo, hi)]
                 nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
             cols = list(zip(*nodes, strict=True))
             out.append((np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), np.array(cols[3])))
@@ -183,7 +186,7 @@ class Model:
         if not good.any() or good.all():
             return cls(None, np.inf)
         x = features(stats)
-        forest = Forest.grow(x[good])
+        forest = Forest.grow(x[good], x.min(0), x.max(0))
         score = forest.scores(x)
         cuts = np.unique(score)
         mids = (cuts[1:] + cuts[:-1]) / 2
