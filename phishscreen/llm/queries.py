@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, substring_dedup, suffix_dedup, url_filter
+from . import bpe, line_dedup, mixing, quality, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -70,5 +75,26 @@ select page_id, host, path, case {' '.join(f"when {_FITS[n]} then '{n}'" for n,
 from parts"""
 
 
+_BLANKS = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"
+OP10_SQL = f"""
+with split as (select doc_id, string_split(text, chr(10)) as ls from documents),
+raw as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as lno from split),
+marked as (select *, trim(line, {_BLANKS}) as body from raw),
+lines as (select *, row_number() over (partition by doc_id order by lno) as nth, len(regexp_split_to_array(body, '[ \t\x0b\x0c\r]+')) as words
+  from marked where body <> ''),
+runs as (select *, lead(body, 1) over w as b2, lead(body, 2) over w as b3 from lines window w as (partition by doc_id order by nth)),
+first3 as (select *, row_number() over (partition by body, b2, b3 order by doc_id, nth) as k from runs where b3 is not null),
+first1 as (select *, row_number() over (partition by body order by doc_id, nth) as k from lines where words >= 50),
+gone as (select doc_id, nth + i as nth from first3, range(3) as t(i) where k > 1 union select doc_id, nth from first1 where k > 1),
+judged as (select l.*, g.nth is not null as goes from lines l left join gone g on g.doc_id = l.doc_id and g.nth = l.nth),
+starts as (select doc_id, count(*) as n_lines, count(*) filter (goes) as n_removed,
+  count(*) filter (goes and not before) as n_runs from (select *, coalesce(lag(goes) over (partition by doc_id order by nth), false) as before from judged) group by doc_id),
+followed as (select m.doc_id, m.lno, m.line, coalesce(last_value(j.goes ignore nulls) over (partition by m.doc_id order by m.lno rows between unbounded preceding and current row), false) as goes
+  from marked m left join judged j on j.doc_id = m.doc_id and j.lno = m.lno),
+kept as (select doc_id, string_agg(line, chr(10) order by lno) as t from followed where not goes group by doc_id)
+select d.doc_id, coalesce(s.n_lines, 0)::bigint as n_lines, coalesce(s.n_removed, 0)::bigint as n_removed, coalesce(s.n_runs, 0)::bigint as n_runs, sha256(coalesce(k.t, '')) as kept_sha256
+from documents d left join starts s on s.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op10_line_dedup": OP10_SQL, "op4_url_filter": OP4_SQL}

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import PACKET, Hasher, answered, bounds, bucket_bits, chunked, groups, pack, packets, repeats_covered, sorted_chunk, steps, unpack, window_room, word_spans
+from .base import PACKET, Hasher, answered, bounds, bucket_bits, chunked, groups, pack, packets, sorted_chunk, steps, unpack, window_room, word_spans
 
 WIDTH = 20
 #: Bits of a block's fingerprint inside its bucket. A false hit only costs the comparison that follows.
@@ -48,6 +48,11 @@ class Windows:
         inside = places - np.repeat(self.first[:-1], self.counts)[places] if len(places) else places
         return places, marks, inside % self.block == 0
 
+    def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, width and hash of each window that counts as a repeat if it occurs earlier."""
+        starts = np.flatnonzero(window_room(self.first, self.width))
+        return starts, np.full(len(starts), self.width), self.hasher.windows(self.prefix, self.width)[starts]
+
     def probe(self, key: tuple, chunk: pa.Table) -> pa.Table:
         self.read(chunk)
         _, marks, anchor = self.blocks()
@@ -75,34 +80,36 @@ class Windows:
         near = np.zeros(self.n + 1, np.int64)
         near[1:][places] = hit
         np.cumsum(near, out=near)
-        reach = self.width - self.block + 1
-        full = np.flatnonzero(window_room(self.first, self.width))
-        full = full[near[full + reach] > near[full]]
-        flags = np.zeros(self.n, bool)
-        flags[full] = True
-        hashes, first = np.unique(self.hasher.windows(self.prefix, self.width)[full], return_index=True)
-        owner = self.keys[np.searchsorted(self.first, full[first], "right") - 1]
+        starts, widths, windows = self.full()
+        kept = near[starts + widths - self.block + 1] > near[starts]
+        hashes, first = np.unique(windows[kept], return_index=True)
+        first = starts[kept][first]
+        owner = self.keys[np.searchsorted(self.first, first, "right") - 1]
         edges = bounds(hashes, self.bits)
-        out = [(int(key[0].as_py()) % (1 << self.bits), key[0].as_py(), 1, pack(np.packbits(flags)))]
+        out = [(int(key[0].as_py()) % (1 << self.bits), key[0].as_py(), 1, pack(np.packbits(kept)))]
         for b in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[b], edges[b + 1])
             out.append((b, key[0].as_py(), 0, pack(steps(hashes[part]), owner[part])))
         return packets(out)
 
+    def gone(self, later: pa.Table) -> np.ndarray:
+        """Which words (or other units) are covered by a window that occurs earlier."""
+        kinds = later["kind"].to_numpy()
+        if not (kinds == 1).any():
+            return np.zeros(self.n, bool)
+        starts, widths, windows = self.full()
+        flags = unpack(later["blob"][int(np.flatnonzero(kinds == 1)[0])].as_py())[0]
+        kept = np.unpackbits(flags, count=len(starts)).astype(bool)
+        starts, widths = starts[kept], widths[kept]
+        hashes, first, back = np.unique(windows[kept], return_index=True, return_inverse=True)
+        again = answered(bounds(hashes, self.bits), later.filter(pa.array(kinds == 0)))[back]
+        again |= first[back] != np.arange(len(starts))
+        edge = np.bincount(starts[again], minlength=self.n + 1) - np.bincount((starts + widths)[again], minlength=self.n + 1)
+        return np.cumsum(edge[: self.n]) > 0
+
     def remove(self, key: tuple, chunk: pa.Table, later: pa.Table) -> pa.Table:
         self.read(chunk)
-        gone = np.zeros(self.n, bool)
-        kinds = later["kind"].to_numpy()
-        if (kinds == 1).any():
-            flags = unpack(later["blob"][int(np.flatnonzero(kinds == 1)[0])].as_py())[0]
-            full = np.flatnonzero(np.unpackbits(flags, count=self.n))
-            windows = self.hasher.windows(self.prefix, self.width)[full]
-            hashes, first, back = np.unique(windows, return_index=True, return_inverse=True)
-            again = answered(bounds(hashes, self.bits), later.filter(pa.array(kinds == 0)))[back]
-            again |= first[back] != np.arange(len(full))
-            start = np.zeros(self.n, bool)
-            start[full[again]] = True
-            gone = repeats_covered(start, self.width, self.n)
+        gone = self.gone(later)
         removed, spans, texts = [], [], []
         raw = self.data.tobytes()
         for i in range(len(self.ids)):
@@ -165,12 +172,16 @@ def _answers(rows: pa.Table, sizes: list[int], flags: np.ndarray) -> pa.Table:
     return packets(out)
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept_text): without the words of windows that occur earlier; spans are maximal runs of removed words."""
+def exchange(docs: DataFrame, by: Windows, result: str, id_col: str, text_col: str) -> DataFrame:
+    """Chunks probe the buckets, extend their hits, learn which windows occur earlier, and cut those out."""
     chunks = chunked(docs, id_col, text_col)
-    by = Windows(width, bucket_bits(docs.sparkSession))
     probes = chunks.groupBy("chunk").applyInArrow(lambda k, t: by.probe(k, t), PACKET)
     hits = probes.groupBy("bucket").applyInArrow(lambda k, t: match_blocks(k, t), PACKET)
     windows = chunks.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda k, a, b: by.extend(k, a, b), PACKET)
     later = windows.groupBy("bucket").applyInArrow(lambda k, t: first_windows(k, t), PACKET)
-    return chunks.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(lambda k, a, b: by.remove(k, a, b), RESULT)
+    return chunks.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(lambda k, a, b: by.remove(k, a, b), result)
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, kept_text): without the words of windows that occur earlier; spans are maximal runs of removed words."""
+    return exchange(docs, Windows(width, bucket_bits(docs.sparkSession)), RESULT, id_col, text_col)
