@@ -1,31 +1,54 @@
-"""A training-data pipeline of five stages over documents."""
+"""A training-data pipeline over documents, in five stages that each read all their predecessor kept.
+
+The forest of the quality rules and the rounding of the mix have no SQL form, so ORACLE_SQL is None and the stages are
+tested against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phishscreen.llm import bpe, mixing, quality, queries
+from phishscreen.llm import bpe, line_dedup, mixing, ngram_join, quality, queries
 
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.filter_docs(docs, queries.table(spark, sf_dir, "labels"))
 
 
-def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.filter_docs(docs, queries.table(spark, sf_dir, "labels"))
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines go from the texts, and documents of which nothing is left."""
+    return line_dedup.dedup_docs(docs)
+
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_join.dedup_docs(docs)
 
-def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay, go or are repeated, so that sources have their target shares."""
     return mixing.apply_mix(docs)
 
 
-def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, ids, n_tokens): the texts as token ids."""
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), queries.codec()).drop("text")
 
 
-STAGES = [("quality rules", stage_quality), ("mixing", stage_mix), ("encoding", stage_encode)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing to target weights", mix_stage),
+    ("byte-level BPE encoding", encode_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

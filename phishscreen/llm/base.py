@@ -43,28 +43,33 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (chunk, doc_id, text), exchanged by chunk; one chunk has about chunk_bytes of text, null text becomes empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, rest: bool = False) -> DataFrame:
+    """Rows (chunk, doc_id, text), exchanged by chunk; one chunk has about chunk_bytes of text, null text becomes empty. With
+    rest a column of that name holds the whole row but for its text."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if rest else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, -(-int(total) // chunk_bytes))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    return rows.select(key, "doc_id", "text").repartition(partitions(docs.sparkSession), "chunk")
+    return rows.select(key, *rows.columns).repartition(partitions(docs.sparkSession), "chunk")
 
 
 def sorted_chunk(table: pa.Table) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
     """The rows of a chunk in a fixed order: doc ids (null as the smallest), ids as Python values, bytes, offsets."""
-    import pyarrow.compute as pc
-
-    table = table.select(["doc_id", "text"]).combine_chunks()
-    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
-    table = table.take(order)
+    table = table.take(chunk_order(table))
     ids = table["doc_id"].to_pylist()
     keys = np.array([np.iinfo(np.int64).min if x is None else x for x in ids], dtype=np.int64)
     data, off = utf8(table["text"])
     return keys, ids, data, off
 
 
+def chunk_order(table: pa.Table) -> pa.Array:
+    import pyarrow.compute as pc
+
+    keys = table.select(["doc_id", "text"]).combine_chunks()
+    return pc.sort_indices(keys, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import bucket_bits, groups, sorted_chunk, window_room, word_spans
+from .base import bucket_bits, chunk_order, groups, sorted_chunk, window_room, word_spans
 from .substring_dedup import BLOCK_BITS, Windows, exchange
 
 MIN_LINES, LONG_WORDS = 3, 50
-RESULT = "doc_id bigint, draw bigint, n_lines bigint, n_removed bigint, n_runs bigint, kept_text string"
+RESULT = "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, kept_text string"
 
 
 class LineRuns(Windows):
@@ -83,9 +84,22 @@ class LineRuns(Windows):
                 text = b"\n".join(kept)
             texts.append(text.decode("utf-8", "replace"))
         longs = lambda x: pa.array(x, pa.int64())
-        return pa.table({"doc_id": longs(self.ids), "draw": longs([key[0].as_py()] * len(self.ids)), "n_lines": longs(self.counts.tolist()), "n_removed": longs(removed), "n_runs": longs(runs), "kept_text": pa.array(texts, pa.string())})
+        out = pa.table({"doc_id": longs(self.ids), "n_lines": longs(self.counts.tolist()), "n_removed": longs(removed), "n_runs": longs(runs), "kept_text": pa.array(texts, pa.string())})
+        return out.append_column("rest", chunk["rest"].take(chunk_order(chunk))) if "rest" in chunk.column_names else out
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, kept_text): without the runs of lines that occur earlier; n_runs are maximal."""
-    return exchange(docs, LineRuns(min_lines, long_words, bucket_bits(docs.sparkSession)), RESULT, id_col, text_col).drop("draw")
+    return exchange(docs, LineRuns(min_lines, long_words, bucket_bits(docs.sparkSession)), RESULT, id_col, text_col)
+
+
+def dedup_docs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with the text that is left, and chars_col, if docs has it, the number of its characters. Rows all of whose lines
+    were deleted go; other columns are unchanged. Null texts come back empty."""
+    if not [c for c in docs.columns if c != text_col]:
+        raise ValueError("no id column")
+    rest = T.StructType([f for f in docs.schema.fields if f.name != text_col])
+    result = T.StructType([*T.StructType.fromDDL(RESULT).fields, T.StructField("rest", rest)])
+    out = exchange(docs, LineRuns(min_lines, long_words, bucket_bits(docs.sparkSession)), result, id_col, text_col, rest=True)
+    column = {text_col: F.col("kept_text"), chars_col: F.length("kept_text").cast("bigint")}
+    return out.where("n_lines = 0 or n_removed < n_lines").select(*[column.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])

@@ -26,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Hasher, bounds, cut, groups, lowered, mixed, pack, partitions, steps, unpack, utf8, window_room, word_spans
 from .components import components
 from .quality import slices
 
-N, PERCENT = 4, 85
+N, PERCENT = 5, 80
 SLICE_BYTES = 4 << 20
 SIG_BITS = 32
 #: One in so many segments has its one-deletion neighbourhoods indexed, for probes to raise.
@@ -188,8 +188,8 @@ def _compare(n: int, percent: int):
 
 
 def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rec, n_shingles); rec is null for empty sets."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, draw, rec, n_shingles); draw is a hash of the row, rec is null for empty sets."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -198,9 +198,9 @@ def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str =
             for lo, hi in slices(off):
                 sets, edge = record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n)
                 sizes = np.diff(edge)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(record_ids(sets, edge), mask=sizes == 0), pa.array(sizes)], names=["doc_id", "rec", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("draw").slice(lo, hi - lo), pa.array(record_ids(sets, edge), mask=sizes == 0), pa.array(sizes)], names=["doc_id", "draw", "rec", "n_shingles"])
 
-    return rows.mapInArrow(run, "doc_id bigint, rec bigint, n_shingles bigint")
+    return rows.mapInArrow(run, "doc_id bigint, draw bigint, rec bigint, n_shingles bigint")
 
 
 def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_col: str) -> DataFrame:
@@ -245,8 +245,8 @@ def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_c
     return found.groupBy("grp", "part").agg(F.first("lead").alias("lead"), F.sum("times").alias("times"), F.first("recs").alias("recs"), F.first("probes").alias("probes"))
 
 
-def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents whose sets have a Jaccard similarity of percent / 100 or more are linked."""
+def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """records() with component, the smallest record that links lead to; null for empty sets."""
     owned = cut(records(docs, n, id_col, text_col))
     largest = owned.agg(F.max("n_shingles")).first()[0] or 0
     found = cut(candidate_groups(docs, largest, n, percent, text_col))
@@ -283,7 +283,23 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "
     cross = cross.select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     links = sure.unionByName(linked(cut(cross)))
     joined = components(links)
-    owned = owned.join(joined.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
+    return owned.join(joined.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
+
+
+def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents whose sets have a Jaccard similarity of percent / 100 or more are linked."""
+    owned = joined_records(docs, n, percent, id_col, text_col)
     least = owned.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = owned.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def dedup_docs(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id, and all rows without a word; columns unchanged. Text is shuffled once."""
+    owned = cut(joined_records(docs, n, percent, id_col, text_col))
+    first = owned.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("m"))
+    kept = first.select(F.col("m.draw").alias("__draw"), F.lit(True).alias("__one")).distinct()
+    empty = owned.where("component is null").select(F.col("draw").alias("__draw"), F.lit(False).alias("__one")).distinct()
+    rows = docs.withColumn("__draw", F.xxhash64(id_col, text_col))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__draw").orderBy("__draw")))
+    return rows.join(kept.unionByName(empty), "__draw").where("__nth = 1 or not __one").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -172,9 +172,9 @@ def _answers(rows: pa.Table, sizes: list[int], flags: np.ndarray) -> pa.Table:
     return packets(out)
 
 
-def exchange(docs: DataFrame, by: Windows, result: str, id_col: str, text_col: str) -> DataFrame:
+def exchange(docs: DataFrame, by: Windows, result: str, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
     """Chunks probe the buckets, extend their hits, learn which windows occur earlier, and cut those out."""
-    chunks = chunked(docs, id_col, text_col)
+    chunks = chunked(docs, id_col, text_col, rest=rest)
     probes = chunks.groupBy("chunk").applyInArrow(lambda k, t: by.probe(k, t), PACKET)
     hits = probes.groupBy("bucket").applyInArrow(lambda k, t: match_blocks(k, t), PACKET)
     windows = chunks.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda k, a, b: by.extend(k, a, b), PACKET)
