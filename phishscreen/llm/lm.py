@@ -29,7 +29,7 @@ from .quality import slices
 
 HELD_OUT, ALPHA = 10, 0.1
 VOCABULARY, CLASS_WORDS, HIDDEN = 2047, 64, 24
-STREAMS, WINDOW, ROUNDS, RATE = 256, 16, 2, 0.05
+STREAMS, WINDOW, STREAM_WINDOWS, ROUNDS, RATE = 256, 16, 64, 2, 0.05
 CHUNK_BYTES, FAN_IN = 4 << 20, 16
 #: Stands for the end of a document among the hashes of words.
 END = np.uint64(0xE0D)
@@ -248,14 +248,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def train_texts(net: Network, vocab: Vocabulary, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
     """Trains on token arrays as they come: enough tokens for the streams are gathered, then run through window by window."""
-    trainer, seen, need = Trainer(net), 0, STREAMS * WINDOW * 16
+    trainer, seen, need = Trainer(net), 0, STREAMS * WINDOW * STREAM_WINDOWS
     ids, begins, held = [], [], 0
     end = int(vocab.ids(np.array([END]))[0])
 
     def run() -> int:
         y, new = np.concatenate(ids), np.concatenate(begins)
         x = np.append(end, y[:-1])
-        streams = max(1, min(STREAMS, len(y) // WINDOW))
+        streams = max(1, min(STREAMS, len(y) // (WINDOW * STREAM_WINDOWS)))
         length = len(y) // streams
         x, y, new = (a[: streams * length].reshape(streams, length).T for a in (x, y, new))
         h = np.zeros((streams, HIDDEN), np.float32)
