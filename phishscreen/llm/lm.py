@@ -28,7 +28,7 @@ from .base import PACKET, Hasher, bounds, bucket_bits, chunked, cut, groups, low
 from .quality import slices
 
 HELD_OUT, ALPHA = 10, 0.1
-VOCABULARY, CLASS_WORDS, HIDDEN = 2047, 64, 24
+VOCABULARY, CLASS_WORDS, HIDDEN = 2047, 64, 16
 STREAMS, WINDOW, STREAM_WINDOWS, ROUNDS, RATE = 256, 16, 64, 2, 0.05
 CHUNK_BYTES, FAN_IN = 4 << 20, 16
 #: Stands for the end of a document among the hashes of words.
