@@ -10,10 +10,9 @@ holds many to distance one (equal, or one n-gram more or less on either side), w
 argument at H + 1. Where there are not enough segments to raise, it doesn't skip.
 
 Signatures meet in buckets as packed arrays. Records with a common signature are a group; groups are sets of candidates.
-First each record is compared with the one it shares most groups with, then, once those links have been joined to
-components, all pairs of a group that are still in different components are compared, none left out. Pairs inside a
-component change nothing and are not built, so a large group of near copies costs one comparison a member. Comparisons
-count the common n-grams of whole texts.
+Each record joins the clusters of two leaders, the one it shares most groups with and the one that most share with, and all pairs of a cluster are compared at once, as
+a product of matrices over whole texts, of which only joining links come back. Then all pairs that have a signature in
+common and are neither in one cluster nor in one component are compared one by one, none left out.
 
 Null texts, and texts without a word, have an empty set and link with nothing. Texts with fewer words than n are one
 n-gram, the whole sequence. Repeated rows are equal sets. Null ids are smaller than none: a component's id is its smallest
@@ -42,6 +41,8 @@ RAISED = 16
 SKIP_AT_MOST = 1
 #: Members of a group in one row.
 ROW_MEMBERS = 4096
+#: Members of a cluster that are compared at once with each other, or with as many; columns of the matrix at a time.
+TILE, COLUMNS = 512, 8192
 _NEAR = np.uint64(0x5851F42D4C957F2D)
 _COUNT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -162,10 +163,10 @@ def match(key: tuple, rows: pa.Table) -> pa.Table:
         own, probe = recs[part], roles[part] & PROBE > 0
         name = int(mixed(np.array([np.bitwise_xor.reduce(mixed(own.view(np.uint64) + probe.astype(np.uint64)))], np.uint64)).view(np.int64)[0])
         for lo in range(0, len(own), ROW_MEMBERS):
-            out.append((name, lo, int(own[probe][0]), times, own[lo : lo + ROW_MEMBERS], probe[lo : lo + ROW_MEMBERS]))
-    cols = list(zip(*out, strict=True)) or [()] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["grp", "part", "lead", "times", "recs", "probes"])
+            out.append((name, lo, times, own[lo : lo + ROW_MEMBERS], probe[lo : lo + ROW_MEMBERS]))
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["grp", "part", "times", "recs", "probes"])
 
 
 def _compare(n: int, percent: int):
@@ -204,7 +205,7 @@ def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str =
 
 
 def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_col: str) -> DataFrame:
-    """(grp, part, lead, times, recs, probes): groups of records with a common signature, each different group once."""
+    """(grp, part, times, recs, probes): groups of records with a common signature, each different group once."""
     bands, parts = Bands(percent, largest), partitions(docs.sparkSession)
     bits = max(1, (parts - 1).bit_length())
 
@@ -241,8 +242,41 @@ def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_c
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, blob binary")
-    found = sent.groupBy("bucket").applyInArrow(lambda k, t: match(k, t), "grp bigint, part bigint, lead bigint, times bigint, recs array<bigint>, probes array<boolean>")
-    return found.groupBy("grp", "part").agg(F.first("lead").alias("lead"), F.sum("times").alias("times"), F.first("recs").alias("recs"), F.first("probes").alias("probes"))
+    found = sent.groupBy("bucket").applyInArrow(lambda k, t: match(k, t), "grp bigint, part bigint, times bigint, recs array<bigint>, probes array<boolean>")
+    return found.groupBy("grp", "part").agg(F.sum("times").alias("times"), F.first("recs").alias("recs"), F.first("probes").alias("probes"))
+
+
+def _links_of(texts: list[bytes], hasher: Hasher, n: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of texts that are linked, as many as join what the links join: all intersections come from one product of
+    the matrix of texts and of the n-grams that two or more of them hold."""
+    data, off = utf8(pa.array(texts, pa.binary()))
+    sets, edge = record_sets(data, off, hasher, n)
+    sizes = np.diff(edge)
+    grams, column, times = np.unique(sets, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    common, width = np.zeros((len(texts), len(texts)), np.float32), int((times > 1).sum())
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, width, COLUMNS):
+        at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        held = np.zeros((len(texts), min(COLUMNS, width - lo)), np.float32)
+        held[owner[at], column[at] - lo] = 1
+        common += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - common
+    a, b = np.nonzero(np.triu((100 * common >= percent * union) & (union > 0), 1))
+    root, out = list(range(len(texts))), []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = x, y
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
 
 
 def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -250,38 +284,64 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     owned = cut(records(docs, n, id_col, text_col))
     largest = owned.agg(F.max("n_shingles")).first()[0] or 0
     found = cut(candidate_groups(docs, largest, n, percent, text_col))
-    members = found.select("grp", "lead", "times", F.explode(F.arrays_zip("recs", "probes")).alias("m")).select("grp", "lead", "times", F.col("m.recs").alias("rec"), F.col("m.probes").alias("probe"))
+    members = found.select("grp", "times", F.size("recs").alias("size"), F.explode(F.arrays_zip("recs", "probes")).alias("m")).select("grp", "times", "size", F.col("m.recs").alias("rec"), F.col("m.probes").alias("probe"))
+    # who is in the largest and the most groups leads them: of a family of copies, the one that was copied
+    weight = members.groupBy("rec").agg(F.sum(F.col("times") * F.col("size")).alias("weight"))
+    ranked = members.join(weight, "rec")
+    leads = ranked.groupBy("grp").agg(F.max(F.struct("weight", "rec")).alias("lead"))
+    members = cut(ranked.join(leads, "grp").select("grp", F.col("lead.rec").alias("lead"), F.col("lead.weight").alias("weight"), "times", "rec", "probe"))
     used = members.select("rec").distinct()
-    lead = owned.groupBy("rec").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(used, "rec", "left_semi")
+    first = owned.groupBy("rec").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(used, "rec", "left_semi")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("n"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["rec", "n", "z", "s"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    whole = texts.join(lead, "doc_id").dropDuplicates(["rec"]).select("rec", "n", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    draws = owned.groupBy("rec").agg(F.min_by("draw", F.struct("doc_id", "draw")).alias("draw")).join(first.select("rec", "n"), "rec")
+    whole = texts.join(draws, "draw").dropDuplicates(["rec"]).select("rec", "n", "text")
     content = cut(whole.mapInArrow(zipped, "rec bigint, n bigint, z binary, s bigint"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        a = content.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("z").alias("za"), F.col("s").alias("sa"))
-        b = content.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("z").alias("zb"), F.col("s").alias("sb"))
-        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return both.select("a", "b", "za", "sa", "zb", "sb").mapInArrow(_compare(n, percent), "a bigint, b bigint")
-
-    # each record with the leader it meets in most groups
-    met = members.where("rec <> lead").groupBy("rec", "lead").agg(F.sum("times").alias("times"))
-    best = met.groupBy("rec").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"))
-    tried = cut(best.select(F.least("rec", "lead").alias("a"), F.greatest("rec", "lead").alias("b")).distinct())
-    sure = cut(linked(tried))
+    # every record with the leader it shares most groups with, and the leaders themselves: all pairs of such a cluster are
+    # compared in one place, in pairs of tiles if it is large
+    met = members.where("rec <> lead").groupBy("rec", "lead").agg(F.sum("times").alias("times"), F.max("weight").alias("weight"))
+    heavy = F.struct((F.col("times") * F.col("weight").cast("double")).alias("w"), "lead")
+    best = met.groupBy("rec").agg(F.max_by("lead", F.struct("times", "lead")).alias("near"), F.max_by("lead", heavy).alias("heavy"))
+    placed = best.select("rec", F.explode(F.array_distinct(F.array("near", "heavy"))).alias("cluster"))
+    placed = cut(placed.unionByName(placed.select(F.col("cluster").alias("rec"), "cluster")).distinct())
+    homes = placed.groupBy("rec").agg(F.collect_set("cluster").alias("homes"))
+    tiles = placed.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    total = placed.count()
+    tile = F.pmod(F.xxhash64("rec", F.lit(5)), F.col("tiles")).cast("int")
+    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TILE)))
+    small = F.array(F.concat(F.lit("small/"), bin_.cast("string")))
+    large = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least(o, tile).cast("string"), F.greatest(o, tile).cast("string")))
+    dealt = placed.join(tiles, "cluster").select("cluster", "rec", F.explode(F.when(F.col("tiles") == 1, small).otherwise(large)).alias("place"))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        hasher, cluster, rec = Hasher(), rows["cluster"].to_numpy(), rows["rec"].to_numpy()
+        order, out = np.argsort(cluster, kind="stable"), []
+        at = np.append(groups(cluster[order]), len(order))
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = rows.take(pa.array(order[lo:hi]))
+            raw = [pa.decompress(z, decompressed_size=s, codec="zstd", asbytes=True) for z, s in zip(own["z"].to_pylist(), own["s"].to_pylist(), strict=True)]
+            out += [(int(rec[order[lo + x]]), int(rec[order[lo + y]])) for x, y in _links_of(raw, hasher, n, percent)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    sure = cut(dealt.join(content.select("rec", "z", "s"), "rec").groupBy("place").applyInArrow(compare, "a bigint, b bigint"))
     near = components(sure)
+    # what is left: pairs with a common signature in neither one cluster nor one component
     label = members.join(near.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
-    split = cut(label.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("grp"))
-    rest = label.join(split, "grp").select("grp", "rec", "probe", "component").distinct()
+    open_ = label.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("grp")
+    rest = cut(label.join(open_, "grp").select("grp", "rec", "probe", "component").distinct().join(homes, "rec"))
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, F.col("x.grp") == F.col("y.grp")).where("x.rec < y.rec and x.component <> y.component and (x.probe or y.probe)")
-    cross = cross.select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = sure.unionByName(linked(cut(cross)))
+    apart = "x.rec < y.rec and x.component <> y.component and (x.probe or y.probe) and not arrays_overlap(x.homes, y.homes)"
+    cross = x.join(y, F.col("x.grp") == F.col("y.grp")).where(apart).select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct()
+    a = content.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("z").alias("za"), F.col("s").alias("sa"))
+    b = content.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("z").alias("zb"), F.col("s").alias("sb"))
+    both = cut(cross).join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    links = sure.unionByName(both.select("a", "b", "za", "sa", "zb", "sb").mapInArrow(_compare(n, percent), "a bigint, b bigint"))
     joined = components(links)
     return owned.join(joined.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
 
