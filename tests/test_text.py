@@ -23,7 +23,7 @@ CASES = [
     (t.has_bidi, {"a‮b": True, "a‎b": True, "ab": False, None: False}),
     (t.has_zero_width, {"a​b": True, "ab": False}),
     (t.html_to_text, {"<p>a&nbsp;&amp;lt;</p><script>x<b></script>b": "a &lt;\n b", "x&#65;&#12354;&#128512;&#99999999;y": "xAあ😀&#99999999;y", "a<br/>b\n\n\n\nc": "a\nb\n\nc", "　 t　": "t", None: "", "&#39;&quot;": "'\""}),
-    (t.hidden_random_text, {'<div style="display : none">abcdefghij0123456789</div>': True, '<html style="opacity:0"><p style="color:red">short</p></html>': False, '<span style="font-size:0">a b<i>cdefgh</i>ijklmnopqrstuv</span>': True, '<div style="max-height:0">' + "x " * 3000 + "abcdefghij0123456789": False, "<p>abcdefghij0123456789</p>": False}),
+    (t.hidden_random_text, {'<div style="display : none">abcdefghij0123456789</div>': True, '<html style="opacity:0"><p style="color:red">short</p></html>': False, '<span style="font-size:0">a b<i>cdefgh</i>ijklmnopqrstuv</span>': True, '<div style="max-height:0">' + "x! " * 3000 + "abcdefghij0123456789": False, "<p>abcdefghij0123456789</p>": False}),
     (lambda c: t.auth_results(c).cast("string"), {"mx; SPF = softfail dkim=none dmarc=fail": "{softfail, none, fail}", "": "{, , }", None: "{, , }"}),
     (lambda c: t.parse_address(c).cast("string"), {'"A B" <x@Y.com>': "{A B, x@y.com, y.com}", "A x@y.com": "{A, x@y.com, y.com}", "x@y.com": "{, x@y.com, y.com}", "": "{, , }", None: "{, , }", "n <a@b@C.d >": "{n, a@b@c.d, c.d}", "<>": "{, <>, }"}),
     (t.url_host, {"http://U@a.Example.com:80/x": "a.example.com", "https://b.org?q": "b.org", "ftp://c": "", "http://a_b.c/": "a_b.c"}),
