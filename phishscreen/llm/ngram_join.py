@@ -12,7 +12,8 @@ argument at H + 1. Where there are not enough segments to raise, it doesn't skip
 Signatures meet in buckets as packed arrays. Records with a common signature are a group; groups are sets of candidates.
 Each record joins the clusters of two leaders, the one it shares most groups with and the one that most share with, and all pairs of a cluster are compared at once, as
 a product of matrices over whole texts, of which only joining links come back. Then all pairs that have a signature in
-common and are neither in one cluster nor in one component are compared one by one, none left out.
+common and are neither in one cluster nor in one component are compared one by one, none left out but those that their
+sizes, or the parities of their n-grams' places in a table, prove to differ too much.
 
 Null texts, and texts without a word, have an empty set and link with nothing. Texts with fewer words than n are one
 n-gram, the whole sequence. Repeated rows are equal sets. Null ids are smaller than none: a component's id is its smallest
@@ -188,6 +189,38 @@ def _compare(n: int, percent: int):
     return run
 
 
+def parities(sets: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """For each set a bit for every place of a table of at least twice its size: whether an odd number of its n-grams falls there."""
+    out = []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        bits = max(8, (2 * (hi - lo)).bit_length())
+        at = (mixed(sets[lo:hi]) >> np.uint64(64 - bits)).astype(np.int64)
+        out.append(np.packbits(np.bincount(at, minlength=1 << bits) & 1 > 0).tobytes())
+    return out
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At most the number of n-grams that only one of two sets holds: n-grams of both cancel out in the parities."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        wide = np.unpackbits(a).reshape(8 * len(b), -1)
+        a = np.packbits(wide.sum(axis=1) & 1)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _maybe(percent: int):
+    """Keeps the pairs that may be linked, judged by sizes and parities; none that is linked goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * size))
+
+    return run
+
+
 def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, draw, rec, n_shingles); draw is a hash of the row, rec is null for empty sets."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text"))
@@ -294,14 +327,17 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     first = owned.groupBy("rec").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(used, "rec", "left_semi")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
+            data, off = utf8(batch.column("text"))
+            odd = [x for lo, hi in slices(off) for x in parities(*record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n))]
             raw = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("n"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["rec", "n", "z", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("n"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array(odd, pa.binary())], names=["rec", "n", "z", "s", "odd"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     draws = owned.groupBy("rec").agg(F.min_by("draw", F.struct("doc_id", "draw")).alias("draw")).join(first.select("rec", "n"), "rec")
     whole = texts.join(draws, "draw").dropDuplicates(["rec"]).select("rec", "n", "text")
-    content = cut(whole.mapInArrow(zipped, "rec bigint, n bigint, z binary, s bigint"))
+    content = cut(whole.mapInArrow(zipped, "rec bigint, n bigint, z binary, s bigint, odd binary"))
 
     # every record with the leader it shares most groups with, and the leaders themselves: all pairs of such a cluster are
     # compared in one place, in pairs of tiles if it is large
@@ -338,9 +374,14 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     x, y = rest.alias("x"), rest.alias("y")
     apart = "x.rec < y.rec and x.component <> y.component and (x.probe or y.probe) and not arrays_overlap(x.homes, y.homes)"
     cross = x.join(y, F.col("x.grp") == F.col("y.grp")).where(apart).select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct()
-    a = content.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("z").alias("za"), F.col("s").alias("sa"))
-    b = content.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("z").alias("zb"), F.col("s").alias("sb"))
-    both = cut(cross).join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # sizes and parities rule most pairs out before any text is sent
+    a = content.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("odd").alias("pa"))
+    b = content.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("pb"))
+    cross = cut(cross).join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    cross = cut(cross.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_maybe(percent), "a bigint, b bigint"))
+    a = content.select(F.col("rec").alias("a"), F.col("z").alias("za"), F.col("s").alias("sa"))
+    b = content.select(F.col("rec").alias("b"), F.col("z").alias("zb"), F.col("s").alias("sb"))
+    both = cross.join(a, "a").join(b, "b")
     links = sure.unionByName(both.select("a", "b", "za", "sa", "zb", "sb").mapInArrow(_compare(n, percent), "a bigint, b bigint"))
     joined = components(links)
     return owned.join(joined.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))

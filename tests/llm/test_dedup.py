@@ -146,6 +146,19 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == plain_classes(rows, 4, 85)
 
 
+def test_parities_never_overstate_the_difference():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        common = {rng.getrandbits(64) for _ in range(rng.randint(0, 300))}
+        x, y = (common | {rng.getrandbits(64) for _ in range(rng.randint(1, 200))} for _ in range(2))
+        odd = [ngram_join.parities(np.array(sorted(s), np.uint64), np.array([0, len(s)]))[0] for s in (x, y)]
+        assert ngram_join._apart(*odd) <= len(x ^ y)
+
+
 def test_ngram_dedup_docs_keeps_one_of_each_group_and_all_empties(spark):
     text = "one two three four five six seven"
     out = ngram_join.dedup_docs(frame(spark, [(3, text), (1, text), (1, text), (2, "ONE two three four five six seven"), (9, None), (8, ""), (7, "else")]))
