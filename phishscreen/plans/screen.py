@@ -12,12 +12,18 @@ from ..operators.rules import RULES, raw_ip_rule, score_by_rules
 from .settings import Settings
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, past a generator of one row each. The optimizer pushes a filter through projections by putting their
+    expressions into it, again and again for features of features; it doesn't push it through a generator."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def scored(messages: DataFrame, settings: Settings | None = None, dicts: Dictionaries | None = None, decode_words: bool = True) -> DataFrame:
     """Features, rule_hits and score. A pure map: nothing is shuffled."""
     s = settings or Settings()
     rules = tuple(raw_ip_rule() if s.fix_raw_ip and r.id == "rawIpLink" else r for r in RULES)
     features = extract_features(messages, dicts, decode_words).withColumn("self_domain_spoof", self_domain_spoof(s.self_domains))
-    return score_by_rules(features, rules)
+    return settled(score_by_rules(features, rules))
 
 
 def screen(messages: DataFrame, settings: Settings | None = None, dicts: Dictionaries | None = None, answers: DataFrame | None = None, allow: DataFrame | None = None, block: DataFrame | None = None, decode_words: bool = True) -> DataFrame:
