@@ -288,9 +288,9 @@ def log_summary(spark, sf_dir):
     return loganalytics.summary(log(spark, sf_dir))
 
 
-@query(chain("select received_at::date as day, count(*) as total, count(*) filter (verdict = 'spam') as spam from logged group by 1", *SCREEN_SQL))
+@query(chain("select cast(received_at::date as varchar) as day, count(*) as total, count(*) filter (verdict = 'spam') as spam from logged group by 1", *SCREEN_SQL))
 def log_daily(spark, sf_dir):
-    return loganalytics.daily(log(spark, sf_dir))
+    return loganalytics.daily(log(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
 @query(chain("select msg_key, verdict from logged order by received_at desc nulls last, msg_key limit 20", *SCREEN_SQL))
@@ -358,9 +358,9 @@ def _run(spark, sf_dir, step=7):
     return evaluate.evaluation_run(_cases(spark, sf_dir), answers(spark, sf_dir, step), f"r{step}", SETTINGS)
 
 
-@query(chain("select key, label, local_score, model_score, final_score, error from run", *EVAL_SQL))
+@query(chain("select key, label, local_score, coalesce(model_score, -1) as model_score, coalesce(final_score, -1) as final_score, error from run", *EVAL_SQL))
 def evaluation_run(spark, sf_dir):
-    return _run(spark, sf_dir).select("key", "label", "local_score", "model_score", "final_score", "error")
+    return _run(spark, sf_dir).select("key", "label", "local_score", F.coalesce("model_score", F.lit(-1)).alias("model_score"), F.coalesce("final_score", F.lit(-1)).alias("final_score"), "error")
 
 
 @query(chain("select label, count(*) as n, count(*) filter (local_score >= 55) as local_over, count(*) filter (final_score >= 55) as final_over, round(avg(local_score), 1) as mean_local, round(avg(model_score), 1) as mean_model, round(avg(final_score), 1) as mean_final from run where error is null group by label", *EVAL_SQL))
