@@ -10,10 +10,11 @@ holds many to distance one (equal, or one n-gram more or less on either side), w
 argument at H + 1. Where there are not enough segments to raise, it doesn't skip.
 
 Signatures meet in buckets as packed arrays. Records with a common signature are a group; groups are sets of candidates.
-Each record joins the clusters of two leaders, the one it shares most groups with and the one that most share with, and all pairs of a cluster are compared at once, as
-a product of matrices over whole texts, of which only joining links come back. Then all pairs that have a signature in
-common and are neither in one cluster nor in one component are compared one by one, none left out but those that their
-sizes, or the parities of their n-grams' places in a table, prove to differ too much.
+Each record joins the clusters of two leaders, the one it shares most groups with and the one that most share with, and all
+pairs of a cluster are compared at once. Then all pairs that have a signature in common and are neither in one cluster nor in
+one component are compared one by one. Both go in two steps. First sizes, and the parities of the n-grams' places in a table,
+a few bits for each n-gram, prove most pairs to differ too much. Then the texts of records that have a partner left, and no
+others, are sent and compared whole: clusters as a product of matrices, of which only joining links come back.
 
 Null texts, and texts without a word, have an empty set and link with nothing. Texts with fewer words than n are one
 n-gram, the whole sequence. Repeated rows are equal sets. Null ids are smaller than none: a component's id is its smallest
@@ -44,6 +45,10 @@ SKIP_AT_MOST = 1
 ROW_MEMBERS = 4096
 #: Members of a cluster that are compared at once with each other, or with as many; columns of the matrix at a time.
 TILE, COLUMNS = 512, 8192
+#: Ids of texts to compare are broadcast up to so many (of 16 bytes each); more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 250_000
+#: Longs in the short table of parities that every record carries.
+SHORT = 8
 _NEAR = np.uint64(0x5851F42D4C957F2D)
 _COUNT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -209,6 +214,37 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def short_parities(sets: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """As parities(), in a table of SHORT longs, one row for each set."""
+    bits = 64 * SHORT
+    owner = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    at = (mixed(sets) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(owner * bits + at, minlength=(len(edge) - 1) * bits) & 1 > 0
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64).reshape(-1, SHORT)
+
+
+def _partnered(sizes: np.ndarray, odd: list[bytes], percent: int) -> np.ndarray:
+    """Which sets may be linked with another one of them, judged by sizes and parities; none that is linked is missed."""
+    out, width = np.zeros(len(sizes), bool), np.array([len(x) for x in odd])
+    kinds = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    tables = {w: np.frombuffer(b"".join(odd[i] for i in at), np.uint8).reshape(len(at), w) for w, at in kinds.items()}
+    for w, own in kinds.items():
+        for v, other in kinds.items():
+            if v < w or 100 * sizes[own].max() < percent * sizes[other].min():
+                continue
+            table = tables[v]
+            if v > w:  # the larger table is folded
+                table = np.packbits(np.unpackbits(table, axis=1).reshape(len(other), 8 * w, -1).sum(axis=2) & 1, axis=1)
+            longs, rows = np.ascontiguousarray(table).view(np.uint64), np.ascontiguousarray(tables[w]).view(np.uint64)
+            for i, row in zip(own.tolist(), rows, strict=True):
+                apart = np.bitwise_count(longs ^ row).sum(axis=1, dtype=np.int64)
+                fits = ((100 + percent) * apart <= (100 - percent) * (sizes[other] + sizes[i])) & (other != i)
+                if fits.any():
+                    out[i] = True
+                    out[other[fits]] = True
+    return out
+
+
 def _maybe(percent: int):
     """Keeps the pairs that may be linked, judged by sizes and parities; none that is linked goes."""
 
@@ -221,8 +257,12 @@ def _maybe(percent: int):
     return run
 
 
+_SHORT = [f"f{i}" for i in range(SHORT)]
+
+
 def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, draw, rec, n_shingles); draw is a hash of the row, rec is null for empty sets."""
+    """(doc_id, draw, rec, n_shingles, odd, f0, f1, ...): draw is a hash of the row, rec is null for empty sets, the others
+    are parities() and short_parities()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +272,11 @@ def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str =
             for lo, hi in slices(off):
                 sets, edge = record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n)
                 sizes = np.diff(edge)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("draw").slice(lo, hi - lo), pa.array(record_ids(sets, edge), mask=sizes == 0), pa.array(sizes)], names=["doc_id", "draw", "rec", "n_shingles"])
+                short = short_parities(sets, edge)
+                cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("draw").slice(lo, hi - lo), pa.array(record_ids(sets, edge), mask=sizes == 0), pa.array(sizes), pa.array(parities(sets, edge), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(short[:, i]) for i in range(SHORT))], names=["doc_id", "draw", "rec", "n_shingles", "odd", *_SHORT])
 
-    return rows.mapInArrow(run, "doc_id bigint, draw bigint, rec bigint, n_shingles bigint")
+    return rows.mapInArrow(run, "doc_id bigint, draw bigint, rec bigint, n_shingles bigint, odd binary, " + ", ".join(f"{f} bigint" for f in _SHORT))
 
 
 def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_col: str) -> DataFrame:
@@ -312,6 +354,31 @@ def _links_of(texts: list[bytes], hasher: Hasher, n: int, percent: int) -> list[
     return out
 
 
+def _content(docs: DataFrame, owned: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rec, z, s): a compressed text of each wanted record and its size. Other texts aren't sent."""
+    draws = cut(owned.join(wanted, "rec").groupBy("rec").agg(F.min("draw").alias("draw")))
+    if draws.count() <= BROADCAST_ROWS:
+        draws = F.broadcast(draws)
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["rec", "z", "s"])
+
+    return texts.join(draws, "draw").select("rec", "text").mapInArrow(zipped, "rec bigint, z binary, s bigint").dropDuplicates(["rec"])
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(cluster, rec, place): small clusters share places, pairs of tiles of large ones have their own."""
+    tiles = placed.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("rec", F.lit(5)), F.col("tiles")).cast("int")
+    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, placed.count() // TILE)))
+    small = F.array(F.concat(F.lit("small/"), bin_.cast("string")))
+    large = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least(o, tile).cast("string"), F.greatest(o, tile).cast("string")))
+    return placed.join(tiles, "cluster").select("cluster", "rec", F.explode(F.when(F.col("tiles") == 1, small).otherwise(large)).alias("place"))
+
+
 def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """records() with component, the smallest record that links lead to; null for empty sets."""
     owned = cut(records(docs, n, id_col, text_col))
@@ -323,37 +390,29 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     ranked = members.join(weight, "rec")
     leads = ranked.groupBy("grp").agg(F.max(F.struct("weight", "rec")).alias("lead"))
     members = cut(ranked.join(leads, "grp").select("grp", F.col("lead.rec").alias("lead"), F.col("lead.weight").alias("weight"), "times", "rec", "probe"))
-    used = members.select("rec").distinct()
-    first = owned.groupBy("rec").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(used, "rec", "left_semi")
-
-    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            data, off = utf8(batch.column("text"))
-            odd = [x for lo, hi in slices(off) for x in parities(*record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n))]
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("n"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array(odd, pa.binary())], names=["rec", "n", "z", "s", "odd"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    draws = owned.groupBy("rec").agg(F.min_by("draw", F.struct("doc_id", "draw")).alias("draw")).join(first.select("rec", "n"), "rec")
-    whole = texts.join(draws, "draw").dropDuplicates(["rec"]).select("rec", "n", "text")
-    content = cut(whole.mapInArrow(zipped, "rec bigint, n bigint, z binary, s bigint, odd binary"))
+    traits = owned.join(members.select("rec").distinct(), "rec", "left_semi").select("rec", F.col("n_shingles").alias("n"), "odd", *_SHORT)
+    traits = cut(traits.dropDuplicates(["rec"]))
 
     # every record with the leader it shares most groups with, and the leaders themselves: all pairs of such a cluster are
-    # compared in one place, in pairs of tiles if it is large
+    # compared in one place, in pairs of tiles if it is large; first by parities, then the texts that are left
     met = members.where("rec <> lead").groupBy("rec", "lead").agg(F.sum("times").alias("times"), F.max("weight").alias("weight"))
     heavy = F.struct((F.col("times") * F.col("weight").cast("double")).alias("w"), "lead")
     best = met.groupBy("rec").agg(F.max_by("lead", F.struct("times", "lead")).alias("near"), F.max_by("lead", heavy).alias("heavy"))
     placed = best.select("rec", F.explode(F.array_distinct(F.array("near", "heavy"))).alias("cluster"))
     placed = cut(placed.unionByName(placed.select(F.col("cluster").alias("rec"), "cluster")).distinct())
     homes = placed.groupBy("rec").agg(F.collect_set("cluster").alias("homes"))
-    tiles = placed.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    total = placed.count()
-    tile = F.pmod(F.xxhash64("rec", F.lit(5)), F.col("tiles")).cast("int")
-    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TILE)))
-    small = F.array(F.concat(F.lit("small/"), bin_.cast("string")))
-    large = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least(o, tile).cast("string"), F.greatest(o, tile).cast("string")))
-    dealt = placed.join(tiles, "cluster").select("cluster", "rec", F.explode(F.when(F.col("tiles") == 1, small).otherwise(large)).alias("place"))
+
+    def possible(key: tuple, rows: pa.Table) -> pa.Table:
+        cluster, size, odd = rows["cluster"].to_numpy(), rows["n"].to_numpy(), rows["odd"].to_pylist()
+        order = np.argsort(cluster, kind="stable")
+        at, kept = np.append(groups(cluster[order]), len(order)), np.zeros(len(order), bool)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            kept[own] = _partnered(size[own], [odd[i] for i in own.tolist()], percent)
+        return rows.select(["cluster", "rec"]).filter(pa.array(kept))
+
+    left = _dealt(placed).join(traits.select("rec", "n", "odd"), "rec").groupBy("place").applyInArrow(possible, "cluster bigint, rec bigint")
+    left = cut(left.distinct())
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         hasher, cluster, rec = Hasher(), rows["cluster"].to_numpy(), rows["rec"].to_numpy()
@@ -365,25 +424,29 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             out += [(int(rec[order[lo + x]]), int(rec[order[lo + y]])) for x, y in _links_of(raw, hasher, n, percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    sure = cut(dealt.join(content.select("rec", "z", "s"), "rec").groupBy("place").applyInArrow(compare, "a bigint, b bigint"))
+    content = cut(_content(docs, owned, left.select("rec").distinct(), id_col, text_col))
+    sure = cut(_dealt(left).join(content, "rec").groupBy("place").applyInArrow(compare, "a bigint, b bigint"))
     near = components(sure)
     # what is left: pairs with a common signature in neither one cluster nor one component
     label = members.join(near.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
     open_ = label.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("grp")
-    rest = cut(label.join(open_, "grp").select("grp", "rec", "probe", "component").distinct().join(homes, "rec"))
+    rest = label.join(open_, "grp").select("grp", "rec", "probe", "component").distinct().join(homes, "rec")
+    rest = cut(rest.join(traits.select("rec", "n", *_SHORT), "rec"))
     x, y = rest.alias("x"), rest.alias("y")
-    apart = "x.rec < y.rec and x.component <> y.component and (x.probe or y.probe) and not arrays_overlap(x.homes, y.homes)"
-    cross = x.join(y, F.col("x.grp") == F.col("y.grp")).where(apart).select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct()
-    # sizes and parities rule most pairs out before any text is sent
-    a = content.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("odd").alias("pa"))
-    b = content.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("pb"))
-    cross = cut(cross).join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    cross = cut(cross.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_maybe(percent), "a bigint, b bigint"))
+    apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in _SHORT)
+    open_pair = "x.rec < y.rec and x.component <> y.component and (x.probe or y.probe) and not arrays_overlap(x.homes, y.homes)"
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)"
+    cross = x.join(y, F.col("x.grp") == F.col("y.grp")).where(f"{open_pair} and {alike}").select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct()
+    a = traits.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("odd").alias("pa"))
+    b = traits.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("pb"))
+    cross = cut(cross.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_maybe(percent), "a bigint, b bigint"))
+    content = cut(_content(docs, owned, cross.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), id_col, text_col))
     a = content.select(F.col("rec").alias("a"), F.col("z").alias("za"), F.col("s").alias("sa"))
     b = content.select(F.col("rec").alias("b"), F.col("z").alias("zb"), F.col("s").alias("sb"))
     both = cross.join(a, "a").join(b, "b")
     links = sure.unionByName(both.select("a", "b", "za", "sa", "zb", "sb").mapInArrow(_compare(n, percent), "a bigint, b bigint"))
     joined = components(links)
+    owned = owned.select("doc_id", "draw", "rec", "n_shingles")
     return owned.join(joined.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
 
 
