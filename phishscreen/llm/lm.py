@@ -28,7 +28,7 @@ from .base import PACKET, Hasher, bounds, bucket_bits, chunked, cut, groups, low
 from .quality import slices
 
 HELD_OUT, ALPHA = 10, 0.1
-VOCABULARY, CLASS_WORDS, HIDDEN = 2047, 64, 16
+VOCABULARY, CLASS_WORDS, HIDDEN = 2047, 64, 24
 STREAMS, WINDOW, STREAM_WINDOWS, ROUNDS, RATE = 256, 16, 64, 2, 0.05
 CHUNK_BYTES, FAN_IN = 4 << 20, 16
 #: Stands for the end of a document among the hashes of words.
@@ -37,7 +37,12 @@ RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * x.dtype.type(0.5)) * x.dtype.type(0.5) + x.dtype.type(0.5)
+
+
+def _narrow(x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below n in 16 bits if they fit, as these are sorted by radix."""
+    return x.astype(np.uint16) if n <= 1 << 16 else x
 
 
 class Network:
@@ -88,7 +93,7 @@ class Network:
             p[rows, klass] -= 1
             grads = {"cls": p.T @ h, "cls_b": p.sum(axis=0), "out": np.zeros_like(self.out), "out_b": np.zeros_like(self.out_b)}
             dh = p @ self.cls
-        order = np.argsort(klass, kind="stable")
+        order = np.argsort(_narrow(klass, self.classes), kind="stable")
         at = np.searchsorted(klass[order], np.arange(1, self.classes + 1))
         for c in range(1, self.classes):
             idx = order[at[c - 1] : at[c]]
@@ -123,31 +128,40 @@ class Trainer:
 
     def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, float]:
         """One window of (steps, streams); new marks where a document begins. Returns the state after it and the loss."""
-        net, kept, states = self.net, [], []
-        for t in range(len(x)):
-            h = np.where(new[t][:, None], np.float32(0), h)
-            after, r, z, cand, a = net.step(h, x[t])
-            kept.append((h, r, z, cand, a))
-            states.append(after)
-            h = after
-        logp, grads, dh = net.predict(np.concatenate(states), y.ravel(), learn=True)
+        net, kept, (length, streams) = self.net, [], x.shape
+        befores, states = (np.empty((length, streams, HIDDEN), h.dtype) for _ in range(2))
+        gates, into = (np.empty((length, streams, 3 * HIDDEN), h.dtype) for _ in range(2))
+        fresh = new.any(axis=1)
+        for t in range(length):
+            befores[t] = h
+            if fresh[t]:
+                befores[t][new[t]] = 0
+            h, *rest = net.step(befores[t], x[t])
+            states[t] = h
+            kept.append(rest)
+        logp, grads, dh = net.predict(states.reshape(-1, HIDDEN), y.ravel(), learn=True)
         scale = np.float32(1 / y.size)
-        dh = dh.reshape(len(x), -1, HIDDEN)
-        back, rec, into = np.zeros_like(h), np.zeros_like(net.rec), []
-        for t in range(len(x) - 1, -1, -1):
-            before, r, z, cand, a = kept[t]
+        dh = dh.reshape(length, -1, HIDDEN)
+        back, recT = np.zeros_like(h), np.ascontiguousarray(net.rec.T)
+        for t in range(length - 1, -1, -1):
+            r, z, cand, a = kept[t]
             d = dh[t] + back
-            dz = d * (before - cand) * z * (1 - z)
-            dn = d * (1 - z) * (1 - cand * cand)
-            dr = dn * a * r * (1 - r)
-            gate = np.concatenate([dr, dz, dn * r], axis=1)
-            rec += before.T @ gate
-            back = np.where(new[t][:, None], np.float32(0), d * z + gate @ net.rec.T)
-            into.append(np.concatenate([dr, dz, dn], axis=1))
-        words = x[::-1].ravel()
-        order = np.argsort(words, kind="stable")
+            keep = d * z
+            dn = (d - keep) * (1 - cand * cand)
+            pulled = dn * r
+            gate = gates[t]
+            gate[:, :HIDDEN] = dn * a * r * (1 - r)
+            gate[:, HIDDEN : 2 * HIDDEN] = keep * (befores[t] - cand) * (1 - z)
+            gate[:, 2 * HIDDEN :] = pulled
+            into[t, :, : 2 * HIDDEN], into[t, :, 2 * HIDDEN :] = gate[:, : 2 * HIDDEN], dn
+            back = keep + gate @ recT
+            if fresh[t]:
+                back[new[t]] = 0
+        rec = befores.reshape(-1, HIDDEN).T @ gates.reshape(-1, 3 * HIDDEN)
+        words = x.ravel()
+        order = np.argsort(_narrow(words, net.n), kind="stable")
         at = groups(words[order])
-        self._move("inp", np.add.reduceat(np.concatenate(into)[order], at) * scale, words[order][at])
+        self._move("inp", np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], at) * scale, words[order][at])
         self._move("rec", rec * scale)
         for k, g in grads.items():
             self._move(k, (g * scale).astype(np.float32))

@@ -235,6 +235,11 @@ def test_lm_is_a_distribution_and_gradients_are_right():
         at += full.size
 
 
+def test_lm_has_24_state_units_in_every_parameter():
+    net = lm.Network(np.array([5.0, 9, 4, 3]))
+    assert (net.inp.shape[1], net.rec.shape, net.cls.shape[1], net.out.shape[1]) == (72, (24, 72), 24, 24)
+
+
 def test_lm_carries_state_through_whole_documents():
     net = lm.Network(np.array([5.0, 9, 4, 3]))
     ids, first = np.array([1, 2, 3, 1, 2, 2, 1]), np.array([0, 5, 7])
