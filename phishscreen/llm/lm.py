@@ -1,11 +1,15 @@
 """Scoring documents with a gated recurrent language model.
 
 Words are counted over all training documents by the exchange of chunks and buckets; that gives the smoothed unigram base.
-The most frequent words are the model's vocabulary, all others are one symbol that is spelled by the base's probability
-among them, so the model gives every text a probability. The model is a small gated recurrent unit in numpy. Its softmax
-is factored: a class, then a word of the class. Training cuts the documents of a partition into parallel streams and runs
+The model's vocabulary grows with the corpus: of N tokens it holds every word that occurs sqrt(N) / RARE times or more, and
+at least the VOCABULARY most frequent ones, so at most VOCABULARY + RARE sqrt(N) words. All others are one symbol that is
+spelled by the base's probability among them, so the model gives every text a probability. The model is a small gated
+recurrent unit in numpy. Its softmax is factored: a class, then a word of the class; classes hold about 2 sqrt(rank) words,
+so both steps take some sqrt(V). A task holds 4 HIDDEN + 2 floats for each of V words and as many sums of Adagrad, 784 V
+bytes, and gradients of the output. Training cuts the documents of a partition into parallel streams and runs
 truncated backpropagation over short windows, the state carried from window to window and cleared where a document
-begins; every training document is used once. Each task trains from the same start on its own documents, the results are
+begins; tokens that don't fill all streams go on to the next buffer, the very last ones are a shorter window, so every token
+of every training document is used once. Each task trains from the same start on its own documents, the results are
 averaged in a tree, and the next round goes on from there with other documents. Scoring carries the state through each
 whole document.
 
@@ -17,6 +21,7 @@ smoothing alone. An empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt, sqrt
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +33,7 @@ from .base import PACKET, Hasher, bounds, bucket_bits, chunked, cut, groups, low
 from .quality import slices
 
 HELD_OUT, ALPHA = 10, 0.1
-VOCABULARY, CLASS_WORDS, HIDDEN = 2047, 64, 24
+VOCABULARY, RARE, CLASS_WORDS, HIDDEN = 2047, 8, 64, 24
 STREAMS, WINDOW, STREAM_WINDOWS, ROUNDS, RATE = 256, 16, 64, 2, 0.05
 CHUNK_BYTES, FAN_IN = 4 << 20, 16
 #: Stands for the end of a document among the hashes of words.
@@ -53,8 +58,11 @@ class Network:
     def __init__(self, counts: np.ndarray, seed: int = 3) -> None:
         """counts: of each word in training, for the biases to start as the unigram model."""
         rng, n = np.random.default_rng(seed), len(counts)
-        self.n, self.klass = n, np.concatenate([[0], 1 + np.arange(n - 1) // CLASS_WORDS]).astype(np.int64)
-        self.classes = int(self.klass[-1]) + 1
+        self.n, edges = n, [0, 1]
+        while edges[-1] < n:
+            edges.append(min(n, edges[-1] + max(CLASS_WORDS, 2 * isqrt(edges[-1]))))
+        self.edges, self.classes = edges, len(edges) - 1
+        self.klass = np.repeat(np.arange(self.classes), np.diff(edges))
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.inp, self.rec = draw(n, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN)
         self.cls, self.out = draw(self.classes, HIDDEN), draw(n, HIDDEN)
@@ -99,8 +107,7 @@ class Network:
             idx = order[at[c - 1] : at[c]]
             if not len(idx):
                 continue
-            lo = 1 + (c - 1) * CLASS_WORDS
-            hi = min(lo + CLASS_WORDS, self.n)
+            lo, hi = self.edges[c], self.edges[c + 1]
             own = h[idx]
             q = own @ self.out[lo:hi].T + self.out_b[lo:hi]
             q -= q.max(axis=1, keepdims=True)
@@ -230,8 +237,14 @@ class Counter:
         return packets([(b, key[0].as_py(), 0, pack(steps(self.known[part]), times[part])) for b in np.flatnonzero(np.diff(self.edges)).tolist() for part in [slice(self.edges[b], self.edges[b + 1])]])
 
 
+def least_count(tokens: int) -> float:
+    """Words that occur as often are in the vocabulary."""
+    return max(1.0, sqrt(tokens) / RARE)
+
+
 def total(key: tuple, rows: pa.Table) -> pa.Table:
-    """Answers each chunk with the counts over all training documents; one row of kind 2 has the most frequent words and sums."""
+    """Answers each chunk with the counts over all training documents; one row of kind 2 has the sums and all words
+    that the vocabulary may hold: by the bucket's own tokens, which are no more than all, a word's least count is no higher."""
     parts = [unpack(x) for x in rows["blob"].to_pylist()]
     sizes = [len(p[0]) for p in parts]
     words = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
@@ -241,7 +254,8 @@ def total(key: tuple, rows: pa.Table) -> pa.Table:
     for b, chunk, n in zip(rows["bucket"].to_pylist(), rows["chunk"].to_pylist(), sizes, strict=True):
         out.append((b, chunk, 0, pack(sums[back[at : at + n]])))
         at += n
-    top = np.lexsort((known, -sums))[:VOCABULARY]
+    top = np.lexsort((known, -sums))
+    top = top[: max(VOCABULARY, int((sums >= least_count(int(sums.sum()))).sum()))]
     top = top[sums[top] > 0]
     out.append((b, -1, 2, pack(known[top], sums[top], np.array([sums.sum(), (sums > 0).sum()], np.int64))))
     return packets(out)
@@ -256,7 +270,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
     rows = counts.where("kind = 2").select("blob").mapInArrow(run, "word bigint, times bigint, tokens bigint, distinct bigint")
     sums = rows.agg(F.sum("tokens"), F.sum("distinct")).first()
-    top = rows.where("times > 0").orderBy(F.desc("times"), "word").limit(VOCABULARY).select("word", "times").toArrow()
+    words = rows.where("times > 0").select("word", "times")
+    top = words.where(F.col("times") >= least_count(int(sums[0] or 0))).toArrow()
+    if top.num_rows < VOCABULARY:
+        top = words.orderBy(F.desc("times"), "word").limit(VOCABULARY).toArrow()
     return Vocabulary(top["word"].to_numpy().view(np.uint64), top["times"].to_numpy(), int(sums[0] or 0), int(sums[1] or 0))
 
 
@@ -265,17 +282,22 @@ def train_texts(net: Network, vocab: Vocabulary, texts: Iterator[tuple[np.ndarra
     trainer, seen, need = Trainer(net), 0, STREAMS * WINDOW * STREAM_WINDOWS
     ids, begins, held = [], [], 0
     end = int(vocab.ids(np.array([END]))[0])
+    before = end
 
     def run() -> int:
+        """Trains what fills all streams alike, and keeps the rest, with the symbol before it, for the next run."""
+        nonlocal before
         y, new = np.concatenate(ids), np.concatenate(begins)
-        x = np.append(end, y[:-1])
+        x = np.append(before, y[:-1])
         streams = max(1, min(STREAMS, len(y) // (WINDOW * STREAM_WINDOWS)))
         length = len(y) // streams
-        x, y, new = (a[: streams * length].reshape(streams, length).T for a in (x, y, new))
+        used = streams * length
+        before, ids[:], begins[:] = y[used - 1], [y[used:]], [new[used:]]
+        x, y, new = (a[:used].reshape(streams, length).T for a in (x, y, new))
         h = np.zeros((streams, HIDDEN), np.float32)
         for t in range(0, length, WINDOW):
             h, _ = trainer.window(h, x[t : t + WINDOW], y[t : t + WINDOW], new[t : t + WINDOW])
-        return streams * length
+        return used
 
     for tokens, first in texts:
         got = vocab.ids(tokens)
@@ -284,9 +306,16 @@ def train_texts(net: Network, vocab: Vocabulary, texts: Iterator[tuple[np.ndarra
         ids.append(got), begins.append(new)
         held += len(got)
         if held >= need:
-            seen += run()
-            ids, begins, held = [], [], 0
-    return seen + (run() if held else 0)
+            used = run()
+            seen, held = seen + used, held - used
+    while held >= STREAMS:
+        used = run()
+        seen, held = seen + used, held - used
+    if held:
+        y, new = np.concatenate(ids)[:, None], np.concatenate(begins)[:, None]
+        x = np.append(before, y[:-1])[:, None]
+        trainer.window(np.zeros((1, HIDDEN), np.float32), x, y, new)
+    return seen + held
 
 
 def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Network:

@@ -240,6 +240,30 @@ def test_lm_has_24_state_units_in_every_parameter():
     assert (net.inp.shape[1], net.rec.shape, net.cls.shape[1], net.out.shape[1]) == (72, (24, 72), 24, 24)
 
 
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    """A vocabulary of all words above a count, known to be larger than the fixed part, in classes that cover it."""
+    words = [f"w{i}" for i in range(3000)]
+    docs = frame(spark, [(i, " ".join(words[i % 3 :: 3])) for i in range(240)])
+    chunks, counter = lm.chunked(docs, "doc_id", "text", lm.CHUNK_BYTES), lm.Counter(lm.bucket_bits(spark))
+    sent = chunks.groupBy("chunk").applyInArrow(lambda k, t: counter.send(k, t), lm.PACKET)
+    vocab = lm.vocabulary(sent.groupBy("bucket").applyInArrow(lambda k, t: lm.total(k, t), lm.PACKET))
+    assert len(vocab.hashes) == 3001
+    net = lm.Network(vocab.all_counts)
+    h = np.random.default_rng(1).standard_normal((1, lm.HIDDEN)).astype(np.float32)
+    assert math.isclose(np.exp(net.predict(np.repeat(h, net.n, 0), np.arange(net.n))).sum(), 1, rel_tol=1e-4)
+
+
+def test_lm_trains_every_token(monkeypatch):
+    end = np.array([lm.END])
+    vocab, trained, window = lm.Vocabulary(end, np.array([9]), 9, 1), [], lm.Trainer.window
+    monkeypatch.setattr(lm.Trainer, "window", lambda self, h, x, y, new: (trained.append((y.size, int(new.sum()))), window(self, h, x, y, new))[1])
+    sizes = [lm.STREAMS * lm.WINDOW * lm.STREAM_WINDOWS + 255, 5003]
+    texts = [(np.repeat(end, n), np.array([0, n - 2, n])) for n in sizes]
+    assert lm.train_texts(lm.Network(vocab.all_counts), vocab, iter(texts)) == sum(sizes)
+    assert [sum(x) for x in zip(*trained, strict=True)] == [sum(sizes), 4]
+    assert lm.train_texts(lm.Network(vocab.all_counts), vocab, iter([(end, np.array([0, 1]))])) == 1
+
+
 def test_lm_carries_state_through_whole_documents():
     net = lm.Network(np.array([5.0, 9, 4, 3]))
     ids, first = np.array([1, 2, 3, 1, 2, 2, 1]), np.array([0, 5, 7])
