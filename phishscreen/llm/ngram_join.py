@@ -430,7 +430,9 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     # what is left: pairs with a common signature in neither one cluster nor one component
     label = members.join(near.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
     open_ = label.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("grp")
-    rest = label.join(open_, "grp").select("grp", "rec", "probe", "component").distinct().join(homes, "rec")
+    rest = label.join(open_, "grp").select("grp", "rec", "probe", "component").distinct().join(homes, "rec", "left")
+    # a record that leads its groups and is chosen by none has no home, and is compared with all its groups
+    rest = rest.withColumn("homes", F.coalesce("homes", F.array().cast("array<bigint>")))
     rest = cut(rest.join(traits.select("rec", "n", *_SHORT), "rec"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in _SHORT)

@@ -146,6 +146,24 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == plain_classes(rows, 4, 85)
 
 
+def test_ngram_join_compares_leaders_that_nobody_chose(spark, monkeypatch):
+    """r1..r4 are linked with l, which leads their groups, but each has a nearer and heavier leader of its own."""
+    words = [f"w{i}" for i in range(40)]
+    texts = {"l": " ".join(words)} | {f"r{i}": " ".join([*words[:39], f"own{i}"]) for i in range(4)}
+    texts |= {f"{c}{i}": " ".join(f"{c}{i}x{k}" for k in range(40)) for c in "cd" for i in range(4)}
+    hasher, rec = ngram_join.Hasher(), {}
+    for k, t in texts.items():
+        data, off = ngram_join.utf8(ngram_join.pa.array([t.encode()], ngram_join.pa.binary()))
+        rec[k] = int(ngram_join.record_ids(*ngram_join.record_sets(data, off, hasher, 1))[0])
+    pairs = [(x.format(i), y.format(i), times) for i in range(4) for x, y, times in (("l", "r{}", 2), ("c{}", "r{}", 3), ("c{}", "d{}", 9))]
+    found = [(g, 0, times, [rec[x], rec[y]], [True, True]) for g, (x, y, times) in enumerate(pairs)]
+    found = spark.createDataFrame(found, "grp bigint, part bigint, times bigint, recs array<bigint>, probes array<boolean>")
+    monkeypatch.setattr(ngram_join, "candidate_groups", lambda *_: found)
+    rows = list(enumerate(texts.values()))
+    got = ngram_join.classes(frame(spark, rows), 1, 85).collect()
+    assert sorted(tuple(r) for r in got) == plain_classes(rows, 1, 85)
+
+
 def test_parities_never_overstate_the_difference():
     import random
 
