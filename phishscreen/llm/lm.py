@@ -4,9 +4,9 @@ Words are counted over all training documents by the exchange of chunks and buck
 The model's vocabulary grows with the corpus: of N tokens it holds every word that occurs sqrt(N) / RARE times or more, and
 at least the VOCABULARY most frequent ones, so at most VOCABULARY + RARE sqrt(N) words. All others are one symbol that is
 spelled by the base's probability among them, so the model gives every text a probability. The model is a small gated
-recurrent unit in numpy. Its softmax is factored: a class, then a word of the class; classes hold about 2 sqrt(rank) words,
-so both steps take some sqrt(V). A task holds 4 HIDDEN + 2 floats for each of V words and as many sums of Adagrad, 784 V
-bytes, and gradients of the output. Training cuts the documents of a partition into parallel streams and runs
+recurrent unit in numpy. Its softmax is factored: a class, then a word of the class; there are about 0.6 sqrt(V) classes, of
+equal sums of square roots of counts, so both steps take some sqrt(V). A task holds 4 HIDDEN + 1 floats for each of V words
+and as many sums of Adagrad, 776 V bytes, and gradients of the output. Training cuts the documents of a partition into parallel streams and runs
 truncated backpropagation over short windows, the state carried from window to window and cleared where a document
 begins; tokens that don't fill all streams go on to the next buffer, the very last ones are a shorter window, so every token
 of every training document is used once. Each task trains from the same start on its own documents, the results are
@@ -21,7 +21,7 @@ smoothing alone. An empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import isqrt, sqrt
+from math import sqrt
 from zlib import crc32
 
 import numpy as np
@@ -33,16 +33,32 @@ from .base import PACKET, Hasher, bounds, bucket_bits, chunked, cut, groups, low
 from .quality import slices
 
 HELD_OUT, ALPHA = 10, 0.1
-VOCABULARY, RARE, CLASS_WORDS, HIDDEN = 2047, 8, 64, 24
+VOCABULARY, RARE, CLASSES, HIDDEN = 2047, 8, 0.6, 24
 STREAMS, WINDOW, STREAM_WINDOWS, ROUNDS, RATE = 256, 16, 64, 2, 0.05
-CHUNK_BYTES, FAN_IN = 4 << 20, 16
+CHUNK_BYTES, FAN_IN = 8 << 20, 16
+#: Predictions that are made at once when documents are scored.
+SAY_AT_ONCE = 1 << 14
 #: Stands for the end of a document among the hashes of words.
 END = np.uint64(0xE0D)
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * x.dtype.type(0.5)) * x.dtype.type(0.5) + x.dtype.type(0.5)
+    """In place; float32 has room for exp of every gate that is not saturated."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by exp, which takes half the time of numpy's tanh."""
+    x += x
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
 
 
 def _narrow(x: np.ndarray, n: int) -> np.ndarray:
@@ -50,25 +66,36 @@ def _narrow(x: np.ndarray, n: int) -> np.ndarray:
     return x.astype(np.uint16) if n <= 1 << 16 else x
 
 
+def class_edges(counts: np.ndarray) -> list[int]:
+    """Where the classes of the words begin, and the end. Word 0 is a class of its own; the others, the most frequent first,
+    form some sqrt(n) classes of equal sums of square roots of counts, which keeps the classes of frequent words small."""
+    n = len(counts)
+    sums = np.cumsum(np.sqrt(counts[1:] + ALPHA))
+    classes = max(1, round(CLASSES * sqrt(n)))
+    cuts = np.searchsorted(sums, sums[-1] * np.arange(1, classes) / classes) + 1 if n > 1 else []
+    return np.unique(np.concatenate([[0, 1], cuts, [n]])).astype(int).tolist()
+
+
 class Network:
-    """The parameters. Word 0 is the symbol for all other words and a class of its own."""
+    """The parameters. Word 0 is the symbol for all other words. The last column of cls and out is the bias. Of inp and rec
+    the first third is for the reset gate, then update gate, then candidate."""
 
-    NAMES = ("inp", "rec", "cls", "cls_b", "out", "out_b")
+    NAMES = ("inp", "rec", "cls", "out")
 
     def __init__(self, counts: np.ndarray, seed: int = 3) -> None:
         """counts: of each word in training, for the biases to start as the unigram model."""
         rng, n = np.random.default_rng(seed), len(counts)
-        self.n, edges = n, [0, 1]
-        while edges[-1] < n:
-            edges.append(min(n, edges[-1] + max(CLASS_WORDS, 2 * isqrt(edges[-1]))))
-        self.edges, self.classes = edges, len(edges) - 1
-        self.klass = np.repeat(np.arange(self.classes), np.diff(edges))
+        self.n, self.edges = n, class_edges(counts)
+        self.classes, sizes = len(self.edges) - 1, np.diff(self.edges)
+        self.klass = np.repeat(np.arange(self.classes), sizes)
+        self.inside = np.arange(n) - np.repeat(self.edges[:-1], sizes)
+        self.width = sizes
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.inp, self.rec = draw(n, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN)
-        self.cls, self.out = draw(self.classes, HIDDEN), draw(n, HIDDEN)
+        self.inp, self.rec = draw(3, n, HIDDEN), draw(3, HIDDEN, HIDDEN)
+        self.cls, self.out = draw(self.classes, HIDDEN + 1), draw(n, HIDDEN + 1)
         mass = np.bincount(self.klass, counts + ALPHA, self.classes)
-        self.cls_b = np.log(mass / mass.sum()).astype(np.float32)
-        self.out_b = np.log((counts + ALPHA) / mass[self.klass]).astype(np.float32)
+        self.cls[:, HIDDEN] = np.log(mass / mass.sum())
+        self.out[:, HIDDEN] = np.log((counts + ALPHA) / mass[self.klass])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -80,47 +107,80 @@ class Network:
             setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def step(self, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-        g, a, k = self.inp[words], h @ self.rec, 2 * HIDDEN
-        gates = _sigmoid(g[:, :k] + a[:, :k])
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        cand = np.tanh(g[:, k:] + r * a[:, k:])
-        return cand + z * (h - cand), r, z, cand, a[:, k:]
-
-    def predict(self, h: np.ndarray, words: np.ndarray, learn: bool = False):
-        """Log probability (natural) of each word after its state; with learn also the gradients."""
+    def step(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The next state of each row."""
+        return self.advance(h, self.inp.take(words, 1))[0]
+
+    def advance(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, gates, candidate and its recurrent part, from the last state and the rows of inp, which are used up."""
+        a = np.matmul(h, self.rec)
+        gates, cand = g[:2], g[2]
+        gates += a[:2]
+        _sigmoid(gates)
+        cand += gates[0] * a[2]
+        _tanh(cand)
+        after = h - cand
+        after *= gates[1]
+        after += cand
+        return after, gates, cand, a[2]
+
+    def predict(self, h: np.ndarray, words: np.ndarray, learn: bool = False, careful: bool = False):
+        """Log probability (natural) of each word after its state; with learn also the gradients by cls, out and h. States are
+        within 1 and logits small, so exp rarely leaves float32; where it does all is done again with the largest logit as 0."""
         klass = self.klass[words]
-        logits = h @ self.cls.T + self.cls_b
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
-        rows = np.arange(len(h))
-        logp = (logits[rows, klass] - np.log(total[:, 0])).astype(np.float64)
+        order = np.argsort(_narrow(klass, self.classes), kind="stable")
+        sorted_h, said_words, klass = np.ones((len(order), HIDDEN + 1), h.dtype), words.take(order), klass.take(order)
+        sorted_h[:, :HIDDEN] = h.take(order, 0)
+        at = np.searchsorted(klass, np.arange(self.classes + 1)).tolist()
+        rows = np.arange(len(sorted_h))
+        said = np.einsum("ij,ij->i", sorted_h, self.out.take(said_words, 0)) + np.einsum("ij,ij->i", sorted_h, self.cls.take(klass, 0))
+        first = at[1]
+        said[:first] = np.einsum("ij,j->i", sorted_h[:first], self.cls[0])
+        p = sorted_h @ self.cls.T
+        if careful:
+            top = p.max(axis=1)
+            p -= top[:, None]
+            said -= top
+        np.exp(p, out=p)
+        sums = p @ np.ones(self.classes, np.float32)
+        logp = said.astype(np.float64)
+        logp -= np.log(sums)
         if learn:
-            p /= total
+            p *= np.reciprocal(sums)[:, None]
             p[rows, klass] -= 1
-            grads = {"cls": p.T @ h, "cls_b": p.sum(axis=0), "out": np.zeros_like(self.out), "out_b": np.zeros_like(self.out_b)}
+            grads = {"cls": p.T @ sorted_h, "out": np.zeros_like(self.out)}
             dh = p @ self.cls
-        order = np.argsort(_narrow(klass, self.classes), kind="stable")
-        at = np.searchsorted(klass[order], np.arange(1, self.classes + 1))
+            width = self.width[klass]
+            target = (rows - np.repeat(at[:-1], np.diff(at))) * width + self.inside[said_words]
+        norm = np.ones(len(sorted_h), h.dtype)
         for c in range(1, self.classes):
-            idx = order[at[c - 1] : at[c]]
-            if not len(idx):
+            a, b = at[c], at[c + 1]
+            if a == b:
                 continue
-            lo, hi = self.edges[c], self.edges[c + 1]
-            own = h[idx]
-            q = own @ self.out[lo:hi].T + self.out_b[lo:hi]
-            q -= q.max(axis=1, keepdims=True)
-            said = q[np.arange(len(idx)), words[idx] - lo]
+            own, table = sorted_h[a:b], self.out[self.edges[c] : self.edges[c + 1]]
+            q = own @ table.T
+            if careful:
+                top = q.max(axis=1)
+                q -= top[:, None]
+                logp[a:b] -= top
             np.exp(q, out=q)
-            total = q.sum(axis=1)
-            logp[idx] += said - np.log(total)
+            total = q @ np.ones(len(table), np.float32)
+            norm[a:b] = total
             if learn:
-                q /= total[:, None]
-                q[np.arange(len(idx)), words[idx] - lo] -= 1
-                grads["out"][lo:hi], grads["out_b"][lo:hi] = q.T @ own, q.sum(axis=0)
-                dh[idx] += q @ self.out[lo:hi]
-        return (logp, grads, dh) if learn else logp
+                q *= np.reciprocal(total)[:, None]
+                q.reshape(-1)[target[a:b]] -= 1
+                np.matmul(q.T, own, out=grads["out"][self.edges[c] : self.edges[c + 1]])
+                dh[a:b] += q @ table
+        logp -= np.log(norm)
+        if not careful and not np.isfinite(logp).all():
+            return self.predict(h, words, learn, True)
+        back = np.empty(len(order))
+        back[order] = logp
+        if not learn:
+            return back
+        left = np.empty((len(order), HIDDEN), np.float32)
+        left[order] = dh[:, :HIDDEN]
+        return back, grads, left
 
 
 class Trainer:
@@ -129,49 +189,65 @@ class Trainer:
     def __init__(self, net: Network) -> None:
         self.net, self.sums = net, {k: np.full_like(getattr(net, k), 1e-6) for k in net.NAMES}
 
-    def _move(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
-        self.sums[name][rows] += grad * grad
-        getattr(self.net, name)[rows] -= RATE * grad / np.sqrt(self.sums[name][rows])
+    def _move(self, name: str, grad: np.ndarray, rows=None) -> None:
+        """rows are of the second axis; grad is used up."""
+        at = getattr(self.net, name)
+        sums = self.sums[name] if rows is None else self.sums[name].take(rows, 1)
+        sums += grad * grad
+        grad /= np.sqrt(sums)
+        grad *= RATE
+        if rows is None:
+            at -= grad
+        else:
+            self.sums[name][:, rows] = sums
+            at[:, rows] -= grad
 
     def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, float]:
         """One window of (steps, streams); new marks where a document begins. Returns the state after it and the loss."""
-        net, kept, (length, streams) = self.net, [], x.shape
-        befores, states = (np.empty((length, streams, HIDDEN), h.dtype) for _ in range(2))
-        gates, into = (np.empty((length, streams, 3 * HIDDEN), h.dtype) for _ in range(2))
-        fresh = new.any(axis=1)
+        net, (length, streams) = self.net, x.shape
+        shape = (length, streams, HIDDEN)
+        before, states, cand, part, r, z = (np.empty(shape, h.dtype) for _ in range(6))
+        fresh, words = new.any(axis=1), x.ravel()
+        inp = net.inp.take(words, 1).reshape(3, *shape)
         for t in range(length):
-            befores[t] = h
+            before[t] = h
             if fresh[t]:
-                befores[t][new[t]] = 0
-            h, *rest = net.step(befores[t], x[t])
+                before[t][new[t]] = 0
+            h, (r[t], z[t]), cand[t], part[t] = net.advance(before[t], inp[:, t])
             states[t] = h
-            kept.append(rest)
         logp, grads, dh = net.predict(states.reshape(-1, HIDDEN), y.ravel(), learn=True)
-        scale = np.float32(1 / y.size)
-        dh = dh.reshape(length, -1, HIDDEN)
-        back, recT = np.zeros_like(h), np.ascontiguousarray(net.rec.T)
+        dh = dh.reshape(shape)
+        # all factors that don't need the gradient of the state: of reset, update and candidate before their squashing
+        rest = 1 - z
+        by_cand = 1 - cand * cand
+        by_cand *= rest
+        rest *= z
+        rest *= np.subtract(before, cand, out=cand)
+        pulled = by_cand * r
+        part *= pulled
+        part *= np.subtract(1, r, out=r)
+        gate = np.empty((3, *shape), h.dtype)
+        back, recT = np.zeros_like(h), np.ascontiguousarray(net.rec.transpose(0, 2, 1))
         for t in range(length - 1, -1, -1):
-            r, z, cand, a = kept[t]
-            d = dh[t] + back
-            keep = d * z
-            dn = (d - keep) * (1 - cand * cand)
-            pulled = dn * r
-            gate = gates[t]
-            gate[:, :HIDDEN] = dn * a * r * (1 - r)
-            gate[:, HIDDEN : 2 * HIDDEN] = keep * (befores[t] - cand) * (1 - z)
-            gate[:, 2 * HIDDEN :] = pulled
-            into[t, :, : 2 * HIDDEN], into[t, :, 2 * HIDDEN :] = gate[:, : 2 * HIDDEN], dn
-            back = keep + gate @ recT
+            back += dh[t]
+            dh[t] = back
+            for g, factor in zip(gate, (part, rest, pulled), strict=True):
+                np.multiply(back, factor[t], out=g[t])
+            back *= z[t]
+            for g, matrix in zip(gate, recT, strict=True):
+                back += g[t] @ matrix
             if fresh[t]:
                 back[new[t]] = 0
-        rec = befores.reshape(-1, HIDDEN).T @ gates.reshape(-1, 3 * HIDDEN)
-        words = x.ravel()
+        scale = np.float32(1 / y.size)
+        rec = before.reshape(-1, HIDDEN).T @ gate.reshape(3, -1, HIDDEN)
+        np.multiply(dh, by_cand, out=gate[2])
         order = np.argsort(_narrow(words, net.n), kind="stable")
         at = groups(words[order])
-        self._move("inp", np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], at) * scale, words[order][at])
+        self._move("inp", np.add.reduceat(gate.reshape(3, -1, HIDDEN).take(order, 1), at, axis=1) * scale, words[order[at]])
         self._move("rec", rec * scale)
-        for k, g in grads.items():
-            self._move(k, (g * scale).astype(np.float32))
+        for name, g in grads.items():
+            g *= scale
+            self._move(name, g)
         return h, float(logp.mean())
 
 
@@ -363,26 +439,34 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Net
     return net
 
 
-def document_scores(net: Network, ids: np.ndarray, first: np.ndarray, end: int, block: int = 32) -> np.ndarray:
+def document_scores(net: Network, ids: np.ndarray, first: np.ndarray, end: int, block: int = SAY_AT_ONCE) -> np.ndarray:
     """log10 probability of each document's symbols. All documents advance together, the longest first; the state is carried to the end."""
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
     begin, sizes = first[:-1][order], sizes[order]
     out, h = np.zeros(len(order)), np.zeros((len(order), HIDDEN), np.float32)
     before = np.full(len(order), end)
-    t, longest = 0, int(sizes[0]) if len(sizes) else 0
-    while t < longest:
-        states, words, owners = [], [], []
-        for t in range(t, min(t + block, longest)):
-            live = int(np.searchsorted(-sizes, -t, "left"))
-            h = net.step(h[:live], before[:live])[0]
-            before = ids[begin[:live] + t]
-            states.append(h), words.append(before), owners.append(np.arange(live))
-        t += 1
-        words, owners, states = np.concatenate(words), np.concatenate(owners), np.concatenate(states)
-        for lo in range(0, len(words), 1 << 14):
-            logp = net.predict(states[lo : lo + (1 << 14)], words[lo : lo + (1 << 14)])
-            out += np.bincount(owners[lo : lo + (1 << 14)], logp, len(out))
+    longest = int(sizes[0]) if len(sizes) else 0
+    alive = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()
+    states = np.empty((block + len(order), HIDDEN), np.float32)
+    words, owners, held = np.empty(len(states), np.int64), np.empty(len(states), np.int64), 0
+    nth = np.arange(len(order))
+
+    def say() -> None:
+        logp = net.predict(states[:held], words[:held])
+        np.add(out, np.bincount(owners[:held], logp, len(out)), out=out)
+
+    for t, live in enumerate(alive):
+        h = net.step(h[:live], before[:live])
+        before = ids.take(begin[:live] + t)
+        to = held + live
+        states[held:to], words[held:to], owners[held:to] = h, before, nth[:live]
+        held = to
+        if held >= block:
+            say()
+            held = 0
+    if held:
+        say()
     back = np.empty(len(order))
     back[order] = out / np.log(10)
     return back

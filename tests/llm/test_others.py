@@ -214,14 +214,14 @@ def test_lm_is_a_distribution_and_gradients_are_right():
             at += size
         state, total = np.zeros((5, lm.HIDDEN)), 0.0
         for t in range(4):
-            state = other.step(np.where(new[t][:, None], 0.0, state), x[t])[0]
+            state = other.step(np.where(new[t][:, None], 0.0, state), x[t])
             total -= other.predict(state, y[t]).sum()
         return total / y.size
 
     flat = net.flat().astype(np.float64)
     moved = {}
     trainer = lm.Trainer(net)
-    trainer._move = lambda name, grad, rows=slice(None): moved.__setitem__(name, (grad, rows))
+    trainer._move = lambda name, grad, rows=None: moved.__setitem__(name, (grad, ... if rows is None else (slice(None), rows)))
     trainer.window(np.zeros((5, lm.HIDDEN), np.float32), x, y, new)
     at = 0
     for k in net.NAMES:
@@ -237,7 +237,8 @@ def test_lm_is_a_distribution_and_gradients_are_right():
 
 def test_lm_has_24_state_units_in_every_parameter():
     net = lm.Network(np.array([5.0, 9, 4, 3]))
-    assert (net.inp.shape[1], net.rec.shape, net.cls.shape[1], net.out.shape[1]) == (72, (24, 72), 24, 24)
+    # three gates of 24 units; the output has a bias beside them
+    assert (net.inp.shape, net.rec.shape, net.cls.shape[1], net.out.shape[1]) == ((3, 4, 24), (3, 24, 24), 25, 25)
 
 
 def test_lm_vocabulary_grows_with_the_corpus(spark):
@@ -271,7 +272,7 @@ def test_lm_carries_state_through_whole_documents():
     for k in range(2):
         h, before, total = np.zeros((1, lm.HIDDEN), np.float32), 1, 0.0
         for w in ids[first[k] : first[k + 1]]:
-            h = net.step(h, np.array([before]))[0]
+            h = net.step(h, np.array([before]))
             total += net.predict(h, np.array([w]))[0]
             before = w
         assert math.isclose(whole[k], total / math.log(10), rel_tol=1e-5)
