@@ -2,10 +2,10 @@
 
 The lines that hold a word are hashed, without the blanks around them. Of every min_lines neighbouring lines of a document
 the smallest hash is selected (the last of equal ones), so that two equal runs of min_lines lines are sure to select the
-same line; lines of long_words or more are always selected, as each is a run of its own. Selected lines are the
-fingerprints: chunks of documents send them to buckets, which answer which ones occur at two positions. Around those the
-matches are extended to both sides, as every run of min_lines lines that holds a shared fingerprint, and every shared long
-line, is compared whole with all others, and neighbouring repeats join to maximal runs. A run that occurs earlier
+same line. Fewer lines are a run too where they hold long_words or more and no shorter run in them does: one long line, or
+two that are long together, for which the same holds. Selected lines are the fingerprints: chunks of documents send them to
+buckets, which answer which ones occur at two positions. Around those the matches are extended to both sides, as every run
+that holds a shared fingerprint is compared whole with all others, and neighbouring repeats join to maximal runs. A run that occurs earlier
 (smaller id, null smallest; in a document further up) is deleted; its first occurrence stays. Fingerprints that all
 documents share cost no more than others, as a chunk sends each once.
 
@@ -43,25 +43,36 @@ class LineRuns(Windows):
         at = groups(np.searchsorted(np.flatnonzero(self.data == 10), starts) + doc)
         lines = starts[at]
         self.hashes = self.hasher.of(self.hasher.prefix(self.data), lines, ends[np.append(at[1:], len(starts)) - 1] if len(at) else lines)
-        self.long = np.diff(np.append(at, len(starts))) >= self.long_words
+        words = np.concatenate([[0], np.cumsum(np.diff(np.append(at, len(starts))))])
         self.first = np.searchsorted(lines, self.off)
         self.prefix = self.hasher.prefix(self.hashes)
         self.n, self.counts = len(lines), np.diff(self.first)
+        # runs of fewer lines that hold enough words, without a line to spare at either end
+        self.short = {}
+        for width in range(1, self.width):
+            at = np.flatnonzero(window_room(self.first, width))
+            held = lambda lo, hi: words[hi] - words[lo]
+            least = (held(at, at + width) >= self.long_words) & (held(at, at + width - 1) < self.long_words) & (held(at + 1, at + width) < self.long_words)
+            self.short[width] = at[least]
+
+    def _runs(self) -> list[tuple[int, np.ndarray]]:
+        """Number of lines and starts of all runs."""
+        return [(self.width, np.flatnonzero(window_room(self.first, self.width))), *self.short.items()]
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        picked = self.long.copy()
-        room = np.flatnonzero(window_room(self.first, self.width))
-        best = room + self.width - 1
-        for back in range(self.width - 2, -1, -1):
-            best = np.where(self.hashes[room + back] < self.hashes[best], room + back, best)
-        picked[best] = True
+        picked = np.zeros(self.n, bool)
+        for width, starts in self._runs():
+            best = starts + width - 1
+            for nth in range(width - 2, -1, -1):
+                best = np.where(self.hashes[starts + nth] < self.hashes[best], starts + nth, best)
+            picked[best] = True
         places = np.flatnonzero(picked)
         return places, self.hashes[places] >> np.uint64(64 - BLOCK_BITS - self.bits), np.ones(len(places), bool)
 
     def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        starts, widths, hashes = super().full()
-        long = np.flatnonzero(self.long)
-        return np.append(starts, long), np.append(widths, np.ones(len(long), np.int64)), np.append(hashes, ~self.hashes[long])
+        runs = self._runs()
+        hashes = [self.hasher.windows(self.prefix, width)[starts] for width, starts in runs]
+        return np.concatenate([s for _, s in runs]), np.repeat([w for w, _ in runs], [len(s) for _, s in runs]), np.concatenate(hashes)
 
     def remove(self, key: tuple, chunk: pa.Table, later: pa.Table) -> pa.Table:
         self.read(chunk)

@@ -94,10 +94,13 @@ raw as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as lno fro
 marked as (select *, trim(line, {_BLANKS}) as body from raw),
 lines as (select *, row_number() over (partition by doc_id order by lno) as nth, len(regexp_split_to_array(body, '[ \t\x0b\x0c\r]+')) as words
   from marked where body <> ''),
-runs as (select *, lead(body, 1) over w as b2, lead(body, 2) over w as b3 from lines window w as (partition by doc_id order by nth)),
+runs as (select *, lead(body, 1) over w as b2, lead(body, 2) over w as b3, lead(words, 1) over w as words2 from lines window w as (partition by doc_id order by nth)),
 first3 as (select *, row_number() over (partition by body, b2, b3 order by doc_id, nth) as k from runs where b3 is not null),
+first2 as (select *, row_number() over (partition by body, b2 order by doc_id, nth) as k from runs
+  where words < 50 and words2 < 50 and words + words2 >= 50),
 first1 as (select *, row_number() over (partition by body order by doc_id, nth) as k from lines where words >= 50),
-gone as (select doc_id, nth + i as nth from first3, range(3) as t(i) where k > 1 union select doc_id, nth from first1 where k > 1),
+gone as (select doc_id, nth + i as nth from first3, range(3) as t(i) where k > 1 union select doc_id, nth + i as nth from first2, range(2) as t(i) where k > 1
+  union select doc_id, nth from first1 where k > 1),
 judged as (select l.*, g.nth is not null as goes from lines l left join gone g on g.doc_id = l.doc_id and g.nth = l.nth),
 starts as (select doc_id, count(*) as n_lines, count(*) filter (goes) as n_removed,
   count(*) filter (goes and not before) as n_runs from (select *, coalesce(lag(goes) over (partition by doc_id order by nth), false) as before from judged) group by doc_id),

@@ -81,12 +81,14 @@ def plain_lines(rows, min_lines, long_words):
         lines = [(b" ".join([x]).strip(b" \t\x0b\x0c\r"), k) for k, x in enumerate(raw) if x.split()]
         gone = [False] * len(lines)
         for s in range(len(lines)):
+            held = lambda a, b: sum(len(x.split()) for x, _ in lines[a:b])
             windows = [tuple(x for x, _ in lines[s : s + min_lines])] if s + min_lines <= len(lines) else []
-            windows += [lines[s][0]] if len(lines[s][0].split()) >= long_words else []
+            for k in range(1, min_lines):
+                if s + k <= len(lines) and held(s, s + k) >= long_words > max(held(s + 1, s + k), held(s, s + k - 1)):
+                    windows.append(tuple(x for x, _ in lines[s : s + k]))
             for w in windows:
                 if w in seen:
-                    for j in range(s, s + (min_lines if isinstance(w, tuple) else 1)):
-                        gone[j] = True
+                    gone[s : s + len(w)] = [True] * len(w)
                 seen.add(w)
         at, state, kept = {k: g for (_, k), g in zip(lines, gone, strict=True)}, False, []
         for k, x in enumerate(raw):
@@ -97,13 +99,20 @@ def plain_lines(rows, min_lines, long_words):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("min_lines", "long_words"), [(1, 50), (2, 25), (3, 20)])
+@pytest.mark.parametrize(("min_lines", "long_words"), [(1, 50), (2, 25), (3, 20), (3, 45), (4, 60)])
 def test_line_dedup_is_brute_force(spark, min_lines, long_words):
     rows = corpus(min_lines)
     got = line_dedup.dedup(frame(spark, rows), min_lines, long_words).collect()
     assert sorted([tuple(r) for r in got], key=str) == plain_lines(rows, min_lines, long_words)
 
 
+def test_line_dedup_takes_two_lines_that_are_long_together(spark):
+    first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, f"{first}\n{second}"), (2, f"x\n{first}\n{second}\ny"), (3, f"{first}\nz"), (4, f"{second}\n{first}")]
+    got = {r.doc_id: (r.n_removed, r.n_runs, r.kept_text) for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    assert got == {1: (0, 0, rows[0][1]), 2: (2, 1, "x\ny"), 3: (0, 0, rows[2][1]), 4: (0, 0, rows[3][1])}
+
+
 def test_line_dedup_docs_keeps_columns_and_drops_emptied_rows(spark):
     text = "a b\nc d\ne f"
     docs = frame(spark, [(1, text), (2, text), (3, text + "\nnew"), (4, None)])
