@@ -7,7 +7,8 @@ Newton's method finds all lambdas at once: Spark sums gradient and curvature of
 the order of sizes, so that a source's tokens miss the target by about one document.
 
 Null text has size 0; null is a source of its own, last in order. Repeated rows count and are taken one by one. Extra
-columns are ignored by rates() and kept by apply_mix(). An empty table gives an empty result.
+columns are ignored by rates() and kept by apply_mix(), whatever their names. An empty table gives an empty result. A text
+may be as long as a row allows; only its size is kept.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ MAX_RATE = 2.0
 #: The vector of lambdas lives on the driver and is broadcast; more sources than this are refused, none is dropped.
 MAX_SOURCES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of equal source and size that one task ranks, about.
-CELL_ROWS = 20_000
+#: Rows of equal source and size that one task ranks, about; sizes whose running sum one task takes.
+CELL_ROWS, BLOCK_SIZES = 20_000, 1024
+#: Pairs of source and size with more rows than that are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 MAX_STEPS = 60
 #: Starts of the systematic rounding that are tried.
 STARTS = 16
@@ -68,18 +71,31 @@ def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(found))], total_share * sum(sizes), max_rate)
     spec = "sid int, source string, source_size long, target double, mean double"
     table = spark.createDataFrame([(i, r.source, sizes[i], targets[i], sizes[i] / r.n if sizes[i] else 1.0) for i, r in enumerate(found)], spec)
-    salts = 1 + sum(r.n for r in found) // CELL_ROWS
-    rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"]).withColumn("salt", F.pmod("draw", F.lit(salts)))
-    cells = cut(rows.groupBy("sid", "size", "salt", "mean").agg(F.count("*").alias("n")).withColumn("x", F.col("size") / F.col("mean")))
-    by_size = cut(cells.groupBy("sid", "size", "x").agg(F.sum("n").alias("n")))
+    rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"])
+    by_size = cut(rows.groupBy("sid", "size", "mean").agg(F.count("*").alias("n")).withColumn("x", F.col("size") / F.col("mean")))
     lams = _newton(by_size, sizes, targets, max_rate)
     dual = spark.createDataFrame([(i, x) for i, x in enumerate(lams)], "sid int, lam double")
     full = F.when(F.col("lam") == math.inf, F.lit(max_rate)).when(F.col("lam") == -math.inf, F.lit(0.0)).otherwise(_rate(F.col("lam"), max_rate))
     unit = 1_000_000_000
-    cells = cells.join(F.broadcast(dual), "sid").withColumn("rate", F.round(full, 9)).withColumn("base", F.floor("rate").cast("long"))
-    part = F.round((F.col("rate") - F.col("base")) * unit).cast("long") * F.col("n")
-    before = F.coalesce(F.sum(part).over(Window.partitionBy("sid").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cut(cells.select("sid", "size", "salt", "rate", "base", "n", before.alias("before"), (before + part).alias("after")))
+    # the fractions of all rows before a size, of which only what is beyond whole units counts: inside a block of sizes, then over the blocks
+    wide = lambda c: c.cast("decimal(38,0)")
+    before = lambda c, w: F.coalesce(F.sum(wide(c)).over(w.rowsBetween(Window.unboundedPreceding, -1)), wide(F.lit(0))) % unit
+    at = by_size.join(F.broadcast(dual), "sid").withColumn("rate", F.round(full, 9)).withColumn("base", F.floor("rate").cast("long"))
+    at = at.withColumn("part", F.round((F.col("rate") - F.col("base")) * unit).cast("long")).withColumn("block", F.floor(F.col("size") / BLOCK_SIZES))
+    at = at.withColumn("salts", 1 + F.floor(F.col("n") / CELL_ROWS))
+    at = cut(at.select("sid", "size", "rate", "base", "part", "salts", "block", "n", before(wide(F.col("part")) * F.col("n"), Window.partitionBy("sid", "block").orderBy("size")).alias("inside")))
+    blocks = at.groupBy("sid", "block").agg(F.sum(wide(F.col("part")) * F.col("n")).alias("whole"))
+    blocks = blocks.select("sid", "block", before(F.col("whole"), Window.partitionBy("sid").orderBy("block")).alias("ahead"))
+    at = cut(at.join(blocks, ["sid", "block"]).withColumn("before", F.col("inside") + F.col("ahead")).drop("inside", "ahead", "block"))
+    # rows of a frequent size are dealt out by salts, whose running sums go on from those of the size
+    frequent = cut(at.where("salts > 1").select("sid", "size", "salts"))
+    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    rows = rows.join(frequent, ["sid", "size"], "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod("draw", "salts")))
+    held = rows.where("salts is not null").groupBy("sid", "size", "salt").agg(F.count("*").alias("held"))
+    held = held.withColumn("over", F.coalesce(F.sum("held").over(Window.partitionBy("sid", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cells = at.join(held, ["sid", "size"], "left").withColumn("salt", F.coalesce("salt", F.lit(0))).withColumn("n", F.coalesce("held", "n"))
+    cells = cells.withColumn("before", ((F.col("before") + wide(F.col("part")) * F.coalesce("over", F.lit(0))) % unit).cast("long"))
+    cells = cut(cells.select("sid", "size", "salt", "rate", "base", "n", "before", (F.col("before") + F.col("part") * F.col("n")).alias("after")))
     more = F.floor((F.col("after") + F.col("shift")) / F.lit(unit)).cast("long") - F.floor((F.col("before") + F.col("shift")) / F.lit(unit)).cast("long")
     # Where systematic rounding starts is free: the start that comes nearest to the target.
     starts = F.array(*[F.lit(unit * (2 * i + 1) // (2 * STARTS)) for i in range(STARTS)])
@@ -121,10 +137,9 @@ def _newton(by_size: DataFrame, sizes: list[int], targets: list[float], max_rate
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed corpus: every row of docs as often as its copies say, columns unchanged. Text is shuffled once."""
-    again = Window.partitionBy("__draw")
-    picks = rates(docs, id_col, text_col, **options).where("copies > 0").select(F.col("draw").alias("__draw"), F.col("copies").cast("int").alias("__copies"))
-    picks = picks.withColumn("__nth", F.row_number().over(again.orderBy(F.desc("__copies"))))
-    rows = docs.withColumn("__draw", F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = rows.withColumn("__nth", F.row_number().over(again.orderBy("__draw")))
-    out = rows.join(picks, ["__draw", "__nth"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = Window.partitionBy("draw")
+    picks = rates(docs, id_col, text_col, **options).where("copies > 0").select("draw", F.col("copies").cast("int").alias("copies"))
+    picks = picks.withColumn("nth", F.row_number().over(again.orderBy(F.desc("copies"))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
+    rows = rows.withColumn("nth", F.row_number().over(again.orderBy("draw")))
+    return rows.join(picks, ["draw", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

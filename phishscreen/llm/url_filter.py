@@ -8,7 +8,8 @@ as prefixes do, so the stack's entries are exactly the rules that fit, and the l
 
 Only distinct (host, path) pairs are swept. A key that fills several ranges is spread over all of them, and rules that
 span ranges are sent to each. Null urls and urls without "://" have an empty host and path, fit no rule and get the
-default verdict. Repeated rows are judged one by one; an empty table of rules leaves every url to the default.
+default verdict. Repeated rows are judged one by one; an empty table of rules leaves every url to the default. A url may be
+as long as a task's memory allows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .base import partitions
 
-#: Keys of the sample that fixes the range bounds, for each range; the sample decides balance, never results.
+#: Urls of the sample that fixes the range bounds, for each range; the sample decides balance, never results.
 SAMPLE_PER_RANGE = 50
 _HOST_END = "\x01"
 
@@ -101,8 +102,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     rules = rules.select(lower.alias("rhost"), F.col("path").alias("rpath"), "action").dropna().where("rhost <> ''").groupBy("rhost", "rpath").agg(F.min("action").alias("action"))
     rules = rules.withColumn("key", rule_key("rhost", "rpath"))
     n = partitions(spark)
-    # The bounds come from a sample of urls that is bounded by the number of ranges, as a range partitioner's do.
-    seen = sorted(_key(r.host, r.path) for r in rows.where("host <> ''").orderBy(F.xxhash64("page_id", "host", "path")).limit(SAMPLE_PER_RANGE * n).select("host", "path").collect())
+    # The bounds come from the points of a sample of urls that is bounded by the number of ranges, as a range partitioner's do.
+    sample = rows.where("host <> ''").orderBy(F.xxhash64("page_id", "host", "path")).limit(SAMPLE_PER_RANGE * n).select("host", "path").collect()
+    seen = sorted({_key(suffix, r.path) for r in sample for suffix in _suffixes(r.host)})
     bounds = [seen[len(seen) * i // n] for i in range(1, n)] if seen else []
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,6 +118,47 @@ def test_mixing_meets_targets(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mixing_targets_go_by_code_point_with_null_last(spark):
+    """Weights 3, 1, 2 and again; what exceeds twice a source's size is shared again by weight."""
+    sources = ["é", "B", "a", None, "😀", "Z"]
+    rows = [(10 * k + j, "w " * (5 + 3 * j + 40 * (k == 2)), s) for k, s in enumerate(sources) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in sources}
+    order = sorted((s for s in sources if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    left, weight, target = 1.5 * sum(sizes.values()), dict(zip(order, [3, 1, 2, 3, 1, 2], strict=True)), {}
+    while True:
+        free = [s for s in order if s not in target]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * sizes[s]]
+        if not over:
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left = 1.5 * sum(sizes.values()) - sum(target.values())
+    assert 0 < len(target) < 6
+    for r in mixing.rates(docs).collect():
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, (target | share)[r.source], rel_tol=1e-9)
+
+
+def test_mixing_frequent_sizes_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 7)
+    monkeypatch.setattr(mixing, "BLOCK_SIZES", 4)
+    rows = [(i, "w " * (5 if i % 3 else i % 40)) for i in range(600)]
+    for broadcast in (0, 1000):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+        got = mixing.rates(frame(spark, rows)).collect()
+        assert sorted(r.doc_id for r in got) == list(range(600))
+        for source in {r.source for r in got}:
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= max(r.size for r in own)
+            assert all(r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in own)
+
+
+def test_mix_keeps_columns_that_clash(spark):
+    docs = frame(spark, [(1, "a b"), (2, "c d e")]).withColumnsRenamed({"rest": "draw", "ids": "copies", "chunk": "nth"})
+    assert mixing.apply_mix(docs).columns == docs.columns
+    assert {r.draw for r in mixing.apply_mix(docs).collect()} == {"r"}
+
+
 def test_mixing_dual_is_solved(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 90))) for i in range(400)]
     got = [r for r in mixing.rates(frame(spark, rows)).collect()]
