@@ -4,17 +4,24 @@ Vectors are compared inside their label. Equal vectors are one node from the sta
 split each label into shards; every node goes to the shards of its few nearest centroids, so shards overlap. In a shard
 each node picks neighbours from the nearest ones and some random ones by robust pruning: a candidate is dropped if an
 already picked neighbour is much nearer to it than the node is. The lists of all shards of a node are united. Then every
-node is searched for in each of its shards, over the united lists: greedy beam search from the shard's medoid, then the
-range expands from every node over the threshold to its neighbours until no new one is found. Whatever is found is
-verified in double precision. A brute-force audit of a bounded number of queries measures recall; below the target the
-overlap doubles and the work is done again.
+node is searched for in each of its shards, over the united graph there: the shard's nodes and those neighbours of theirs
+that lie in other shards but are near enough for a link to lead over them. Greedy beam search goes from the shard's medoid,
+then the range expands from every node over the threshold to its neighbours until no new one is found. Whatever is found is
+verified in double precision.
+
+A link is counted in one of the shards that both nodes are in, the first by name, and only the sums of each node and edges
+that span the links leave a shard; links of nodes without a common shard leave it one by one. A brute-force audit measures
+recall, by link and by query, on some queries drawn from all nodes and some from those that have a link; below the target
+the overlap doubles and the work is done again, and after the last overlap all pairs of each label are compared exactly, in
+tiles. Where neither draw has a link, nothing was found and nothing is there to be measured.
 
 Shards beyond a size are split into tiles, and each pair of tiles is a shard of its own, so that memory stays bounded and
 no pair is lost.
 
 Vectors that are null, zero, empty, or hold a null or non-finite component, and vectors without a label, link with
 nothing and are their own component. Vectors of different length never link. Repeated rows are equal vectors: they link
-with each other. A component's id is the smallest vec_id in it that is not null. An empty table gives an empty result.
+with each other. A component's id is the smallest vec_id in it that is not null. An empty table gives an empty result;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +41,11 @@ THRESHOLD = 0.93
 SAMPLE_ROWS, SHARD_ROWS = 20_000, 256
 OVERLAP, MAX_SHARD = 3, 4096
 DEGREE, POOL, RANDOM_POOL, ALPHA, BEAM = 24, 64, 32, 1.2, 32
+#: Queries of each of the two draws of the audit.
 AUDIT_QUERIES, TARGET_RECALL = 200, 0.95
+LAST_OVERLAP = 24
+#: Hashes that are tried as ids of the vectors until no two different vectors share one.
+SALTS = 8
 
 
 def _matrix(column) -> np.ndarray:
@@ -63,15 +74,16 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.
     return c
 
 
-def build(x: np.ndarray, seed: int = 5) -> list[np.ndarray]:
-    """Neighbours of each row by robust pruning, with the reverse edges."""
+def build(x: np.ndarray, seed: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Neighbours of each row by robust pruning, with the reverse edges, and the similarity of the nearest one."""
     n = len(x)
     rng, out = np.random.default_rng(seed), [[] for _ in range(n)]
-    near, far = min(POOL, n - 1), min(RANDOM_POOL, n - 1)
+    near, far, best = min(POOL, n - 1), min(RANDOM_POOL, n - 1), np.full(n, -1.0)
     for lo in range(0, n if n > 1 else 0, 256):
         sims = x[lo : lo + 256] @ x.T
         rows = np.arange(len(sims))
         sims[rows, lo + rows] = -2.0
+        best[lo : lo + 256] = sims.max(axis=1)
         pool = np.argpartition(-sims, near - 1, axis=1)[:, :near]
         pool = np.concatenate([pool, rng.integers(0, n, (len(sims), far))], axis=1)
         gap = 1 - np.take_along_axis(sims, pool, axis=1)
@@ -93,7 +105,7 @@ def build(x: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     for i, picked in enumerate(out):
         for j in picked:
             back[j].append(i)
-    return [np.unique(np.array(a + b[:DEGREE], np.int64)) for a, b in zip(out, back, strict=True)]
+    return [np.unique(np.array(a + b[:DEGREE], np.int64)) for a, b in zip(out, back, strict=True)], best
 
 
 def search(x: np.ndarray, lists: list[np.ndarray], threshold: float, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,17 +162,36 @@ def search(x: np.ndarray, lists: list[np.ndarray], threshold: float, rows: np.nd
     return q[sure], node[sure]
 
 
-def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(vec_id, node, label, vec): node is a hash of space and vector, null for vectors that link with nothing."""
+def rows_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """(vec_id, label, vec): label and vec are null for vectors that link with nothing; the label tells lengths apart too."""
     vec = F.col(vec_col).cast("array<double>")
     good = F.col(label_col).isNotNull() & F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, F.concat_ws(":", F.col(label_col).cast("string"), F.size(vec).cast("string"))).alias("label"), F.when(good, vec).alias("vec"))
-    return rows.withColumn("node", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vec")))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, F.concat_ws(":", F.col(label_col).cast("string"), F.size(vec).cast("string"))).alias("label"), F.when(good, vec).alias("vec"))
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with node, a hash of label and vector, and the nodes (node, label, vec, times), which are equal vectors and no others."""
+    for salt in range(SALTS):
+        named = rows.withColumn("node", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vec", F.lit(salt))))
+        same = F.struct("label", "vec")
+        nodes = named.where("node is not null").groupBy("node").agg(F.min(same).alias("low"), F.max(same).alias("high"), F.count("*").alias("times"))
+        nodes = cut(nodes.select("node", "low.label", "low.vec", "times", (F.col("low") != F.col("high")).alias("clash")))
+        if not nodes.where("clash").limit(1).count():
+            return named, nodes.drop("clash")
+    raise RuntimeError("hashes of vectors clash")
+
+
+def _tiled(placed: DataFrame) -> DataFrame:
+    """(shard, place, tile, ...) of (shard, node, ...): shards that fit are one place, of others each pair of tiles is one."""
+    tiles = placed.groupBy("shard").agg(F.ceil(F.count("*") * 2 / MAX_SHARD).cast("int").alias("tiles"))
+    tiles = tiles.withColumn("tiles", F.when(F.col("tiles") > 2, F.col("tiles")).otherwise(1))
+    at = F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", "shard", F.least(o, "tile").cast("string"), F.greatest(o, "tile").cast("string")))
+    return placed.join(tiles, "shard").withColumn("tile", at).withColumn("place", F.explode(places)).drop("tiles")
 
 
 def _shards(nodes: DataFrame, overlap: int) -> DataFrame:
-    """(shard, node, vec): each node in the shards of its nearest centroids, large shards as pairs of tiles."""
-    spark = nodes.sparkSession
+    """(shard, place, tile, homes, node, times, vec): each node in the shards of its nearest centroids, its homes."""
     sizes = {r["label"]: r["count"] for r in nodes.groupBy("label").count().orderBy(F.desc("count"), "label").limit(SAMPLE_ROWS).collect()}
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).select("label", "vec").toArrow()
     labels = np.array(sample["label"].to_pylist(), dtype=object)
@@ -177,55 +208,124 @@ def _shards(nodes: DataFrame, overlap: int) -> DataFrame:
                 own = batch.take(pa.array(np.flatnonzero(names == label)))
                 c = fitted.get(label)
                 near = np.zeros((own.num_rows, 1), np.int64) if c is None else np.argsort(-(_matrix(own.column("vec")) @ c.T), axis=1)[:, :overlap]
-                at = pa.array(np.repeat(np.arange(own.num_rows), near.shape[1]))
-                shard = pa.array([f"{label}/{i}" for i in near.ravel().tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([shard, own.column("node").take(at), own.column("vec").take(at)], names=["shard", "node", "vec"])
-
-    placed = nodes.select("label", "node", "vec").mapInArrow(assign, "shard string, node bigint, vec array<double>")
-    placed = cut(placed)
-    tiles = placed.groupBy("shard").agg(F.ceil(F.count("*") * 2 / MAX_SHARD).cast("int").alias("tiles"))
-    # pairs of tiles (t, other) with t first or second; a shard that fits is its own only tile
-    tile = F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")
-    pairs = F.when(F.col("tiles") <= 2, F.array(F.concat(F.col("shard"), F.lit("/all")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", "shard", F.least(o, tile).cast("string"), F.greatest(o, tile).cast("string"))))
-    return cut(placed.join(tiles, "shard").select(F.explode(pairs).alias("shard"), "node", "vec"))
-
-
-def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
-    ids = rows["node"].to_numpy()
-    lists = build(_matrix(rows["vec"]))
-    return pa.table({"node": pa.array(ids), "near": pa.array([ids[a].tolist() for a in lists], pa.list_(pa.int64()))})
-
-
-def graph_pairs(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
-    """(a, b) with a < b: nodes found over the threshold."""
-    shards = _shards(nodes, overlap)
-    built = shards.groupBy("shard").applyInArrow(lambda k, t: _build_shard(k, t), "node bigint, near array<bigint>")
-    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, x = rows["node"].to_numpy(), _matrix(rows["vec"])
+                homes = pa.array([[f"{label}/{i}" for i in x] for x in near.tolist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([homes, *(own.column(c) for c in ("node", "times", "vec"))], names=["homes", "node", "times", "vec"])
+
+    placed = nodes.select("label", "node", "times", "vec").mapInArrow(assign, "homes array<string>, node bigint, times bigint, vec array<double>")
+    return cut(_tiled(cut(placed).withColumn("shard", F.explode("homes"))))
+
+
+def _build_place(key: tuple, rows: pa.Table, threshold: float) -> pa.Table:
+    """(node, near, close, linked): close are the neighbours over which a link may lead to another shard: what both ends of a
+    path of two links may be apart."""
+    ids, x = rows["node"].to_numpy(), _matrix(rows["vec"])
+    lists, best = build(x)
+    reach = 2 * threshold * threshold - 1 if threshold > 0 else -1.0
+    close = [a[np.einsum("id,d->i", x[a], x[i]) >= reach - 1e-9] for i, a in enumerate(lists)]
+    longs = lambda found: pa.array([ids[a].tolist() for a in found], pa.list_(pa.int64()))
+    return pa.table({"node": pa.array(ids), "near": longs(lists), "close": longs(close), "linked": pa.array(best >= threshold)})
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that row i of a and row i of b have in common; rows are filled up with -1, which counts as none."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    for c in a.T:
+        both = (b == c[:, None]).any(axis=1) & (c >= 0)
+        out[both] = np.minimum(out[both], c[both])
+    return out
+
+
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which edges join what all edges join."""
+    root, out = list(range(n)), []
+    for k, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append(k)
+    return out
+
+
+#: What a place returns: sums of links (a, n), edges that span them, links over shards, and links of audited queries.
+_SUM, _SPAN, _CROSS, _ASKED = range(4)
+
+
+def _links_in(key: tuple, rows: pa.Table, threshold: float, asked: np.ndarray, exact: bool) -> pa.Table:
+    ids, x, times = rows["node"].to_numpy(), _matrix(rows["vec"]), rows["times"].to_numpy()
+    tile, shard = rows["tile"].to_numpy(), rows["shard"][0].as_py()
+    own, lists = np.ones(len(ids), bool), []
+    if not exact:
+        own = rows["own"].to_numpy(zero_copy_only=False).astype(bool)
         order = np.argsort(ids)
-        lists = []
         for near in rows["near"].to_pylist():
             near = np.array(near or [], np.int64)
             at = order[np.minimum(np.searchsorted(ids, near, sorter=order), len(ids) - 1)]
             lists.append(at[ids[at] == near])
-        out = []
-        for lo in range(0, len(ids), 512):
-            q, node = search(x, lists, threshold, np.arange(lo, min(lo + 512, len(ids))))
-            out.append(np.column_stack([ids[lo + q], ids[node]]))
-        both = np.concatenate(out)
-        both = np.unique(np.sort(both, axis=1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
-
-    return shards.join(united, "node").groupBy("shard").applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def audit(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT_QUERIES) -> float:
-    """The share of all links of some queries that are among pairs. The queries are few and fixed by a hash; they are compared with every node."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(queries).select("node", "label", "vec").collect()
-    if not asked:
-        return 1.0
+    members, found = np.flatnonzero(own), []
+    for lo in range(0, len(members), 512):
+        queries = members[lo : lo + 512]
+        if exact:
+            q, node = np.nonzero(x[queries] @ x.T >= threshold)
+        else:
+            q, node = search(x, lists, threshold, queries)
+        found.append(np.column_stack([queries[q], node]))
+    both = np.sort(np.concatenate(found), axis=1)
+    a, b = np.unique(both[both[:, 0] < both[:, 1]], axis=0).T
+    names, homes = rows["homes"].to_pylist(), np.full((len(ids), max(map(len, rows["homes"].to_pylist()))), -1)
+    code = {name: i for i, name in enumerate(sorted({h for x in names for h in x} | {shard}))}
+    for i, held in enumerate(names):
+        homes[i, : len(held)] = [code[h] for h in held]
+    here = _first_common(homes[a], homes[b])
+    # a tiled shard has a place for each pair of tiles: the pair's own one counts it
+    lo, hi = (int(t) for t in key[0].as_py().rsplit("/", 2)[1:])
+    counted = (here == code[shard]) & own[a] & own[b] & (np.minimum(tile[a], tile[b]) == lo) & (np.maximum(tile[a], tile[b]) == hi)
+    cross = here == np.iinfo(np.int64).max
+    sums = np.bincount(a[counted], times[b[counted]], len(ids)) + np.bincount(b[counted], times[a[counted]], len(ids))
+    inner = own[a] & own[b]
+    span = np.flatnonzero(inner)[_spanning(len(ids), a[inner], b[inner])]
+    some, ask = np.flatnonzero(sums), np.isin(ids[a], asked) | np.isin(ids[b], asked)
+    parts = [(_SUM, ids[some], ids[some], sums[some].astype(np.int64)), *((kind, np.minimum(ids[a[w]], ids[b[w]]), np.maximum(ids[a[w]], ids[b[w]]), np.zeros(len(ids[a[w]]), np.int64)) for kind, w in ((_SPAN, span), (_CROSS, cross), (_ASKED, ask)))]
+    kinds = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int32)
+    a, b, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    return pa.table({"kind": pa.array(kinds), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
+
+
+_FOUND = "kind int, a bigint, b bigint, n bigint"
+
+
+def graph_links(nodes: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """What the places return, and the audit's queries (node, label, vec)."""
+    shards = _shards(nodes, overlap)
+    built = cut(shards.groupBy("place").applyInArrow(lambda k, t: _build_place(k, t, threshold), "node bigint, near array<bigint>, close array<bigint>, linked boolean"))
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    united = cut(built.groupBy("node").agg(merged("near"), merged("close"), F.max("linked").alias("linked")))
+    draw = lambda df: df.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(AUDIT_QUERIES).select("node")
+    asked = cut(draw(united).union(draw(united.where("linked"))).distinct())
+    ids = np.array([r.node for r in asked.collect()], np.int64)
+    members = shards.join(united.select("node", "near", "close"), "node")
+    # neighbours in other shards, near enough for a link to lead over them
+    seats = shards.select("shard", "place", "node")
+    ring = members.select("shard", "place", F.explode("close").alias("node")).distinct().join(seats, ["shard", "place", "node"], "left_anti")
+    homes = nodes.select("node", "times", "vec").join(shards.select("node", "homes").dropDuplicates(["node"]), "node")
+    ring = ring.join(homes, "node").join(united.select("node", "near"), "node").withColumn("tile", F.lit(-1)).withColumn("own", F.lit(False))
+    columns = ["shard", "place", "tile", "homes", "node", "times", "vec", "near", "own"]
+    rows = members.withColumn("own", F.lit(True)).select(*columns).unionByName(ring.select(*columns))
+    return cut(rows.groupBy("place").applyInArrow(lambda k, t: _links_in(k, t, threshold, ids, False), _FOUND)), nodes.join(F.broadcast(asked), "node")
+
+
+def exact_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """What graph_links() returns first, by comparing all pairs of each label in pairs of tiles."""
+    rows = _tiled(nodes.select(F.col("label").alias("shard"), F.array("label").alias("homes"), "node", "times", "vec"))
+    return cut(rows.groupBy("place").applyInArrow(lambda k, t: _links_in(k, t, threshold, np.zeros(0, np.int64), True), _FOUND))
+
+
+def audit(nodes: DataFrame, found: DataFrame, asked: DataFrame, threshold: float) -> float | None:
+    """The share of the queries' links that were found, by link or the mean by query, whichever is less; None if they have none.
+    The queries are few and fixed by a hash; they are compared with every node."""
+    asked = asked.select("node", "label", "vec").collect()
     labels = np.array([r.label for r in asked], dtype=object)
     own = {label: (np.array([r.node for r in asked if r.label == label]), _matrix(pa.array([r.vec for r in asked if r.label == label]))) for label in set(labels.tolist())}
 
@@ -238,27 +338,35 @@ def audit(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, quer
                     there = batch.take(pa.array(rows))
                     n, q = np.nonzero(_matrix(there.column("vec")) @ x.T >= threshold)
                     a, b = ids[q], there.column("node").to_numpy()[n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["query", "other"])
 
-    truth = cut(nodes.select("node", "label", "vec").mapInArrow(run, "a bigint, b bigint").distinct())
-    total, found = truth.count(), truth.join(pairs, ["a", "b"], "left_semi").count()
-    return found / total if total else 1.0
+    truth = nodes.select("node", "label", "vec").mapInArrow(run, "query bigint, other bigint")
+    got = found.where(f"kind = {_ASKED}").select("a", "b").distinct()
+    got = got.select(F.col("a").alias("query"), F.col("b").alias("other"), F.lit(1).alias("hit")).unionByName(got.select(F.col("b").alias("query"), F.col("a").alias("other"), F.lit(1).alias("hit")))
+    by = truth.join(got, ["query", "other"], "left").groupBy("query").agg(F.count("hit").alias("hits"), F.count("*").alias("links"))
+    r = by.agg(F.sum("hits") / F.sum("links"), F.avg(F.col("hits") / F.col("links"))).first()
+    return None if r[0] is None else min(r)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each vector."""
-    rows = cut(nodes_of(vectors, id_col, vec_col, label_col))
-    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("times")))
+    rows, nodes = numbered(cut(rows_of(vectors, id_col, vec_col, label_col)))
     overlap = OVERLAP
     while True:
-        pairs = cut(graph_pairs(nodes, threshold, overlap))
-        if audit(nodes, pairs, threshold) >= TARGET_RECALL or overlap >= 8 * OVERLAP:
+        found, asked = graph_links(nodes, threshold, overlap)
+        recall = audit(nodes, found, asked, threshold)
+        if recall is None or recall >= TARGET_RECALL:
+            break
+        if overlap >= LAST_OVERLAP:
+            found = exact_links(nodes, threshold)
             break
         overlap *= 2
     times = nodes.select("node", "times")
-    ways = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    links = ways.join(times.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("times").alias("n"))
-    joined = components(pairs)
+    cross = cut(found.where(f"kind = {_CROSS}").select("a", "b").distinct())
+    ways = cross.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(cross.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    sums = found.where(f"kind = {_SUM}").select(F.col("a").alias("node"), "n")
+    links = sums.unionByName(ways.join(times.withColumnRenamed("node", "other"), "other").select("node", F.col("times").alias("n"))).groupBy("node").agg(F.sum("n").alias("n"))
+    joined = components(found.where(f"kind in ({_SPAN}, {_CROSS})").select("a", "b"))
     out = rows.select("vec_id", "node").join(times, "node", "left").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = out.where("node is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
     out = out.join(least, "component", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("least")))

@@ -214,6 +214,56 @@ def test_embedding_tiles_lose_no_pair(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.n_links for r in got) >= 0.95 * 150 * 149
 
 
+def plain_links(rows, threshold=0.93):
+    unit = [(i, np.array(v) / np.linalg.norm(v), label) for i, v, label in rows]
+    links = [(x[0], y[0]) for k, x in enumerate(unit) for y in unit[:k] if x[2] == y[2] and x[1] @ y[1] >= threshold]
+    return Counter(x for pair in links for x in pair), union_find([r[0] for r in rows], links)
+
+
+def near_rows(seed, groups, size, noise):
+    rng, rows = np.random.default_rng(seed), []
+    for g in range(groups):
+        base = rng.standard_normal(8)
+        rows += [(len(rows) + k, [float(np.float32(x)) for x in base + rng.standard_normal(8) * noise], g % 2) for k in range(size)]
+    return rows
+
+
+def test_embedding_links_lead_over_shards(spark, monkeypatch):
+    """With one home each, links between shards are found over the united lists, and none is counted twice."""
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 12)
+    monkeypatch.setattr(embed_dedup, "TARGET_RECALL", 0.0)
+    rows = near_rows(3, 8, 40, 0.12)
+    count, _ = plain_links(rows)
+    got = {}
+    for overlap in (1, 2, 3):
+        monkeypatch.setattr(embed_dedup, "OVERLAP", overlap)
+        out = embed_dedup.near_duplicates(vectors(spark, rows)).collect()
+        assert all(r.n_links <= count[r.vec_id] for r in out)
+        got[overlap] = sum(r.n_links for r in out) / sum(count.values())
+    assert got[2] >= 0.9 and got[3] >= 0.97
+    nodes = embed_dedup.numbered(embed_dedup.cut(embed_dedup.rows_of(vectors(spark, rows), "vec_id", "embedding", "label")))[1]
+    found, asked = embed_dedup.graph_links(nodes, 0.93, 2)
+    assert found.where(f"kind = {embed_dedup._CROSS}").count() > 0
+    assert embed_dedup.audit(nodes, found, asked, 0.93) >= 0.9
+    assert embed_dedup.audit(nodes, found.where("kind = 0"), asked, 0.93) == 0
+    assert embed_dedup.audit(nodes, found, asked.limit(0), 0.93) is None
+
+
+@pytest.mark.parametrize("largest", [4096, 40])
+def test_embedding_falls_back_to_all_pairs(spark, monkeypatch, largest):
+    monkeypatch.setattr(embed_dedup, "MAX_SHARD", largest)
+    monkeypatch.setattr(embed_dedup, "TARGET_RECALL", 2.0)
+    monkeypatch.setattr(embed_dedup, "LAST_OVERLAP", embed_dedup.OVERLAP)
+    rows = near_rows(5, 5, 30, 0.2)
+    count, root = plain_links(rows)
+    got = embed_dedup.near_duplicates(vectors(spark, rows + [(900, rows[0][1], 0)])).collect()
+    assert count.total() > 0
+    same = {900, 0, *(r[0] for r in rows if plain_links([rows[0], r])[0])}
+    for r in got:
+        assert r.n_links == (count[r.vec_id] if r.vec_id < 900 else count[0]) + (r.vec_id in same)
+        assert r.component_id == root.get(r.vec_id, root[0])
+
+
 def test_lm_base_and_model(spark):
     rng = np.random.default_rng(2)
     tongues = [[f"{p}{i}" for i in range(40)] for p in "abcd"]
