@@ -32,10 +32,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder of spark.checkpoint.dir (a local one only where that is unset)."""
+    """Cuts the lineage with a checkpoint in the shared folder of spark.checkpoint.dir. Where that is unset a temporary folder
+    does for a local master; a cluster has to name one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
 
 

@@ -4,21 +4,25 @@ A document is its set of distinct word n-grams. Equal sets are one record from t
 sizes, each 1 / threshold wide, so partners are in one band or in neighbours. Two linked records of a band differ in at
 most H n-grams; the hash space is cut into H + 1 segments, so some segment is equal in both. Every record indexes the
 signature of each of its segments for its own band, and of the first few segments also all their one-deletion
-neighbourhoods. It probes its own band and the next one. Probing costs what a segment matches by chance: segments without
-an n-gram, or with one, match many strangers. So a probe allocates: it skips those, and for each one raises a segment that
-holds many to distance one (equal, or one n-gram more or less on either side), which keeps the sum of the pigeonhole
-argument at H + 1. Where there are not enough segments to raise, it doesn't skip.
+neighbourhoods. It probes its own band and the next one. Probing a segment costs what it sends and what it matches, which
+differs a lot: segments without an n-gram, with a common one, or of a passage that many share match many strangers. So a
+first pass counts the index's signatures over all documents in a table of fixed size, and a probe allocates by these costs:
+it skips its dearest segments, and for each one raises the cheapest that it can to distance one (equal, or one n-gram more or
+less on either side), as long as that saves something. The sum of the pigeonhole argument stays H + 1.
 
 Signatures meet in buckets as packed arrays. Records with a common signature are a group; groups are sets of candidates.
 Each record joins the clusters of two leaders, the one it shares most groups with and the one that most share with, and all
 pairs of a cluster are compared at once. Then all pairs that have a signature in common and are neither in one cluster nor in
-one component are compared one by one. Both go in two steps. First sizes, and the parities of the n-grams' places in a table,
+one component are compared, in tiles of their group. Both go in two steps. First sizes, and the parities of the n-grams' places in a table,
 a few bits for each n-gram, prove most pairs to differ too much. Then the texts of records that have a partner left, and no
 others, are sent and compared whole: clusters as a product of matrices, of which only joining links come back.
 
+Sets are equal if two hashes of them are, 128 bits together: records with one id but another second hash get ids of their own.
+
 Null texts, and texts without a word, have an empty set and link with nothing. Texts with fewer words than n are one
 n-gram, the whole sequence. Repeated rows are equal sets. Null ids are smaller than none: a component's id is its smallest
-id that is not null. An empty table gives an empty result; extra columns are ignored.
+id that is not null. An empty table gives an empty result; extra columns are ignored by classes() and kept by dedup_docs(),
+whatever their names. A document must fit in a task's memory about 60 times over; there is no other limit to its length.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ SLICE_BYTES = 4 << 20
 SIG_BITS = 32
 #: One in so many segments has its one-deletion neighbourhoods indexed, for probes to raise.
 RAISED = 16
-#: A probe skips segments with at most so many n-grams, if it can raise another one.
-SKIP_AT_MOST = 1
+#: The table of costs has 2 ** COST_BITS counters; so many tables are added up in one task.
+COST_BITS, FAN_IN = 20, 16
 #: Members of a group in one row.
 ROW_MEMBERS = 4096
 #: Members of a cluster that are compared at once with each other, or with as many; columns of the matrix at a time.
@@ -51,6 +55,7 @@ BROADCAST_ROWS = 250_000
 SHORT = 8
 _NEAR = np.uint64(0x5851F42D4C957F2D)
 _COUNT = np.uint64(0xD6E8FEB86659FD93)
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def record_sets(data: np.ndarray, off: np.ndarray, hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +75,23 @@ def record_sets(data: np.ndarray, off: np.ndarray, hasher: Hasher, n: int) -> tu
     return np.concatenate(out) if out else np.zeros(0, np.uint64), edge
 
 
-def record_ids(sets: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set; sets are equal if their ids are."""
+def record_ids(sets: np.ndarray, edge: np.ndarray, seed: np.uint64 = _NEAR) -> np.ndarray:
+    """A 64-bit hash of each set."""
     total = np.zeros(len(sets) + 1, np.uint64)
-    np.cumsum(mixed(sets ^ _NEAR), out=total[1:])
+    np.cumsum(mixed(sets ^ seed), out=total[1:])
     return mixed(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(np.uint64) * _COUNT).view(np.int64)
 
 
+def second_ids(sets: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Another hash of each set."""
+    return record_ids(sets, edge, _SECOND)
+
+
+def told_apart(ids: np.ndarray, second: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The ids, with the second hash worked into those that different sets share."""
+    return np.where(np.isin(ids, clashes), ids ^ mixed(second.view(np.uint64)).view(np.int64), ids) if len(clashes) else ids
+
+
 class Bands:
     """Bands of set sizes and the number of segments in each."""
 
@@ -98,8 +113,9 @@ class Bands:
 INDEX, PROBE = 1, 2
 
 
-def signatures(sets: np.ndarray, edge: np.ndarray, band: np.ndarray, bands: Bands, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, signature, roles) of each record for a band: its own, or the next one, which it only probes."""
+def signatures(sets: np.ndarray, edge: np.ndarray, band: np.ndarray, bands: Bands, own: bool, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, signature, roles) of each record for a band: its own, or the next one, which it only probes. costs: how many
+    records index a signature, by its highest bits."""
     sizes = np.diff(edge)
     m = bands.segments[band]
     base = np.concatenate([[0], np.cumsum(m)])
@@ -117,25 +133,30 @@ def signatures(sets: np.ndarray, edge: np.ndarray, band: np.ndarray, bands: Band
     place = mixed((band[owner].astype(np.uint64) << np.uint64(40)) + nth.astype(np.uint64) + np.uint64(1))
     sig = lambda at, s, c: mixed(s + c.astype(np.uint64) * _COUNT + place[at])
     able = nth < bands.raised[band][owner]
-    # allocation: the nth lowest segment to skip pays with the nth highest one to raise
-    weak = np.flatnonzero(held <= SKIP_AT_MOST)
-    weak = weak[np.lexsort((held[weak], owner[weak]))]
-    strong = np.flatnonzero(able & (held > SKIP_AT_MOST))
-    strong = strong[np.lexsort((-held[strong], owner[strong]))]
+    every, t = np.arange(total), np.flatnonzero(able[seg])
+    exact, at = sig(every, sums, held), seg[t]
+    less = sig(at, sums[at] - value[t], held[at] - 1)
+    # allocation: the nth dearest segment is skipped if the nth cheapest of those that can be raised costs less to raise
+    met = lambda s: costs[(s >> np.uint64(64 - COST_BITS)).astype(np.int64)]
+    saved = 1 + met(exact)
+    price = 1.0 + held + met(exact ^ _NEAR) + np.bincount(at, met(less), total)
+    skips, raises = np.flatnonzero(~able), np.flatnonzero(able)
+    skips, raises = skips[np.lexsort((-saved[skips], owner[skips]))], raises[np.lexsort((price[raises], owner[raises]))]
     rank = lambda x: np.arange(len(x)) - np.searchsorted(owner[x], owner[x])
-    pays = np.minimum(np.bincount(owner[weak], minlength=len(sizes)), np.bincount(owner[strong], minlength=len(sizes)))
+    best = np.full((2, len(sizes), int(bands.raised[band].max(initial=0)) + 1), [[[0.0]], [[np.inf]]])
+    for row, x, worth in zip(best, (skips, raises), (saved, price), strict=True):
+        fits = rank(x) < row.shape[1]
+        row[owner[x][fits], rank(x)[fits]] = worth[x][fits]
+    pays = (best[0] > best[1]).sum(axis=1)
     skipped, raised = np.zeros(total, bool), np.zeros(total, bool)
-    skipped[weak[rank(weak) < pays[owner[weak]]]] = True
-    raised[strong[rank(strong) < pays[owner[strong]]]] = True
-    every = np.arange(total)
-    exact = sig(every, sums, held)
+    skipped[skips[rank(skips) < pays[owner[skips]]]] = True
+    raised[raises[rank(raises) < pays[owner[raises]]]] = True
     roles = np.where(skipped, 0, PROBE) | (INDEX if own else 0)
     out = [(owner[roles > 0], exact[roles > 0], roles[roles > 0]), (owner[raised], exact[raised] ^ _NEAR, np.full(int(raised.sum()), PROBE))]
-    for which, near, role in ((raised, False, PROBE), (able, True, INDEX))[: 2 if own else 1]:
-        t = np.flatnonzero(which[seg])
-        at = seg[t]
-        less = sig(at, sums[at] - value[t], held[at] - 1)
-        out.append((owner[at], less ^ _NEAR if near else less, np.full(len(t), role)))
+    up = raised[at]
+    out.append((owner[at[up]], less[up], np.full(int(up.sum()), PROBE)))
+    if own:
+        out.append((owner[at], less ^ _NEAR, np.full(len(at), INDEX)))
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
@@ -261,8 +282,8 @@ _SHORT = [f"f{i}" for i in range(SHORT)]
 
 
 def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, draw, rec, n_shingles, odd, f0, f1, ...): draw is a hash of the row, rec is null for empty sets, the others
-    are parities() and short_parities()."""
+    """(doc_id, draw, rec, second, n_shingles, odd, f0, f1, ...): draw is a hash of the row, rec and second are hashes of the
+    set, rec null for empty ones, the others are parities() and short_parities()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,50 +294,84 @@ def records(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str =
                 sets, edge = record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n)
                 sizes = np.diff(edge)
                 short = short_parities(sets, edge)
-                cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("draw").slice(lo, hi - lo), pa.array(record_ids(sets, edge), mask=sizes == 0), pa.array(sizes), pa.array(parities(sets, edge), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(short[:, i]) for i in range(SHORT))], names=["doc_id", "draw", "rec", "n_shingles", "odd", *_SHORT])
+                cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("draw").slice(lo, hi - lo), pa.array(record_ids(sets, edge), mask=sizes == 0), pa.array(second_ids(sets, edge)), pa.array(sizes), pa.array(parities(sets, edge), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(short[:, i]) for i in range(SHORT))], names=["doc_id", "draw", "rec", "second", "n_shingles", "odd", *_SHORT])
+
+    return rows.mapInArrow(run, "doc_id bigint, draw bigint, rec bigint, second bigint, n_shingles bigint, odd binary, " + ", ".join(f"{f} bigint" for f in _SHORT))
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int, clashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sets, offsets, ids) of the different non-empty sets of each slice of texts."""
+    hasher = Hasher()
+    for batch in batches:
+        data, off = utf8(batch.column(0))
+        for lo, hi in slices(off, SLICE_BYTES):
+            sets, edge = record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n)
+            ids, sizes = told_apart(record_ids(sets, edge), second_ids(sets, edge), clashes), np.diff(edge)
+            _, first = np.unique(ids, return_index=True)
+            picked = np.zeros(len(ids), bool)
+            picked[first[sizes[first] > 0]] = True
+            if picked.any():
+                yield sets[np.repeat(picked, sizes)], np.concatenate([[0], np.cumsum(sizes[picked])]), ids[picked]
 
-    return rows.mapInArrow(run, "doc_id bigint, draw bigint, rec bigint, n_shingles bigint, odd binary, " + ", ".join(f"{f} bigint" for f in _SHORT))
 
+def index_costs(texts: DataFrame, bands: Bands, n: int, clashes: np.ndarray) -> np.ndarray:
+    """How many records index the signatures of each counter of the table, less the mean, which is chance."""
+    none = np.zeros(1 << COST_BITS)
 
-def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts = np.zeros(1 << COST_BITS, np.int64)
+        for sets, edge, _ in _distinct_sets(batches, n, clashes):
+            _, sig, role = signatures(sets, edge, bands.of(np.diff(edge)), bands, True, none)
+            counts += np.bincount((sig[role & INDEX > 0] >> np.uint64(64 - COST_BITS)).astype(np.int64), minlength=len(counts))
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(counts)], pa.binary())], names=["part", "blob"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << COST_BITS, np.int64)
+        for blob in rows["blob"]:
+            counts += unpack(blob.as_py())[0]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([pack(counts)], pa.binary())})
+
+    parts, left = texts.mapInArrow(run, "part bigint, blob binary"), max(2, texts.rdd.getNumPartitions())
+    while left > 1:
+        parts = parts.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(add, "part bigint, blob binary")
+        left = -(-left // FAN_IN)
+    got = parts.select("blob").head()
+    if not got:
+        return none
+    counts = unpack(bytes(got.blob))[0]
+    return np.maximum(0.0, counts - counts.mean())
+
+
+def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_col: str, clashes: np.ndarray) -> DataFrame:
     """(grp, part, times, recs, probes): groups of records with a common signature, each different group once."""
     bands, parts = Bands(percent, largest), partitions(docs.sparkSession)
     bits = max(1, (parts - 1).bit_length())
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    costs = index_costs(texts, bands, n, clashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            data, off = utf8(batch.column(0))
-            for lo, hi in slices(off, SLICE_BYTES):
-                sets, edge = record_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hasher, n)
-                ids = record_ids(sets, edge)
-                _, first = np.unique(ids, return_index=True)
-                first = first[np.diff(edge)[first] > 0]
-                if not len(first):
-                    continue
-                picked = np.zeros(len(ids), bool)
-                picked[first] = True
-                sizes = np.diff(edge)
-                sets, ids = sets[np.repeat(picked, sizes)], ids[picked]
-                edge = np.concatenate([[0], np.cumsum(sizes[picked])])
-                band = bands.of(np.diff(edge))
-                both = [signatures(sets, edge, band, bands, True), signatures(sets, edge, band + 1, bands, False)]
-                rec, sig, role = (np.concatenate([x[i] for x in both]) for i in range(3))
-                sig >>= np.uint64(64 - SIG_BITS - bits)
-                order = np.argsort(sig)
-                rec, sig, role = rec[order], sig[order], role[order].astype(np.uint8)
-                cuts = bounds(sig, bits, SIG_BITS + bits)
-                low = (sig & np.uint64((1 << SIG_BITS) - 1)).astype(np.uint32)
-                buckets = np.flatnonzero(np.diff(cuts)).tolist()
-                blobs = []
-                for b in buckets:
-                    part = slice(cuts[b], cuts[b + 1])
-                    used, which = np.unique(rec[part], return_inverse=True)
-                    blobs.append(pack(steps(low[part]), which.astype(np.uint32), role[part], ids[used]))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-    sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, blob binary")
+        for sets, edge, ids in _distinct_sets(batches, n, clashes):
+            band = bands.of(np.diff(edge))
+            both = [signatures(sets, edge, band, bands, True, costs), signatures(sets, edge, band + 1, bands, False, costs)]
+            rec, sig, role = (np.concatenate([x[i] for x in both]) for i in range(3))
+            sig >>= np.uint64(64 - SIG_BITS - bits)
+            order = np.argsort(sig)
+            rec, sig, role = rec[order], sig[order], role[order].astype(np.uint8)
+            cuts = bounds(sig, bits, SIG_BITS + bits)
+            low = (sig & np.uint64((1 << SIG_BITS) - 1)).astype(np.uint32)
+            buckets = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = []
+            for b in buckets:
+                part = slice(cuts[b], cuts[b + 1])
+                used, which = np.unique(rec[part], return_inverse=True)
+                blobs.append(pack(steps(low[part]), which.astype(np.uint32), role[part], ids[used]))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    sent = texts.mapInArrow(run, "bucket int, blob binary")
     found = sent.groupBy("bucket").applyInArrow(lambda k, t: match(k, t), "grp bigint, part bigint, times bigint, recs array<bigint>, probes array<boolean>")
     return found.groupBy("grp", "part").agg(F.sum("times").alias("times"), F.first("recs").alias("recs"), F.first("probes").alias("probes"))
 
@@ -370,20 +425,60 @@ def _content(docs: DataFrame, owned: DataFrame, wanted: DataFrame, id_col: str,
 
 
 def _dealt(placed: DataFrame) -> DataFrame:
-    """(cluster, rec, place): small clusters share places, pairs of tiles of large ones have their own."""
+    """placed, of (cluster, rec, ...), with tile and place: small clusters share places, pairs of tiles of large ones have their own."""
     tiles = placed.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("rec", F.lit(5)), F.col("tiles")).cast("int")
     bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, placed.count() // TILE)))
     small = F.array(F.concat(F.lit("small/"), bin_.cast("string")))
     large = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least(o, tile).cast("string"), F.greatest(o, tile).cast("string")))
-    return placed.join(tiles, "cluster").select("cluster", "rec", F.explode(F.when(F.col("tiles") == 1, small).otherwise(large)).alias("place"))
+    return placed.join(tiles, "cluster").select(*placed.columns, tile.alias("tile"), F.explode(F.when(F.col("tiles") == 1, small).otherwise(large)).alias("place"))
+
+
+def _open_pairs(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
+    """The pairs of each cluster, one of which probes, in neither one component nor one home, that sizes and short parities
+    leave open. A place of two tiles compares those of one with those of the other."""
+    column = lambda name: rows[name].to_numpy()
+    cluster, rec, size, tile, component = (column(c) for c in ("cluster", "rec", "n", "tile", "component"))
+    probe, homes = rows["probe"].to_numpy(zero_copy_only=False), [set(x) for x in rows["homes"].to_pylist()]
+    short = np.column_stack([column(f) for f in _SHORT]).view(np.uint64)
+    place = key[0].as_py().split("/")
+    apart_tiles = len(place) == 3 and place[1] != place[2]
+    order, out = np.argsort(cluster, kind="stable"), []
+    at = np.append(groups(cluster[order]), len(order))
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        own = order[lo:hi]
+        for k, i in enumerate(own.tolist()):
+            other = own[k + 1 :]
+            other = other[(component[other] != component[i]) & (probe[other] | probe[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+            if apart_tiles:
+                other = other[tile[other] != tile[i]]
+            apart = np.bitwise_count(short[other] ^ short[i]).sum(axis=1, dtype=np.int64)
+            other = other[(100 + percent) * apart <= (100 - percent) * (size[other] + size[i])]
+            out += [(min(rec[i], rec[j]), max(rec[i], rec[j])) for j in other.tolist() if rec[i] != rec[j] and homes[i].isdisjoint(homes[j])]
+    out = sorted(set(out))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _renamed(owned: DataFrame, clashes: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rec = batch.column("rec")
+            ids = told_apart(rec.fill_null(0).to_numpy(), batch.column("second").to_numpy(), clashes)
+            yield batch.set_column(batch.schema.get_field_index("rec"), "rec", pa.array(ids, mask=rec.is_null().to_numpy(zero_copy_only=False)))
+
+    return owned.mapInArrow(run, owned.schema)
 
 
 def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """records() with component, the smallest record that links lead to; null for empty sets."""
     owned = cut(records(docs, n, id_col, text_col))
     largest = owned.agg(F.max("n_shingles")).first()[0] or 0
-    found = cut(candidate_groups(docs, largest, n, percent, text_col))
+    twice = owned.where("rec is not null").groupBy("rec").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select("rec")
+    # among billions of sets a handful share an id by chance
+    clashes = np.array([r.rec for r in twice.collect()], np.int64)
+    if len(clashes):
+        owned = cut(_renamed(owned, clashes))
+    found = cut(candidate_groups(docs, largest, n, percent, text_col, clashes))
     members = found.select("grp", "times", F.size("recs").alias("size"), F.explode(F.arrays_zip("recs", "probes")).alias("m")).select("grp", "times", "size", F.col("m.recs").alias("rec"), F.col("m.probes").alias("probe"))
     # who is in the largest and the most groups leads them: of a family of copies, the one that was copied
     weight = members.groupBy("rec").agg(F.sum(F.col("times") * F.col("size")).alias("weight"))
@@ -411,7 +506,7 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             kept[own] = _partnered(size[own], [odd[i] for i in own.tolist()], percent)
         return rows.select(["cluster", "rec"]).filter(pa.array(kept))
 
-    left = _dealt(placed).join(traits.select("rec", "n", "odd"), "rec").groupBy("place").applyInArrow(possible, "cluster bigint, rec bigint")
+    left = _dealt(placed).select("cluster", "rec", "place").join(traits.select("rec", "n", "odd"), "rec").groupBy("place").applyInArrow(possible, "cluster bigint, rec bigint")
     left = cut(left.distinct())
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
@@ -430,15 +525,11 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     # what is left: pairs with a common signature in neither one cluster nor one component
     label = members.join(near.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
     open_ = label.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("grp")
-    rest = label.join(open_, "grp").select("grp", "rec", "probe", "component").distinct().join(homes, "rec", "left")
+    rest = label.join(open_, "grp").select(F.col("grp").alias("cluster"), "rec", "probe", "component").distinct().join(homes, "rec", "left")
     # a record that leads its groups and is chosen by none has no home, and is compared with all its groups
-    rest = rest.withColumn("homes", F.coalesce("homes", F.array().cast("array<bigint>")))
-    rest = cut(rest.join(traits.select("rec", "n", *_SHORT), "rec"))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in _SHORT)
-    open_pair = "x.rec < y.rec and x.component <> y.component and (x.probe or y.probe) and not arrays_overlap(x.homes, y.homes)"
-    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)"
-    cross = x.join(y, F.col("x.grp") == F.col("y.grp")).where(f"{open_pair} and {alike}").select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct()
+    rest = cut(rest.withColumn("homes", F.coalesce("homes", F.array().cast("array<bigint>"))))
+    dealt = _dealt(rest).join(traits.select("rec", "n", *_SHORT), "rec")
+    cross = dealt.groupBy("place").applyInArrow(lambda k, t: _open_pairs(k, t, percent), "a bigint, b bigint").distinct()
     a = traits.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("odd").alias("pa"))
     b = traits.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("pb"))
     cross = cut(cross.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_maybe(percent), "a bigint, b bigint"))
@@ -464,8 +555,8 @@ def dedup_docs(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     """One row of each component, that with the smallest id, and all rows without a word; columns unchanged. Text is shuffled once."""
     owned = cut(joined_records(docs, n, percent, id_col, text_col))
     first = owned.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("m"))
-    kept = first.select(F.col("m.draw").alias("__draw"), F.lit(True).alias("__one")).distinct()
-    empty = owned.where("component is null").select(F.col("draw").alias("__draw"), F.lit(False).alias("__one")).distinct()
-    rows = docs.withColumn("__draw", F.xxhash64(id_col, text_col))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__draw").orderBy("__draw")))
-    return rows.join(kept.unionByName(empty), "__draw").where("__nth = 1 or not __one").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = first.select("m.draw", F.lit(True).alias("one")).distinct()
+    empty = owned.where("component is null").select("draw", F.lit(False).alias("one")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(id_col, text_col).alias("draw"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("draw").orderBy("draw")))
+    return rows.join(kept.unionByName(empty), "draw").where("nth = 1 or not one").select("row.*")

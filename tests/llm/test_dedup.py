@@ -155,6 +155,50 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == plain_classes(rows, 4, 85)
 
 
+def test_ngram_join_tells_sets_with_one_id_apart(spark, monkeypatch):
+    """With ids of 5 bits nearly all sets share one; the second hash makes ids of their own."""
+    plain = ngram_join.record_ids
+    monkeypatch.setattr(ngram_join, "record_ids", lambda sets, edge: plain(sets, edge) >> 59)
+    monkeypatch.setattr(ngram_join, "second_ids", lambda sets, edge: plain(sets, edge, ngram_join._SECOND))
+    rows = corpus(3, 60)
+    got = ngram_join.classes(frame(spark, rows), 4, 85).collect()
+    assert sorted(tuple(r) for r in got) == plain_classes(rows, 4, 85)
+
+
+def test_ngram_join_allocates_by_cost():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets, bands = np.sort(rng.integers(0, 1 << 63, 600).astype(np.uint64)), ngram_join.Bands(80, 600)
+    edge, band = np.array([0, 600]), bands.of(np.array([600]))
+    none = np.zeros(1 << ngram_join.COST_BITS)
+    _, sig, role = ngram_join.signatures(sets, edge, band, bands, True, none)
+    probes = set(sig[role & ngram_join.PROBE > 0].tolist())
+    assert len(probes) == bands.segments[band[0]]
+    dear = [s for s in sig[(role & ngram_join.PROBE > 0)].tolist()][-3:]
+    costs = none.copy()
+    costs[[s >> (64 - ngram_join.COST_BITS) for s in dear]] = 1e6
+    _, sig, role = ngram_join.signatures(sets, edge, band, bands, True, costs)
+    again = set(sig[role & ngram_join.PROBE > 0].tolist())
+    # dear ones are skipped, others raised instead, and all are indexed as before
+    assert not again & set(dear) and len(again) > len(probes) and set(dear) <= set(sig[role & ngram_join.INDEX > 0].tolist())
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_ngram_join_tiles_open_groups(spark, monkeypatch, tile):
+    """Short sets share segments without an n-gram with all others of their band."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rows = [(k, " ".join(f"w{k % 7}x{i}" for i in range(6 + k % 3)) + f" own{k % 50}") for k in range(140)]
+    got = ngram_join.classes(frame(spark, rows), 1, 60).collect()
+    assert sorted(tuple(r) for r in got) == plain_classes(rows, 1, 60)
+
+
+def test_ngram_dedup_keeps_columns_that_clash(spark):
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")]).withColumnsRenamed({"rest": "draw", "ids": "one", "chunk": "nth"})
+    out = ngram_join.dedup_docs(docs)
+    assert out.columns == docs.columns and [(r.doc_id, r.draw) for r in out.collect()] == [(1, "r")]
+
+
 def test_ngram_join_compares_leaders_that_nobody_chose(spark, monkeypatch):
     """r1..r4 are linked with l, which leads their groups, but each has a nearer and heavier leader of its own."""
     words = [f"w{i}" for i in range(40)]
