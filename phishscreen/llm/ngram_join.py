@@ -41,14 +41,20 @@ from .quality import slices
 N, PERCENT = 5, 80
 SLICE_BYTES = 4 << 20
 SIG_BITS = 32
-#: One in so many segments has its one-deletion neighbourhoods indexed, for probes to raise.
-RAISED = 16
+#: One in so many segments has its one-deletion neighbourhoods indexed, for probes to raise, but some of a few.
+RAISED, SOME = 16, 3
 #: The table of costs has 2 ** COST_BITS counters; so many tables are added up in one task.
 COST_BITS, FAN_IN = 20, 16
+#: Signatures of segments with more n-grams are not counted: strangers hardly ever agree in them.
+LIGHT = 3
+#: Bytes of parities that are broadcast; more are joined by a shuffle of the pairs.
+BROADCAST_BYTES = 32 << 20
 #: Members of a group in one row.
 ROW_MEMBERS = 4096
 #: Members of a cluster that are compared at once with each other, or with as many; columns of the matrix at a time.
 TILE, COLUMNS = 512, 8192
+#: Members of a group whose short parities are compared at once with each other, or with as many.
+WIDE_TILE = 8192
 #: Ids of texts to compare are broadcast up to so many (of 16 bytes each); more are joined by a shuffle of the texts.
 BROADCAST_ROWS = 250_000
 #: Longs in the short table of parities that every record carries.
@@ -104,7 +110,7 @@ class Bands:
         most = self.low[1:] - 1
         # 100 * common >= percent * union, for sizes a and b, means a difference of at most (100 - percent) (a + b) / (100 + percent)
         self.segments = (100 - percent) * 2 * most // (100 + percent) + 1
-        self.raised = np.where(self.segments > 1, np.maximum(self.segments // RAISED, 1), 0)
+        self.raised = np.where(self.segments > 1, np.maximum(self.segments // RAISED, np.minimum(self.segments, SOME)), 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
@@ -113,9 +119,9 @@ class Bands:
 INDEX, PROBE = 1, 2
 
 
-def signatures(sets: np.ndarray, edge: np.ndarray, band: np.ndarray, bands: Bands, own: bool, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, edge: np.ndarray, band: np.ndarray, bands: Bands, own: bool, costs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | np.ndarray:
     """(record, signature, roles) of each record for a band: its own, or the next one, which it only probes. costs: how many
-    records index a signature, by its highest bits."""
+    records index a light signature, by its highest bits; without, only the light ones that are indexed are returned."""
     sizes = np.diff(edge)
     m = bands.segments[band]
     base = np.concatenate([[0], np.cumsum(m)])
@@ -137,9 +143,11 @@ def signatures(sets: np.ndarray, edge: np.ndarray, band: np.ndarray, bands: Band
     exact, at = sig(every, sums, held), seg[t]
     less = sig(at, sums[at] - value[t], held[at] - 1)
     # allocation: the nth dearest segment is skipped if the nth cheapest of those that can be raised costs less to raise
-    met = lambda s: costs[(s >> np.uint64(64 - COST_BITS)).astype(np.int64)]
-    saved = 1 + met(exact)
-    price = 1.0 + held + met(exact ^ _NEAR) + np.bincount(at, met(less), total)
+    if costs is None:
+        return np.concatenate([exact[held <= LIGHT], (less ^ _NEAR)[held[at] <= LIGHT + 1]])
+    met = lambda s, light: np.where(light, costs[(s >> np.uint64(64 - COST_BITS)).astype(np.int64)], 0.0)
+    saved = 1 + met(exact, held <= LIGHT)
+    price = 1 + held + met(exact ^ _NEAR, held <= LIGHT) + np.bincount(at, met(less, held[at] <= LIGHT + 1), total)
     skips, raises = np.flatnonzero(~able), np.flatnonzero(able)
     skips, raises = skips[np.lexsort((-saved[skips], owner[skips]))], raises[np.lexsort((price[raises], owner[raises]))]
     rank = lambda x: np.arange(len(x)) - np.searchsorted(owner[x], owner[x])
@@ -324,8 +332,8 @@ def index_costs(texts: DataFrame, bands: Bands, n: int, clashes: np.ndarray) ->
 
         counts = np.zeros(1 << COST_BITS, np.int64)
         for sets, edge, _ in _distinct_sets(batches, n, clashes):
-            _, sig, role = signatures(sets, edge, bands.of(np.diff(edge)), bands, True, none)
-            counts += np.bincount((sig[role & INDEX > 0] >> np.uint64(64 - COST_BITS)).astype(np.int64), minlength=len(counts))
+            light = signatures(sets, edge, bands.of(np.diff(edge)), bands, True, None)
+            counts += np.bincount((light >> np.uint64(64 - COST_BITS)).astype(np.int64), minlength=len(counts))
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(counts)], pa.binary())], names=["part", "blob"])
 
@@ -424,11 +432,11 @@ def _content(docs: DataFrame, owned: DataFrame, wanted: DataFrame, id_col: str,
     return texts.join(draws, "draw").select("rec", "text").mapInArrow(zipped, "rec bigint, z binary, s bigint").dropDuplicates(["rec"])
 
 
-def _dealt(placed: DataFrame) -> DataFrame:
+def _dealt(placed: DataFrame, size: int) -> DataFrame:
     """placed, of (cluster, rec, ...), with tile and place: small clusters share places, pairs of tiles of large ones have their own."""
-    tiles = placed.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = placed.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("rec", F.lit(5)), F.col("tiles")).cast("int")
-    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, placed.count() // TILE)))
+    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(max(1, placed.count() // size)))
     small = F.array(F.concat(F.lit("small/"), bin_.cast("string")))
     large = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least(o, tile).cast("string"), F.greatest(o, tile).cast("string")))
     return placed.join(tiles, "cluster").select(*placed.columns, tile.alias("tile"), F.explode(F.when(F.col("tiles") == 1, small).otherwise(large)).alias("place"))
@@ -506,7 +514,7 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             kept[own] = _partnered(size[own], [odd[i] for i in own.tolist()], percent)
         return rows.select(["cluster", "rec"]).filter(pa.array(kept))
 
-    left = _dealt(placed).select("cluster", "rec", "place").join(traits.select("rec", "n", "odd"), "rec").groupBy("place").applyInArrow(possible, "cluster bigint, rec bigint")
+    left = _dealt(placed, TILE).select("cluster", "rec", "place").join(traits.select("rec", "n", "odd"), "rec").groupBy("place").applyInArrow(possible, "cluster bigint, rec bigint")
     left = cut(left.distinct())
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
@@ -520,7 +528,7 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     content = cut(_content(docs, owned, left.select("rec").distinct(), id_col, text_col))
-    sure = cut(_dealt(left).join(content, "rec").groupBy("place").applyInArrow(compare, "a bigint, b bigint"))
+    sure = cut(_dealt(left, TILE).join(content, "rec").groupBy("place").applyInArrow(compare, "a bigint, b bigint"))
     near = components(sure)
     # what is left: pairs with a common signature in neither one cluster nor one component
     label = members.join(near.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
@@ -528,11 +536,14 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     rest = label.join(open_, "grp").select(F.col("grp").alias("cluster"), "rec", "probe", "component").distinct().join(homes, "rec", "left")
     # a record that leads its groups and is chosen by none has no home, and is compared with all its groups
     rest = cut(rest.withColumn("homes", F.coalesce("homes", F.array().cast("array<bigint>"))))
-    dealt = _dealt(rest).join(traits.select("rec", "n", *_SHORT), "rec")
+    dealt = _dealt(rest, WIDE_TILE).join(traits.select("rec", "n", *_SHORT), "rec")
     cross = dealt.groupBy("place").applyInArrow(lambda k, t: _open_pairs(k, t, percent), "a bigint, b bigint").distinct()
-    a = traits.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("odd").alias("pa"))
-    b = traits.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("pb"))
-    cross = cut(cross.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_maybe(percent), "a bigint, b bigint"))
+    cross = cut(cross)
+    sets = cut(traits.join(cross.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), "rec").select("rec", "n", "odd"))
+    few = (sets.agg(F.sum(F.octet_length("odd") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    a, b = (sets.select(F.col("rec").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"p{x}")) for x in "ab")
+    both = cross.join(F.broadcast(a), "a").join(F.broadcast(b), "b") if few else cross.join(a, "a").join(b, "b")
+    cross = cut(both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_maybe(percent), "a bigint, b bigint"))
     content = cut(_content(docs, owned, cross.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), id_col, text_col))
     a = content.select(F.col("rec").alias("a"), F.col("z").alias("za"), F.col("s").alias("sa"))
     b = content.select(F.col("rec").alias("b"), F.col("z").alias("zb"), F.col("s").alias("sb"))

@@ -169,13 +169,14 @@ def test_ngram_join_allocates_by_cost():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    sets, bands = np.sort(rng.integers(0, 1 << 63, 600).astype(np.uint64)), ngram_join.Bands(80, 600)
+    sets, bands = np.sort(rng.integers(0, 1 << 63, 600).astype(np.uint64)) * np.uint64(2), ngram_join.Bands(80, 600)
     edge, band = np.array([0, 600]), bands.of(np.array([600]))
     none = np.zeros(1 << ngram_join.COST_BITS)
     _, sig, role = ngram_join.signatures(sets, edge, band, bands, True, none)
     probes = set(sig[role & ngram_join.PROBE > 0].tolist())
     assert len(probes) == bands.segments[band[0]]
-    dear = [s for s in sig[(role & ngram_join.PROBE > 0)].tolist()][-3:]
+    light = ngram_join.signatures(sets, edge, band, bands, True, None)
+    dear = [s for s in light.tolist() if s in probes][-3:]
     costs = none.copy()
     costs[[s >> (64 - ngram_join.COST_BITS) for s in dear]] = 1e6
     _, sig, role = ngram_join.signatures(sets, edge, band, bands, True, costs)
@@ -188,6 +189,7 @@ def test_ngram_join_allocates_by_cost():
 def test_ngram_join_tiles_open_groups(spark, monkeypatch, tile):
     """Short sets share segments without an n-gram with all others of their band."""
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "WIDE_TILE", tile)
     rows = [(k, " ".join(f"w{k % 7}x{i}" for i in range(6 + k % 3)) + f" own{k % 50}") for k in range(140)]
     got = ngram_join.classes(frame(spark, rows), 1, 60).collect()
     assert sorted(tuple(r) for r in got) == plain_classes(rows, 1, 60)
