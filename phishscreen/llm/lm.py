@@ -38,6 +38,8 @@ STREAMS, WINDOW, STREAM_WINDOWS, ROUNDS, RATE = 256, 16, 64, 2, 0.05
 CHUNK_BYTES, FAN_IN = 8 << 20, 16
 #: Predictions that are made at once when documents are scored.
 SAY_AT_ONCE = 1 << 14
+#: Counts are below 2 ** COUNT_BITS.
+COUNT_BITS = 48
 #: Stands for the end of a document among the hashes of words.
 END = np.uint64(0xE0D)
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -338,19 +340,38 @@ def total(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words above the least count, or the most frequent ones if these are more. Buckets first tell how many words they
+    have of each order of magnitude, then send only the words that may be in."""
+    sizes = [f"h{i}" for i in range(COUNT_BITS)]
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + COUNT_BITS, np.int64)
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                _, times, sums = unpack(blob)
+                total[:2] += sums
+                total[2:] += np.bincount(np.log2(times).astype(np.int64), minlength=COUNT_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(total[i : i + 1]) for i in range(len(total))], names=["tokens", "distinct", *sizes])
+
+    rows = counts.where("kind = 2").select("blob")
+    told = rows.mapInArrow(tell, ", ".join(f"{c} bigint" for c in ("tokens", "distinct", *sizes)))
+    tokens, distinct, *of_size = (int(x or 0) for x in told.agg(*[F.sum(c) for c in told.columns]).first())
+    size = COUNT_BITS - 1
+    while size and sum(of_size[size:]) < VOCABULARY:
+        size -= 1
+    least = min(least_count(tokens), 1 << size)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                words, times, sums = unpack(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(words, np.uint64(0)).view(np.int64)), pa.array(np.append(times, 0)), pa.array(np.append(np.zeros(len(words), np.int64), sums[0])), pa.array(np.append(np.zeros(len(words), np.int64), sums[1]))], names=["word", "times", "tokens", "distinct"])
-
-    rows = counts.where("kind = 2").select("blob").mapInArrow(run, "word bigint, times bigint, tokens bigint, distinct bigint")
-    sums = rows.agg(F.sum("tokens"), F.sum("distinct")).first()
-    words = rows.where("times > 0").select("word", "times")
-    top = words.where(F.col("times") >= least_count(int(sums[0] or 0))).toArrow()
-    if top.num_rows < VOCABULARY:
-        top = words.orderBy(F.desc("times"), "word").limit(VOCABULARY).toArrow()
-    return Vocabulary(top["word"].to_numpy().view(np.uint64), top["times"].to_numpy(), int(sums[0] or 0), int(sums[1] or 0))
+                words, times, _ = unpack(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(words[times >= least].view(np.int64)), pa.array(times[times >= least])], names=["word", "times"])
+
+    got = rows.mapInArrow(send, "word bigint, times bigint").toArrow()
+    words, times = got["word"].to_numpy().view(np.uint64), got["times"].to_numpy()
+    top = np.lexsort((words.view(np.int64), -times))
+    top = top[: max(VOCABULARY, int((times >= least_count(tokens)).sum()))]
+    return Vocabulary(words[top], times[top], tokens, distinct)
 
 
 def train_texts(net: Network, vocab: Vocabulary, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
