@@ -88,9 +88,11 @@ def _numeric_entities(col: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """text without tags; breaks and block ends become line breaks, entities characters, blanks are squeezed."""
     out = text(html)
+    # an array of one value whose elements are transformed, so that the chain is computed once for all that follows
+    once = lambda col, f: F.transform(F.array(col), f)[0]
     for pattern, by in (("(?is)<(script|style)\\b[^>]*>.*?</\\1>", " "), (f"(?i)<br{WS}*/?>", "\n"), ("(?i)</(p|div|tr|li|h[1-6])>", "\n"), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "'")):
         out = F.regexp_replace(out, pattern, by)
-    out = F.regexp_replace(_numeric_entities(out), "(?i)&amp;", "&")
+    out = F.regexp_replace(once(out, _numeric_entities), "(?i)&amp;", "&")
     return trim(F.regexp_replace(F.regexp_replace(out, "[ \\t\\u00a0]+", " "), "\\n{3,}", "\n\n"))
 
 
@@ -107,27 +109,43 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(rest, "^.*@", ""), ":[0-9]*$", ""))
 
 
-def odd_host(host: Column) -> Column:
-    """V2: hosts with other than ASCII letters, or escapes, as browsers spell them; null in, null out, so other rows skip Python's work."""
+def spelled_host(host: str) -> str:
+    """A host with escapes, other than ASCII letters, or numbers for an address, as browsers spell it; empty if it is none."""
+    from urllib.parse import unquote
+
+    try:
+        host = unquote(host, errors="strict").encode("idna").decode("ascii").lower().rstrip(".") if not host.isascii() or "%" in host else host
+    except UnicodeError:
+        return ""
+    parts = host.split(".")
+    if not 1 <= len(parts) <= 4 or not all(re.fullmatch("0x[0-9a-f]*|[0-9]+", p) for p in parts):
+        return host
+    try:
+        numbers = [int(p[2:] or "0", 16) if p.startswith("0x") else int(p, 8) if p.startswith("0") and p != "0" else int(p) for p in parts]
+    except ValueError:
+        return ""
+    if any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(parts)):
+        return ""
+    whole = numbers[-1] + sum(n << 8 * (3 - i) for i, n in enumerate(numbers[:-1]))
+    return ".".join(str(whole >> k & 255) for k in (24, 16, 8, 0))
+
+
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-    @F.pandas_udf("string")
-    def spell(hosts):
-        from urllib.parse import unquote
 
-        def one(h):
-            try:
-                return None if h is None else unquote(h).encode("idna").decode("ascii").lower()
-            except UnicodeError:
-                return ""
+def odd_hosts(hosts: Column) -> Column:
+    """V2: an array of hosts, odd ones as browsers spell them. Only arrays that hold one go to Python."""
 
-        return hosts.map(one)
+    @F.pandas_udf("array<string>")
+    def spell(values):
+        return values.map(lambda hosts: None if hosts is None else [spelled_host(h) for h in hosts])
 
-    odd = host.rlike("[^\\x00-\\x7f]|%")
-    return F.when(odd, spell(F.when(odd, host))).otherwise(host)
+    odd = F.exists(hosts, lambda h: h.rlike("[^\\x00-\\x7f]|%|^(?:0x[0-9a-f]*|[0-9]+)(?:[.](?:0x[0-9a-f]*|[0-9]+)){0,3}$") & ~h.rlike(f"^{_OCTET}(?:[.]{_OCTET}){{3}}$"))
+    return F.when(odd, spell(F.when(odd, hosts))).otherwise(hosts)
 
 
 def link_hosts(urls: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(urls, url_host), lambda h: h != ""))
+    return F.array_distinct(F.filter(odd_hosts(F.transform(urls, url_host)), lambda h: h != ""))
 
 
 HIDING = "display{ws}*:{ws}*none|visibility{ws}*:{ws}*hidden|font-size{ws}*:{ws}*0|opacity{ws}*:{ws}*0|max-height{ws}*:{ws}*0".format(ws=WS)

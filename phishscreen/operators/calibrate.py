@@ -80,6 +80,20 @@ def threshold_sweep(cube: DataFrame) -> DataFrame:
     return filled.select("label", "threshold", F.sum("n").over(upward).alias("reached"))
 
 
+def gray_sweep(cube: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """At each lower end of the gray zone, the messages of each label that would be asked about, and their share."""
+    s = settings or Settings()
+    reached = threshold_sweep(cube.where(F.col("score") < s.gray_high)).where(F.col("threshold") < s.gray_high)
+    total = cube.groupBy("label").agg(F.sum("n").alias("total"))
+    out = reached.join(F.broadcast(total), "label", "left")
+    return out.select("label", F.col("threshold").alias("gray_low"), F.col("reached").alias("asked"), (F.col("reached") / F.coalesce("total", F.lit(1))).alias("share"))
+
+
+def sender_estimate(verdicts: DataFrame, key: str) -> DataFrame:
+    """A9 without a shuffle of senders: messages of spam and about how many senders they have."""
+    return verdicts.where((F.col("verdict") == "spam") & (F.col(key) != "")).agg(F.count("*").alias("messages"), F.approx_count_distinct(key, 0.02).alias("senders"))
+
+
 def weight_sweep(cube: DataFrame, grid: list[tuple[str, dict[str, int]]], settings: Settings | None = None) -> DataFrame:
     """Caught spam and false positives under other weights. Scores are summed from bits over distinct rule sets, not messages."""
     s = settings or Settings()

@@ -90,7 +90,8 @@ def one_answer(answers: DataFrame) -> DataFrame:
 
 
 def attach_answers(scored: DataFrame, answers: DataFrame | None, settings: Settings) -> DataFrame:
-    """Adds model and error; only gray messages are joined, so only those are shuffled."""
+    """Adds model and error, in one pass over the messages. Only gray ones have a key to join on; the others get one that no
+    answer has, each another, so that none of them meet in one task where the answers are too many to broadcast."""
     empty = scored.withColumns({"model": F.lit(None).cast("struct<score:int,detail:map<string,double>,pretext:string,usage:struct<input_tokens:bigint,output_tokens:bigint>,model:string>"), "error": F.lit(None).cast("string"), "asked": F.lit(False)})
     if answers is None or not settings.second_opinion:
         return empty
@@ -99,9 +100,11 @@ def attach_answers(scored: DataFrame, answers: DataFrame | None, settings: Setti
     model = F.struct(model_score(F.col("detail")).alias("score"), F.col("detail"), F.col("answers")["phishing_pretext"]["choice"].alias("pretext"), F.col("usage"), F.col("model"))
     said = said.select(F.col("message_key").alias("msg_key"), F.when(good, model).alias("model"), F.when(~good, F.coalesce("error", F.lit("no answer"))).alias("error"))
     gray = F.col("allowed").isNull() & F.col("blocked").isNull() & in_gray(settings)
-    asked = scored.where(gray).join(said, "msg_key", "left").withColumn("asked", F.lit(True))
-    asked = asked.withColumn("error", F.when(F.col("model").isNull(), F.coalesce("error", F.lit("no answer"))))
-    return empty.where(~gray).unionByName(asked)
+    said = said.select(F.struct(F.lit(0).alias("apart"), F.col("msg_key").alias("key")).alias("ask_key"), "model", "error")
+    apart = F.struct(F.lit(1).alias("apart"), F.coalesce("msg_key", F.lit("")).alias("key"))
+    rows = scored.withColumn("asked", gray).withColumn("ask_key", F.when(F.col("asked"), F.struct(F.lit(0).alias("apart"), F.col("msg_key").alias("key"))).otherwise(apart))
+    out = rows.join(said, "ask_key", "left").drop("ask_key")
+    return out.withColumn("error", F.when(F.col("asked") & F.col("model").isNull(), F.coalesce("error", F.lit("no answer"))))
 
 
 def decide(attached: DataFrame, settings: Settings) -> DataFrame:

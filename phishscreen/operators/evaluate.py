@@ -148,11 +148,14 @@ def over_change(pairs: DataFrame, settings: Settings | None = None) -> DataFrame
     return pairs.groupBy(F.col("new_label").alias("label")).agg(F.count("*").alias("n"), over("old_final_score").alias("old_over"), over("new_final_score").alias("new_over"))
 
 
+def _separation(run: str) -> Column:
+    mean = lambda label: F.coalesce(F.avg(F.when(F.col("new_label") == label, F.col(f"{run}_model_score"))), F.lit(0.0))
+    return mean("phish") - mean("ham")
+
+
 def score_separation(pairs: DataFrame) -> DataFrame:
     """Mean of phish minus mean of ham, before and after."""
-    mean = lambda c, label: F.coalesce(F.avg(F.when(F.col("new_label") == label, F.col(c))), F.lit(0.0))
-    gap = lambda p: mean(f"{p}_model_score", "phish") - mean(f"{p}_model_score", "ham")
-    return pairs.agg(gap("old").alias("old_separation"), gap("new").alias("new_separation")).withColumn("delta", F.col("new_separation") - F.col("old_separation"))
+    return pairs.agg(_separation("old").alias("old_separation"), _separation("new").alias("new_separation")).withColumn("delta", F.col("new_separation") - F.col("old_separation"))
 
 
 def question_separation(pairs: DataFrame) -> DataFrame:
@@ -173,8 +176,8 @@ def transitions(pairs: DataFrame, settings: Settings | None = None) -> DataFrame
 def conclusion(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row with the net changes, the separations and what follows from them."""
     count = lambda k: F.count(F.when(F.col("transition") == k, 1))
-    net = transitions(pairs, settings).agg((count("gained") - count("lost")).alias("net_phish"), (count("worse") - count("fixed")).alias("net_ham"), F.count(F.when(F.col("new_label") == "phish", 1)).alias("n_phish"))
-    out = net.crossJoin(score_separation(pairs))
+    net = transitions(pairs, settings).agg((count("gained") - count("lost")).alias("net_phish"), (count("worse") - count("fixed")).alias("net_ham"), F.count(F.when(F.col("new_label") == "phish", 1)).alias("n_phish"), _separation("old").alias("old_separation"), _separation("new").alias("new_separation"))
+    out = net.withColumn("delta", F.col("new_separation") - F.col("old_separation"))
     said = F.when((F.col("delta") > 5) & (F.col("net_ham") <= 0), "better").when(F.col("delta") < -5, "worse").when(F.col("net_ham") > 0, "reject").otherwise("no difference")
     return out.withColumns({"noise": F.greatest(F.lit(1), F.round(F.col("n_phish") * 0.05).cast("int")), "conclusion": said})
 

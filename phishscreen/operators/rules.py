@@ -104,6 +104,16 @@ def explain(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"fired": fired, "unfired": F.array_join(unfired, "/")})
 
 
+def reason_text() -> Column:
+    """Why a verdict is what it is: the rules that fired with their points, the second opinion's main values, an error."""
+    model, two = F.col("model"), lambda q: F.format_string("%.2f", F.col("model")["detail"][q])
+    pretext = F.when(F.coalesce(F.length(model["pretext"]) > 0, F.lit(False)), F.concat(F.lit("("), model["pretext"], F.lit(")"))).otherwise("")
+    said = F.concat(F.lit("second opinion: impersonation "), two("sender_impersonation"), F.lit(" / credentials "), two("credential_phishing"), F.lit(" / pretext "), two("phishing_pretext"), pretext, F.lit(" / ordinary "), two("ordinary_business_mail"))
+    parts = F.concat(F.transform("rule_hits", lambda h: F.concat(h["label"], F.lit("("), h["weight"].cast("string"), F.lit(")"))), F.array(F.when(model.isNotNull(), said)), F.array(F.when(F.length("error") > 0, F.concat(F.lit("error: "), "error"))))
+    parts = F.filter(parts, lambda p: p.isNotNull())
+    return F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("-")
+
+
 def bitmask(hits: Column, ids=IDS) -> Column:
     """Fired rules as bits of a BIGINT, bit i for rule i."""
     table = F.create_map(*[x for i, k in enumerate(ids) for x in (F.lit(k), F.lit(1 << i))])

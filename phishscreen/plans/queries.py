@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.dictionaries import FREEMAIL
-from ..operators import calibrate, decide, evaluate, loganalytics, rules
+from ..operators import calibrate, decide, evaluate, features, loganalytics, rules
 from ..oracles import chain, html_text, reg
 from ..sources import mail as sources
 from ..sources import sinks
@@ -155,7 +156,7 @@ def second_opinion_request(spark, sf_dir):
 
 
 def answers(spark: SparkSession, sf_dir: str, step: int = 7) -> DataFrame:
-    """Second opinions made from document ids: by remainder with probabilities, without 'none', with a choice only, or failed."""
+    """Second opinions made from document ids: by remainder with probabilities, without 'none', with a choice only, empty, or failed."""
     d = F.col("doc_id")
     share = lambda k: (d * k) % 101 / F.lit(100.0)
     empty = F.lit(None).cast("map<string,double>")
@@ -164,15 +165,15 @@ def answers(spark: SparkSession, sf_dir: str, step: int = 7) -> DataFrame:
     pretext = one(F.lit(None), F.when(d % 4 == 0, "none").otherwise(F.concat(F.lit("p"), (d % 4).cast("string"))), probs)
     asked = {"sender_impersonation": one(share(step)), "credential_phishing": one(share(11)), "link_domain_mismatch": one(share(23)), "urgency_pressure": one(F.when(d % 2 == 0, share(29))), "ordinary_business_mail": one(share(31)), "phishing_pretext": pretext}
     table = F.create_map(*[x for k, v in asked.items() for x in (F.lit(k), v)])
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 5 <> 0")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     usage = F.struct((d % 1000 + 2000).alias("input_tokens"), (d % 50 + 10).alias("output_tokens"))
-    return rows.select(F.concat(F.lit("m"), d.cast("string")).alias("message_key"), F.when(d % 11 != 0, table).alias("answers"), usage.alias("usage"), F.lit("m1").alias("model"), F.when(d % 11 == 0, "timeout").alias("error"))
+    return rows.select(F.concat(F.lit("m"), d.cast("string")).alias("message_key"), F.when((d % 11 != 0) & (d % 5 != 0), table).alias("answers"), usage.alias("usage"), F.lit("m1").alias("model"), F.when(d % 11 == 0, "timeout").alias("error"))
 
 
 def answers_sql(step: int = 7, name: str = "said") -> str:
     s = lambda k: f"(d.doc_id * {k} % 101 / 100.0::double)"
     pre = f"case when d.doc_id % 3 = 0 then greatest(0, least(1, 1 - {s(13)})) when d.doc_id % 3 = 1 then greatest(0, least(1, 0.0::double + {s(17)} / 2 + {s(19)} / 2)) when d.doc_id % 4 = 0 then 0 else 1 end"
-    values = f"select concat('m', d.doc_id) as key, d.doc_id, case when d.doc_id % 11 = 0 then 'timeout' end as error, case when d.doc_id % 4 = 0 then 'none' else concat('p', d.doc_id % 4) end as pretext_choice, {s(step)} as q1, {s(11)} as q2, {pre} as q3, {s(23)} as q4, case when d.doc_id % 2 = 0 then {s(29)} else 0 end as q5, {s(31)} as q6 from documents d where d.doc_id % 5 <> 0"
+    values = f"select concat('m', d.doc_id) as key, d.doc_id, case when d.doc_id % 11 = 0 then 'timeout' when d.doc_id % 5 = 0 then 'no answer' end as error, case when d.doc_id % 4 = 0 then 'none' else concat('p', d.doc_id % 4) end as pretext_choice, {s(step)} as q1, {s(11)} as q2, {pre} as q3, {s(23)} as q4, case when d.doc_id % 2 = 0 then {s(29)} else 0 end as q5, {s(31)} as q6 from documents d"
     d = lambda x: f"{x}::double"
     score = f"round(greatest(0, least(1, {d('0.30')} * q1 + {d('0.26')} * q3 + {d('0.22')} * q2 + {d('0.14')} * q4 + {d('0.08')} * q5 - {d('0.40')} * q6)) * 100)::int"
     return f"{name} as (select *, case when error is null then {score} end as model_score from ({values}))"
@@ -180,11 +181,11 @@ def answers_sql(step: int = 7, name: str = "said") -> str:
 
 @query("with " + answers_sql() + " select key as msg_key, q3 as pretext, model_score from said where error is null")
 def model_scores(spark, sf_dir):
-    out = answers(spark, sf_dir).where("error is null").withColumn("d", decide.model_detail(F.col("answers")))
+    out = answers(spark, sf_dir).where("error is null and answers is not null").withColumn("d", decide.model_detail(F.col("answers")))
     return out.select(F.col("message_key").alias("msg_key"), F.col("d")["phishing_pretext"].alias("pretext"), decide.model_score(F.col("d")).alias("model_score"))
 
 
-FINAL_SQL = """final as (select l.*, s.model_score as m, s.q6, s.key, l.allowed is null and l.blocked is null and score >= 35 and score < 70 as asked,
+FINAL_SQL = """final as (select l.*, s.model_score as m, s.q6, s.key, s.error as said_error, l.allowed is null and l.blocked is null and score >= 35 and score < 70 as asked,
   round((0.3::double * score + 0.7::double * s.model_score) / (0.3::double + 0.7::double))::int as blended from lists l left join said s on s.key = l.msg_key),
 verdicts as (select *, case when allowed is not null then 0 when blocked is not null then 100 when asked and m is not null then case when blended < score and not coalesce(q6, 0) >= 0.5 then score else blended end else score end as final_score,
   case when allowed is not null then 'allowlist' when blocked is not null then 'blocklist' when asked and m is null then 'failed' when asked then 'rules+model' else 'rules' end as path from final),
@@ -324,7 +325,8 @@ cases as (select 'phish' as case_label, * from phish union all select 'ham', * f
 
 
 def _pools(spark, sf_dir):
-    rows = scored(spark, sf_dir).select("msg_key", "label", "score", "from", "from_domain", "auth", "brand_matched", "message_id", "subject")
+    # several passes follow: the scores are kept, without bodies
+    rows = scored(spark, sf_dir).select("msg_key", "label", "score", "from", "from_domain", "auth", "brand_matched", "message_id", "subject").where("label is not null").persist(StorageLevel.MEMORY_AND_DISK)
     inbox, junk = rows.where("label = 'ham'"), rows.where("label = 'spam'")
     addresses, domains = evaluate.known_good(inbox)
     return evaluate.looks_phishing(junk, addresses, domains), inbox.where(evaluate.authenticated())
@@ -429,8 +431,40 @@ def run_conclusion(spark, sf_dir):
     return evaluate.conclusion(_pairs(spark, sf_dir)).select("net_phish", "net_ham", F.round("delta", 6).alias("delta"), "noise", "conclusion")
 
 
-def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+_CSV = ("received_at::varchar", "received_at::varchar", "verdict", "final_score::varchar", "case when path not in ('allowlist', 'blocklist') then score::varchar end", "case when asked then m::varchar end", "path", "from_h", "from_domain", "subject", "array_to_string(brands, '/')", "case when path not in ('allowlist', 'blocklist') then ids end", "case verdict when 'spam' then 'tag:spam/junk/move:junk' when 'suspect' then 'tag:suspect' end", "'auto'", "case when path = 'failed' then coalesce(said_error, 'no answer') end")
+_QUOTED = " || ',' || ".join(f"""'"' || replace(replace(coalesce({c}, ''), chr(10), ' '), '"', '""') || '"'""" for c in _CSV)
+
+
+@query(chain(f"select {_QUOTED} as value from logged", *SCREEN_SQL))
+def csv_lines(spark, sf_dir):
     return sinks.csv_lines(log(spark, sf_dir).withColumn("source", F.lit("auto")))
 
 
-QUERIES["csv_lines"] = csv_lines
+@query(chain("select msg_key, random_host, hidden, array_to_string(consumer_hops, '/') as consumer_hops, message_id_domain, array_to_string(unsub_domains, '/') as unsub_domains, array_to_string(foreign_domains[:10], '/') as foreign_domains, array_to_string(brand_foreign[:10], '/') as brand_foreign, array_to_string(urgency[:10], '/') as urgency from logged where path not in ('allowlist', 'blocklist')", *SCREEN_SQL))
+def evidence(spark, sf_dir):
+    e = F.col("evidence")
+    lists = {"consumer_hops": "consumer_isp_hops", "unsub_domains": "list_unsub_domains", "foreign_domains": "foreign_link_domains", "brand_foreign": "brand_foreign_link_domains", "urgency": "urgency_hits"}
+    out = screened(spark, sf_dir).where("evidence is not null")
+    return out.select("msg_key", e["random_from_host"].alias("random_host"), e["hidden_random_text"].alias("hidden"), e["message_id_domain"].alias("message_id_domain"), *[joined(e[c]).alias(n) for n, c in lists.items()])
+
+
+@query(chain("select msg_key, self_spoof from scored"))
+def own_domain_table(spark, sf_dir):
+    own = spark.createDataFrame([(d,) for d in SELF], "domain string")
+    return features.mark_self_domains(scored(spark, sf_dir), own).select("msg_key", F.col("self_domain_spoof").alias("self_spoof"))
+
+
+@query(chain("select msg_key, verdict, final_score as score, path, 'manual' as source from logged where msg_key in (select concat('m', doc_id) from labels where toxic = 1)", *SCREEN_SQL))
+def reclassified(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("msg_key"))
+    return plan.reclassify(messages(mail_view(spark, sf_dir)), ids, settings=LISTED, answers=answers(spark, sf_dir)).select("msg_key", "verdict", "score", "path", "source")
+
+
+@query(chain(f"select l.label, b.t::int as gray_low, count(s.score) as asked from (select unnest(['ham', 'spam']) as label) l cross join range(70) b(t) left join (select label, score from {LABELLED}) s on s.label = l.label and s.score >= b.t and s.score < 70 group by all"))
+def gray_sweep(spark, sf_dir):
+    return calibrate.gray_sweep(cube(spark, sf_dir), SETTINGS).select("label", "gray_low", "asked")
+
+
+@query(chain("select coalesce(sum(n), 0)::bigint as messages, count(*) as senders, count(*) filter (n = 1) as once, coalesce(sum(n - 1), 0)::bigint as stopped from (select address, count(*) as n from logged where verdict = 'spam' and address <> '' group by 1)", *SCREEN_SQL))
+def sender_repetition_by_address(spark, sf_dir):
+    return calibrate.sender_repetition(log(spark, sf_dir).withColumn("address", t.parse_address(F.col("author"))["address"]), "address")

@@ -25,7 +25,7 @@ IDS = ["mail.example.com", "other.example.net>", "ID.CN-DQSB.com>", "pia.co.jp>"
 UNSUBS = ["<https://unsub.list.example.net/x>, <mailto:off@list.example.net>", "<mailto:off@mail.example.com>", "<http://pia.co.jp:8080/u>", ""]
 HOPS = ["from mx.example.com by in.example.net", "from [172.30.157.21] (c-69-180-237-15.hsd1.ga.comcast.net [69.180.237.15]) by mx.example.org", "from p1.OCN.ne.jp (p1.ocn.ne.jp [1.2.3.4])", "by local.example.com with x"]
 STATUS = ["No, score=0.1", "Yes, score=7.5 required=5", "yes score=x", ""]
-LINKS = ['<a href="https://www.example.com/a">x</a>', '<a HREF = "http://zhengli.example.net/x?y">x</a><a href="http://user@amazon.co.jp:80/">y</a>', '<a href="http://1.2.3.4/x">z</a>', '<a href="https://xn--abc.example.cn/">p</a>', ""]
+LINKS = ['<a href="https://www.example.com/a">x</a>', '<a HREF = "http://zhengli.example.net/x?y">x</a><a href="http://user@amazon.co.jp:80/">y</a>', '<a href="http://1.2.3.4/x">z</a>', '<a href="https://xn--abc.example.cn/">p</a>', '<a href="http://аmazon.example/login">q</a>', ""]
 HIDDEN = ['<span style="display:none">abcdefghij0123456789</span>', '<div style="font-size: 0">short text</div>', '<p style="color:red;opacity:0">QWERTYUIOP asdfghjkl</p>', ""]
 
 MAIL_SQL = f"""
@@ -36,16 +36,23 @@ SELECT d.doc_id AS doc_id, concat('m', CAST(d.doc_id AS VARCHAR(20))) AS msg_key
   {_pick(19, SUBJECTS)} AS subject_h, {_pick(23, AUTHS)} AS auth_h, {_pick(12, PATHS)} AS return_path_h, {_pick(14, REPLIES)} AS reply_to_h,
   concat('<', CAST(d.doc_id AS VARCHAR(20)), '@', {_pick(25, IDS)}) AS message_id_h, {_pick(9, UNSUBS)} AS unsub_h, {_pick(16, HOPS)} AS received_h,
   {_pick(13, STATUS)} AS status_h, CASE WHEN d.doc_id % 17 = 3 THEN '******' ELSE '' END AS level_h,
-  CASE WHEN d.doc_id % 6 = 1 THEN '' ELSE d.text END AS plain,
-  CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE concat({_pick(15, LINKS)}, {_pick(22, HIDDEN)}, p.html) END AS html
+  CASE WHEN d.doc_id % 6 = 1 OR d.doc_id % 31 = 7 THEN '' ELSE d.text END AS plain,
+  CASE WHEN d.doc_id % 31 = 7 THEN '<p><br></p>' WHEN d.doc_id % 3 = 0 THEN '' ELSE concat({_pick(15, LINKS)}, {_pick(22, HIDDEN)}, p.html) END AS html
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN events e ON e.event_id = d.doc_id
 LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
 """
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Scoring is a costly map: a table of fewer files than there are cores is dealt out to all of them first."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("documents", "labels", "events", "pages")
     frames = {f"_{n}": spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    frames["_documents"] = spread(frames["_documents"])
     sql = MAIL_SQL
     for n in names:
         sql = sql.replace(f" {n} ", f" {{_{n}}} ").replace(f"FROM {n})", f"FROM {{_{n}}})")

@@ -20,12 +20,12 @@ def sample(name, headers, plain="", html="", fired="", score=0):
 
 SAMPLES = [
     sample("tax", {"From": "国税庁 <info@ad4ch8896b.example.org>", "Subject": "至急 差押 のご連絡", "Message-ID": "<1@other.example.net>", "Return-Path": "<b@bounce.example.net>", "List-Unsubscribe": "<https://u.example.net/x>", "Received": ["from p1.ocn.ne.jp by mx.example.jp"]}, "確認", f'<a href="https://pay.example.org/x">x</a><span style="display:none">{RUN}</span>', "brandMismatch randomFromHost hiddenRandomText consumerIspHop messageIdMismatch unsubThirdParty returnPathMismatch brandLinkMismatch hiddenTextWithBrand urgency", 100),
-    sample("card", {"From": "三井住友カード <xx9efvig@sgbjcw.example.org>", "Subject": "利用停止 再認証", "Authentication-Results": "mx; spf=softfail dmarc=fail"}, "https://z.example.org/login", "", "brandMismatch brandLinkMismatch urgency vowellessDomain authFail authSoftfail randomLocalPart unpronounceableDomain", 100),
+    sample("card", {"From": "セゾンカード <xx9efvig@sgbjcw.example.org>", "Subject": "利用停止 再認証", "Authentication-Results": "mx; spf=softfail dmarc=fail"}, "https://z.example.org/login", "", "brandMismatch brandLinkMismatch urgency vowellessDomain authFail authSoftfail randomLocalPart unpronounceableDomain", 100),
     sample("airline", {"From": "Center <info@example.org>", "Subject": "日本‮航空 至急 失効"}, "x", "", "brandMentionMismatch urgency bidiObfuscation", 66),
-    sample("freemail", {"From": '"abc12@gmail.com" <abc12def@gmail.com>', "Subject": "お得な情報", "Message-ID": "<1@other.example.net>", "Return-Path": "<x@other.example.net>", "Reply-To": "y@other.example.net"}, "こちら http://z.example.org/", "", "messageIdMismatch returnPathMismatch replyToMismatch displayNameIsAddress displayNameIsOtherAddress randomLocalPart freemailJapaneseBulk", 80),
-    sample("shop", {"From": "Amazon <qx7kd9zz@fshmjx.top>", "Subject": "至急 凍結"}, "http://login.fshmjx.top/", "", "brandMismatch brandLinkMismatch urgency vowellessDomain randomLocalPart unpronounceableDomain abusedTld", 100),
+    sample("freemail", {"From": '"abc12def@gmail.com" <abc12def@gmail.com>', "Subject": "お得な情報", "Message-ID": "<1@other.example.net>", "Return-Path": "<x@other.example.net>", "Reply-To": "y@other.example.net"}, "こちら http://z.example.org/", "", "messageIdMismatch returnPathMismatch replyToMismatch displayNameIsAddress randomLocalPart freemailJapaneseBulk", 60),
+    sample("shop", {"From": "Amazon <qx7kd9zz@fshmjax.top>", "Subject": "至急 凍結"}, "http://login.fshmjax.top/", "", "brandMismatch brandLinkMismatch urgency randomLocalPart unpronounceableDomain abusedTld", 100),
     sample("typosquat", {"From": "JCB <info@shlvchen.com>", "Subject": "本人確認 不正利用", "Message-ID": "<1@m.example.net>", "Return-Path": "<a@m.example.net>"}, "http://shlvchen.com/", "", "brandMismatch messageIdMismatch returnPathMismatch brandLinkMismatch urgency unpronounceableDomain", 88),
-    sample("genuine card", {"From": "三井住友カード <info@mail.vpass.ne.jp>", "Subject": "ご利用のお知らせ"}, "https://www.vpass.ne.jp/", "", "unpronounceableDomain brandMatched", 0),
+    sample("genuine card", {"From": "PayPayカード <info@mail.paypay-card.co.jp>", "Subject": "ご利用のお知らせ"}, "https://www.paypay-card.co.jp/", "", "brandMatched", 0),
     sample("newsletter", {"From": "Film <info@film.example.com>", "Subject": "News", "Message-ID": "<1@esp.example.net>", "Return-Path": "<b@esp.example.net>", "List-Unsubscribe": "<https://esp.example.net/u>"}, "hi", f'<div style="display:none">{RUN}</div>', "hiddenRandomText messageIdMismatch unsubThirdParty returnPathMismatch", 30),
     sample("paul", {"From": "Paul <paul@example.com>", "Subject": "Audible launch"}, "hello", "", "", 0),
     sample("online", {"From": "shop.online <info@example.com>", "Subject": "hello"}, "hello", "", "", 0),
@@ -34,6 +34,9 @@ SAMPLES = [
     sample("disposable", {"From": "info@kjehuf.cn-dqsb.com", "Subject": "x", "Return-Path": "<kjehuf@kjehuf.cn-dqsb.com>", "X-Spam-Status": "Yes, score=7.5", "Received": ["from [172.30.157.21] (c-69-180-237-15.hsd1.ga.comcast.net [69.180.237.15]) by mx.example.jp"]}, "x", "", "consumerIspHop upstreamSpamFlag senderLabelEcho", 55),
     sample("mention", {"From": "Info <info@example.org>", "Subject": "e-tax 還付", "Message-ID": "<1@m.example.net>"}, "http://zhengli.other-site.net/", "", "brandMentionMismatch messageIdMismatch mentionThirdPartyLinks", 42),
     sample("generic label", {"From": "Mail <mail@mail.example.com>", "Subject": "x", "Return-Path": "<mail@mail.example.com>"}, "x", "", "", 0),
+    sample("other address", {"From": '"help@bank.example" <info@example.org>', "Subject": "x"}, "x", "", "displayNameIsAddress displayNameIsOtherAddress", 36),
+    sample("look-alike link", {"From": "Info <info@example.org>", "Subject": "x"}, "x", '<a href="http://аmazon.example/">x</a>', "punycodeLink", 10),
+    sample("empty page", {"From": "Info <info@example.org>", "Subject": "x"}, "", "<p><br></p>", "noPlainText", 4),
     sample("tickets", {"From": "Pia <info@pia.co.jp>", "Subject": "vポイント", "Message-ID": "<1@esp.example.net>", "Return-Path": "<b@esp.example.net>", "List-Unsubscribe": "<https://esp.example.net/u>"}, "http://t.pia.jp/", "", "brandMentionMismatch messageIdMismatch unsubThirdParty returnPathMismatch", 46),
 ]
 
@@ -97,7 +100,7 @@ def test_decisions(spark):
 
 
 def test_lists_as_tables_agree_with_literals(spark):
-    settings = Settings(allow_addresses=("paul@example.com",), allow_domains=("vpass.ne.jp", "ne.jp"), block_domains=("example.com",))
+    settings = Settings(allow_addresses=("paul@example.com",), allow_domains=("paypay-card.co.jp", "co.jp"), block_domains=("example.com",))
     table = lambda a, d: spark.createDataFrame([("address", x, i) for i, x in enumerate(a)] + [("domain", x, i) for i, x in enumerate(d)] + [("domain", None, 9)], "kind string, value string, position int")
     pick = lambda df: sorted((r.msg_key, r.verdict, r.reason or "") for r in df.collect())
     plain = screen(frame(spark, SAMPLES), settings)
