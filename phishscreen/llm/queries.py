@@ -111,5 +111,38 @@ select d.doc_id, coalesce(s.n_lines, 0)::bigint as n_lines, coalesce(s.n_removed
 from documents d left join starts s on s.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id"""
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP2_SQL = f"""
+with w as (select doc_id, {_WORDS} as ws from documents),
+windows as (select doc_id, s, array_to_string(ws[s : s + 19], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from w where len(ws) >= 20)),
+later as (select doc_id, s from (select doc_id, s, row_number() over (partition by win order by doc_id, s) as k from windows) where k > 1),
+gone as (select distinct doc_id, s + i as nth from later, range(20) t(i)),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as nth from w),
+kept as (select doc_id, string_agg(word, ' ' order by nth) as t, count(*) as n from words anti join gone using (doc_id, nth) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+OP3_SQL = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+blocks as (select doc_id, first, substr(x, 2 * first + 1, 4000) as x from (select doc_id, x, unnest(range(0, length(x) // 2, 1800)) as first from h where x <> '')),
+places as (select doc_id, first, x, unnest(range(1, least(1800, length(x) // 2) + 1)) as s from blocks),
+marked as (select doc_id, first + s as s, substr(x, 2 * s - 1, 2) as b, case when 2 * s + 398 <= length(x) then md5(substr(x, 2 * s - 1, 400)) end as win from places),
+starts as (select doc_id, s, b, win is not null and count(*) over (partition by win) > 1 as again from marked),
+judged as (select doc_id, s, b, bool_or(again) over (partition by doc_id order by s rows between 199 preceding and current row) as gone from starts),
+edges as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by s), false) as opens from judged),
+sums as (select doc_id, count(*) filter (gone) as n, count(*) filter (opens) as spans, string_agg(b, '' order by s) filter (not gone) as kept from edges group by doc_id)
+select h.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from h left join sums using (doc_id)"""
+
+OP8_SQL = f"""
+with recursive w as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+grams as (select distinct doc_id, array_to_string(ws[s : s + 3], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as s from w where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a, min(b) as m from reach group by a)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) as component_id from w left join sizes using (doc_id) left join least on a = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL, "op4_url_filter": OP4_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_ngram_join": OP8_SQL, "op10_line_dedup": OP10_SQL}
