@@ -249,7 +249,8 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-#: What a place returns: sums of links (a, n), edges that span them, links over shards, and links of audited queries.
+#: What a place returns: sums of links (a, n), edges that span them, links over shards, and numbers of links of audited
+#: queries (a, n).
 _SUM, _SPAN, _CROSS, _ASKED = range(4)
 
 
@@ -286,8 +287,11 @@ def _links_in(key: tuple, rows: pa.Table, threshold: float, asked: np.ndarray, e
     sums = np.bincount(a[counted], times[b[counted]], len(ids)) + np.bincount(b[counted], times[a[counted]], len(ids))
     inner = own[a] & own[b]
     span = np.flatnonzero(inner)[_spanning(len(ids), a[inner], b[inner])]
-    some, ask = np.flatnonzero(sums), np.isin(ids[a], asked) | np.isin(ids[b], asked)
-    parts = [(_SUM, ids[some], ids[some], sums[some].astype(np.int64)), *((kind, np.minimum(ids[a[w]], ids[b[w]]), np.maximum(ids[a[w]], ids[b[w]]), np.zeros(len(ids[a[w]]), np.int64)) for kind, w in ((_SPAN, span), (_CROSS, cross), (_ASKED, ask)))]
+    partners = np.bincount(a[counted], minlength=len(ids)) + np.bincount(b[counted], minlength=len(ids))
+    some, ask = np.flatnonzero(sums), np.flatnonzero((partners > 0) & np.isin(ids, asked))
+    parts = [(kind, ids[i], ids[i], n[i].astype(np.int64)) for kind, i, n in ((_SUM, some, sums), (_ASKED, ask, partners))]
+    for kind, w in ((_SPAN, span), (_CROSS, np.flatnonzero(cross))):
+        parts.append((kind, np.minimum(ids[a[w]], ids[b[w]]), np.maximum(ids[a[w]], ids[b[w]]), np.zeros(len(w), np.int64)))
     kinds = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int32)
     a, b, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
     return pa.table({"kind": pa.array(kinds), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
@@ -337,13 +341,14 @@ def audit(nodes: DataFrame, found: DataFrame, asked: DataFrame, threshold: float
                 if len(rows):
                     there = batch.take(pa.array(rows))
                     n, q = np.nonzero(_matrix(there.column("vec")) @ x.T >= threshold)
-                    a, b = ids[q], there.column("node").to_numpy()[n]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["query", "other"])
-
-    truth = nodes.select("node", "label", "vec").mapInArrow(run, "query bigint, other bigint")
-    got = found.where(f"kind = {_ASKED}").select("a", "b").distinct()
-    got = got.select(F.col("a").alias("query"), F.col("b").alias("other"), F.lit(1).alias("hit")).unionByName(got.select(F.col("b").alias("query"), F.col("a").alias("other"), F.lit(1).alias("hit")))
-    by = truth.join(got, ["query", "other"], "left").groupBy("query").agg(F.count("hit").alias("hits"), F.count("*").alias("links"))
+                    held = np.bincount(q[ids[q] != there.column("node").to_numpy()[n]], minlength=len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[held > 0]), pa.array(held[held > 0])], names=["query", "links"])
+
+    truth = nodes.select("node", "label", "vec").mapInArrow(run, "query bigint, links bigint").groupBy("query").agg(F.sum("links").alias("links"))
+    # found links are verified, so their number tells how many are missing
+    cross = found.where(f"kind = {_CROSS}").select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("query"), F.lit(1).alias("n"))
+    got = found.where(f"kind = {_ASKED}").select(F.col("a").alias("query"), "n").unionByName(cross).groupBy("query").agg(F.sum("n").alias("hits"))
+    by = truth.join(got, "query", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     r = by.agg(F.sum("hits") / F.sum("links"), F.avg(F.col("hits") / F.col("links"))).first()
     return None if r[0] is None else min(r)
 
