@@ -383,3 +383,40 @@ def test_pipeline_stages(spark, sf_dir):
             docs = spark.createDataFrame(rows, docs.schema)
     assert sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[5] == sizes[4]
     assert all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_pipeline_is_what_plain_versions_say(spark, sf_dir):
+    """Each stage on what its predecessor kept, with null, empty and repeated rows and a long text among the documents."""
+    import corpus_pipeline
+
+    from .test_dedup import gram_set, plain_classes, plain_lines
+
+    docs = queries.table(spark, sf_dir, "documents")
+    some = docs.orderBy("doc_id").first().asDict()
+    long = " ".join(f"w{i}x{i % 977}" for i in range(60_000))
+    extra = [{**some, "doc_id": 900_000 + i, "text": text} for i, text in enumerate([None, "", "few words", long, long])]
+    docs = spark.createDataFrame([r.asDict() for r in docs.collect()] + extra + [extra[3]], docs.schema)
+    stages, kept = dict(corpus_pipeline.STAGES), {}
+    for name in ("quality rules", "line dedup", "n-gram Jaccard join", "mixing to target weights"):
+        rows = stages[name](spark, docs, sf_dir).collect()
+        kept[name], docs = [(r.doc_id, r.text) for r in rows], spark.createDataFrame(rows, docs.schema)
+    judged = {r.doc_id for r in quality.judge(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels")).where("kept").collect()}
+    assert {i for i, _ in kept["quality rules"] if i < 900_000} == judged and not {900_000, 900_001, 900_002} & {i for i, _ in kept["quality rules"]}
+    plain = [(i, text) for i, n, gone, _, text in plain_lines(kept["quality rules"], 3, 50) if n == 0 or gone < n]
+    assert sorted(kept["line dedup"]) == sorted(plain)
+    first = {c for _, n, c in plain_classes(kept["line dedup"], 5, 80) if n} | {i for i, t in kept["line dedup"] if not gram_set(t, 5)}
+    assert {i for i, _ in kept["n-gram Jaccard join"]} == first and len(kept["n-gram Jaccard join"]) == len(first)
+    times = Counter(kept["mixing to target weights"])
+    assert max(times.values()) <= 2 and set(times) <= set(kept["n-gram Jaccard join"])
+    coded = stages["byte-level BPE encoding"](spark, docs, sf_dir).collect()
+    codec = queries.codec()
+    assert Counter((r.doc_id, codec.decode(r.ids)) for r in coded) == Counter((i, t.encode()) for i, t in kept["mixing to target weights"])
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = queries.table(spark, sf_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.collect() == [] and "ids" in docs.columns
