@@ -167,17 +167,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any stretch of an array from one pass: polynomial prefix sums modulo 2**64, then mixed()."""
+    """Hashes of any stretch of an array from one pass: polynomial prefix sums modulo 2**64, then mixed(). A second
+    hasher of another base and other letters tells apart what one takes for equal."""
 
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
+    def __init__(self, base: int = 0x9E3779B97F4A7C15, letters: int = 0xD1342543DE82EF95) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
-        self.table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(letters))
 
     def powers(self, n: int) -> None:
         if len(self.up) < n:
-            up, down = np.full(n, self.BASE, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)
+            up, down = np.full(n, self.base, np.uint64), np.full(n, pow(self.base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
 

@@ -5,7 +5,7 @@ the smallest hash is selected (the last of equal ones), so that two equal runs o
 same line. Fewer lines are a run too where they hold long_words or more and no shorter run in them does: one long line, or
 two that are long together, for which the same holds. Selected lines are the fingerprints: chunks of documents send them to
 buckets, which answer which ones occur at two positions. Around those the matches are extended to both sides, as every run
-that holds a shared fingerprint is compared whole with all others, and neighbouring repeats join to maximal runs. A run that occurs earlier
+that holds a shared fingerprint is compared whole with all others (by 96 bits of two hashes), and neighbouring repeats join to maximal runs. A run that occurs earlier
 (smaller id, null smallest; in a document further up) is deleted; its first occurrence stays. Fingerprints that all
 documents share cost no more than others, as a chunk sends each once.
 
@@ -42,7 +42,8 @@ class LineRuns(Windows):
         doc = np.repeat(np.arange(len(self.ids)), np.diff(first))
         at = groups(np.searchsorted(np.flatnonzero(self.data == 10), starts) + doc)
         lines = starts[at]
-        self.hashes = self.hasher.of(self.hasher.prefix(self.data), lines, ends[np.append(at[1:], len(starts)) - 1] if len(at) else lines)
+        self.units = lines, ends[np.append(at[1:], len(starts)) - 1] if len(at) else lines
+        self.hashes = self.hasher.of(self.hasher.prefix(self.data), *self.units)
         words = np.concatenate([[0], np.cumsum(np.diff(np.append(at, len(starts))))])
         self.first = np.searchsorted(lines, self.off)
         self.prefix = self.hasher.prefix(self.hashes)

@@ -41,6 +41,25 @@ def test_substring_dedup_first_is_smallest_id_with_null_smallest(spark):
     assert got == {None: 0, 2: 25, 5: 25}
 
 
+class WeakHasher(substring_dedup.Hasher):
+    """Takes many different windows for equal."""
+
+    def windows(self, prefix, width):
+        return super().windows(prefix, width) >> 59 << 59
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_windows_with_one_hash_are_told_apart(spark, lines):
+    rows, bits = corpus(2), substring_dedup.bucket_bits(spark)
+    by = line_dedup.LineRuns(3, 45, bits) if lines else substring_dedup.Windows(20, bits)
+    by.hasher = WeakHasher()
+    got = substring_dedup.exchange(frame(spark, rows), by, (line_dedup if lines else substring_dedup).RESULT, "doc_id", "text").collect()
+    if lines:
+        assert sorted([tuple(r) for r in got], key=str) == plain_lines(rows, 3, 45)
+    else:
+        assert sorted([(r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept_text) for r in got], key=str) == plain_words(rows, 20)
+
+
 def plain_bytes(rows, length):
     count = Counter()
     for _, text in rows:
