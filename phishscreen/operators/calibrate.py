@@ -123,5 +123,6 @@ def freemail_and(domains) -> list[str]:
 
 def exclude_under(frame: DataFrame, host: str, domains: DataFrame) -> DataFrame:
     """Rows whose host is under none of the domains; for tables of domains too large for a literal list."""
-    hit = frame.select("msg_key", F.explode(host_suffixes(F.col(host))).alias("domain")).join(domains, "domain", "left_semi").select("msg_key").distinct()
-    return frame.join(hit, "msg_key", "left_anti")
+    hosts = frame.select(F.col(host).alias("listed_host")).distinct().select("listed_host", F.explode(host_suffixes(F.col("listed_host"))).alias("domain"))
+    hit = hosts.join(domains.select(F.lower("domain").alias("domain")), "domain", "left_semi").select("listed_host").distinct()
+    return frame.join(hit, F.col(host) == F.col("listed_host"), "left_anti")

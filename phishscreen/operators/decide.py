@@ -25,15 +25,18 @@ def list_reason(kind: str, addresses, domains) -> Column:
 
 
 def match_list(features: DataFrame, entries: DataFrame, kind: str, out: str) -> DataFrame:
-    """D1, D2 with a table (kind: address|domain, value, position) of any size: joins by equality on address and on host suffixes."""
+    """D1, D2 with a table (kind: address|domain, value, position) of any size. Each different sender is looked up once, by equality
+    on address and on host suffixes; only senders that an entry fits are joined back, so messages without a key match too."""
     entries = entries.where(F.col("value").isNotNull()).select(F.col("kind").alias("entry_kind"), F.lower("value").alias("entry_key"), "value", "position")
-    keys = F.array(F.struct(F.lit("address").alias("entry_kind"), F.col("from.address").alias("entry_key")))
-    both = F.concat(keys, F.transform(host_suffixes(F.col("from.host")), lambda s: F.struct(F.lit("domain").alias("entry_kind"), s.alias("entry_key"))))
-    asked = features.select("msg_key", F.explode(both).alias("k")).select("msg_key", "k.*").where("entry_key <> ''")
+    senders = features.select(F.col("from.address").alias("sender"), F.col("from.host").alias("sender_host")).distinct()
+    keys = F.array(F.struct(F.lit("address").alias("entry_kind"), F.col("sender").alias("entry_key")))
+    both = F.concat(keys, F.transform(host_suffixes(F.col("sender_host")), lambda s: F.struct(F.lit("domain").alias("entry_kind"), s.alias("entry_key"))))
+    asked = senders.select("sender", "sender_host", F.explode(both).alias("k")).select("sender", "sender_host", "k.*").where("entry_key <> ''")
     first = F.struct((F.col("entry_kind") != "address").alias("late"), F.col("position"))
     named = F.when(F.col("entry_kind") == "address", F.concat(F.lit(f"{kind}Addresses: "), F.col("entry_key"))).otherwise(F.concat(F.lit(f"{kind}Domains: "), F.col("value")))
-    found = asked.join(entries, ["entry_kind", "entry_key"]).groupBy("msg_key").agg(F.min_by(named, first).alias(out))
-    return features.join(found, "msg_key", "left")
+    found = asked.join(entries, ["entry_kind", "entry_key"]).groupBy("sender", "sender_host").agg(F.min_by(named, first).alias(out))
+    same = F.col("from.address").eqNullSafe(F.col("sender")) & F.col("from.host").eqNullSafe(F.col("sender_host"))
+    return features.join(found, same, "left").drop("sender", "sender_host")
 
 
 def in_gray(settings: Settings, score: str = "score") -> Column:

@@ -136,8 +136,9 @@ def host_suffixes(host: Column) -> Column:
 
 
 def mark_self_domains(features: DataFrame, domains: DataFrame) -> DataFrame:
-    """F35 with a table of domains: suffixes joined by equality, so that the table may be large."""
-    keyed = features.select("msg_key", F.explode(host_suffixes(F.col("from.host"))).alias("domain"))
-    hit = keyed.join(domains.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi").select("msg_key").distinct().withColumn("own", F.lit(True))
-    spoof = F.coalesce("own", F.lit(False)) & (F.col("auth.spf") != "pass") & (F.col("auth.dkim") != "pass")
-    return features.join(hit, "msg_key", "left").withColumn("self_domain_spoof", spoof).drop("own")
+    """F35 with a table of domains of any size: the suffixes of each different host are joined by equality, and hosts that are own
+    ones back to the messages."""
+    keyed = features.select(F.col("from.host").alias("own_host")).distinct().select("own_host", F.explode(host_suffixes(F.col("own_host"))).alias("domain"))
+    own = keyed.join(domains.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi").select("own_host").distinct()
+    spoof = F.col("own_host").isNotNull() & (F.col("auth.spf") != "pass") & (F.col("auth.dkim") != "pass")
+    return features.join(own, F.col("from.host") == F.col("own_host"), "left").withColumn("self_domain_spoof", spoof).drop("own_host")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phishscreen.functions.dictionaries import BRANDS, Dictionaries
-from phishscreen.operators import calibrate, decide, evaluate, rules
+from phishscreen.operators import calibrate, decide, evaluate, features, rules
 from phishscreen.plans.screen import reclassify, screen, scored
 from phishscreen.sources import mail, sinks
 from phishscreen.sources.schemas import MESSAGES
@@ -126,3 +126,17 @@ def test_stream_counts_and_repeat_senders(spark, tmp_path):
     assert [(str(r.day), r.total, r.spam, r.suspect, r.model_calls) for r in done] == [("2024-01-01", 2, 2, 0, 1)]
     plain = {(str(r.day), r.total, r.spam) for r in streaming.daily_counts(spark.createDataFrame(first, schema)).collect()}
     assert plain == {("2024-01-01", 2, 2), ("2024-01-09", 2, 0)}
+
+
+def test_tables_of_senders_need_no_message_key(spark):
+    row = lambda key, address, spf: (key, (address, address.partition("@")[2] if address else address), (spf, "none"))
+    mails = [row("k", "a@x.example", "pass"), row("k", "b@sub.Own.example", "fail"), row(None, "a@x.example", "fail"), row(None, "", "fail"), row("n", None, "fail")]
+    rows = spark.createDataFrame(mails, "msg_key string, `from` struct<address: string, host: string>, auth struct<spf: string, dkim: string>")
+    entries = spark.createDataFrame([("domain", "own.example", 0), ("address", "A@x.example", 1), ("domain", "x.example", 0), ("domain", None, 2)], "kind string, value string, position int")
+    got = decide.match_list(rows, entries, "allow", "allowed")
+    assert got.columns == [*rows.columns, "allowed"]
+    found = {(r["from"].address, r.allowed) for r in got.collect()}
+    assert found == {("a@x.example", "allowAddresses: a@x.example"), ("b@sub.Own.example", "allowDomains: own.example"), ("", None), (None, None)}
+    assert got.count() == len(mails)
+    spoofs = features.mark_self_domains(rows, spark.createDataFrame([("OWN.example",), ("own.example",)], "domain string"))
+    assert sorted((str(r["from"].address), r.self_domain_spoof) for r in spoofs.collect()) == [("", False), ("None", False), ("a@x.example", False), ("a@x.example", False), ("b@sub.Own.example", True)]
