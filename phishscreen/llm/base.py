@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import tempfile
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -166,36 +167,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Spans of more bytes are hashed one by one, shorter ones all at once.
+LONG_SPAN = 64
+_MULTIPLY, _LENGTH = np.uint64(0x9FB21C651E98DF27), np.uint64(0xD1342543DE82EF95)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; past the end they are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 class Hasher:
-    """Hashes of any stretch of an array from one pass: polynomial prefix sums modulo 2**64, then mixed(). A second
-    hasher of another base and other letters tells apart what one takes for equal."""
-
-    def __init__(self, base: int = 0x9E3779B97F4A7C15, letters: int = 0xD1342543DE82EF95) -> None:
-        self.base = base
-        self.up = self.down = np.ones(1, np.uint64)
-        self.table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(letters))
-
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            up, down = np.full(n, self.base, np.uint64), np.full(n, pow(self.base, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        n = len(values)
-        self.powers(n + 1)
-        if values.dtype == np.uint8:
-            values = self.table[values]
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], out=out[1:])
+    """64-bit hashes of spans of bytes and of windows over a sequence of hashes. Every step is mixed, so no regular sequence
+    makes different windows agree, as it can in a polynomial modulo a power of two. Hashers with different seeds are
+    independent of each other from the bytes on."""
+
+    def __init__(self, seed: int = 0x9E3779B97F4A7C15) -> None:
+        self.seed = np.uint64(seed)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each span [start, end) of bytes: 8 bytes a step, and BLAKE2 for long ones."""
+        sizes = ends - starts
+        out = mixed(sizes.astype(np.uint64) * _LENGTH + self.seed)
+        loads, rest = eights(data), np.flatnonzero(sizes <= LONG_SPAN)
+        at, left, state = starts[rest], sizes[rest], out[rest]
+        while len(rest):
+            state = mixed(state ^ (loads[at] & _LOW_BYTES[np.minimum(left, 8)]))
+            out[rest] = state
+            more = left > 8
+            rest, at, left, state = rest[more], at[more] + 8, left[more] - 8, state[more]
+        long = np.flatnonzero(sizes > LONG_SPAN)
+        if len(long):
+            raw, key = memoryview(np.ascontiguousarray(data)), self.seed.tobytes()
+            said = b"".join(blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+            out[long] = np.frombuffer(said, np.uint64)
         return out
 
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((prefix[end] - prefix[start]) * self.down[start])
-
-    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
-        n = len(prefix) - width
-        return mixed((prefix[width:] - prefix[:-width]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+    def windows(self, values: np.ndarray, width: int) -> np.ndarray:
+        """The hash of every width neighbouring values, from hashes of windows of 1, 2, 4, ... of them."""
+        n = len(values) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        level, size, out, done = values ^ self.seed, 1, None, 0
+        while True:
+            if width & size:
+                out = level[:n] if out is None else joined(out, level[done : done + n])
+                done += size
+            if done == width:
+                return mixed(out + np.uint64(width))
+            level, size = joined(level[:-size], level[size:]), 2 * size
+
+    def byte_windows(self, data: np.ndarray, width: int) -> np.ndarray:
+        """The hash of every width neighbouring bytes, from windows of 8 that may overlap."""
+        n = len(data) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        if width < 8:
+            return mixed((eights(data)[:n] & _LOW_BYTES[width]) ^ self.seed)
+        level, size = mixed(eights(data)[: len(data) - 7] ^ self.seed), 8
+        while 2 * size <= width:
+            level, size = joined(level[:-size], level[size:]), 2 * size
+        return mixed((level if size == width else joined(level[:n], level[width - size :][:n])) + np.uint64(width))
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two neighbours, from theirs."""
+    return mixed(left * _MULTIPLY + right)
 
 
 _SPACE = np.zeros(256, bool)

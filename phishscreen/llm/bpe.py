@@ -4,8 +4,13 @@ tiktoken's rank-based encoder does the merges. Texts longer than a limit are cut
 pre-tokenizer's pattern ends a match whatever stands around, so that the pieces' ids joined are the ids of the whole
 text. Decoding works on raw bytes: a token may end inside a character.
 
+The pattern's rule for white space, all of a run but its last character if something else follows, looks ahead and so keeps
+a place to go back to for each character, which overflows on some million of them. Long runs are therefore found by a plain
+scan and their match is merged without the pattern. All other matches are found without going back. A text without any
+safe place is encoded in one go; it must fit in a task's memory some 30 times over, and there is no other limit to its length.
+
 Null text counts as empty and gives no ids; repeated rows and rows with equal ids each give their own row; extra columns
-are carried by encode() unless they clash with its own output names, which then win.
+are carried by encode() unless they clash with its own output names, which then win. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ _LETTER = "A-Za-zĀ-ſぁ-ゖァ-ヺ一-龥"
 #: A match always ends here: a single space between letters or digits goes with what follows it; a run of letters ends
 #: before a line break or a full stop.
 SAFE_CUT = rf"(?<=[{_LETTER}0-9])(?= [{_LETTER}0-9])|(?<=[{_LETTER}])(?=[\n.,;:!?、。])"
+#: Characters of a run of white space from which on it is merged without the pattern.
+LONG_BLANKS = 4096
+#: The characters that the pattern takes for white space (\\s).
+BLANKS = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 class Codec:
@@ -56,7 +65,7 @@ class Codec:
             pairs = (line.split() for line in self.rank_file.splitlines() if line.strip())
             ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
             self._encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-            self._cut = re.compile(SAFE_CUT)
+            self._cut, self._blanks = re.compile(SAFE_CUT), re.compile(f"{BLANKS}{{{LONG_BLANKS},}}")
         return self._encoding
 
     def pieces(self, text: str) -> Iterator[str]:
@@ -72,9 +81,19 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         encode = self.encoding.encode_ordinary
-        if len(text) <= self.piece_chars:
+        if len(text) < min(self.piece_chars, LONG_BLANKS):
             return encode(text)
-        return [x for piece in self.pieces(text) for x in encode(piece)]
+        out, at = [], 0
+        for run in self._blanks.finditer(text):
+            # a match ends where a run begins, and the run's match leaves its last character to what follows
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            for piece in self.pieces(text[at : run.start()]):
+                out += encode(piece)
+            out += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        for piece in self.pieces(text[at:]):
+            out += encode(piece)
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)

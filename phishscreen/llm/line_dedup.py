@@ -5,8 +5,8 @@ the smallest hash is selected (the last of equal ones), so that two equal runs o
 same line. Fewer lines are a run too where they hold long_words or more and no shorter run in them does: one long line, or
 two that are long together, for which the same holds. Selected lines are the fingerprints: chunks of documents send them to
 buckets, which answer which ones occur at two positions. Around those the matches are extended to both sides, as every run
-that holds a shared fingerprint is compared whole with all others (by 96 bits of two hashes), and neighbouring repeats join to maximal runs. A run that occurs earlier
-(smaller id, null smallest; in a document further up) is deleted; its first occurrence stays. Fingerprints that all
+that holds a shared fingerprint is compared whole with all others (by 128 bits of two hashes), and neighbouring repeats join to maximal runs. A run that occurs earlier
+(smaller id, null as the smallest long there is; in a document further up) is deleted; its first occurrence stays. Fingerprints that all
 documents share cost no more than others, as a chunk sends each once.
 
 A line without a word goes with the line above it. Null texts count as empty and have no lines; repeated rows are documents
@@ -43,10 +43,9 @@ class LineRuns(Windows):
         at = groups(np.searchsorted(np.flatnonzero(self.data == 10), starts) + doc)
         lines = starts[at]
         self.units = lines, ends[np.append(at[1:], len(starts)) - 1] if len(at) else lines
-        self.hashes = self.hasher.of(self.hasher.prefix(self.data), *self.units)
+        self.hashes = self.hasher.spans(self.data, *self.units)
         words = np.concatenate([[0], np.cumsum(np.diff(np.append(at, len(starts))))])
         self.first = np.searchsorted(lines, self.off)
-        self.prefix = self.hasher.prefix(self.hashes)
         self.n, self.counts = len(lines), np.diff(self.first)
         # runs of fewer lines that hold enough words, without a line to spare at either end
         self.short = {}
@@ -72,7 +71,7 @@ class LineRuns(Windows):
 
     def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         runs = self._runs()
-        hashes = [self.hasher.windows(self.prefix, width)[starts] for width, starts in runs]
+        hashes = [self.hasher.windows(self.hashes, width)[starts] for width, starts in runs]
         return np.concatenate([s for _, s in runs]), np.repeat([w for w, _ in runs], [len(s) for _, s in runs]), np.concatenate(hashes)
 
     def remove(self, key: tuple, chunk: pa.Table, later: pa.Table) -> pa.Table:

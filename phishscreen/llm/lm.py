@@ -290,7 +290,7 @@ def _tokens(data: np.ndarray, off: np.ndarray, hasher: Hasher) -> tuple[np.ndarr
     """Hashes of all words with an end after each document, and where each document begins in them (one more at the end)."""
     data = lowered(data)
     starts, ends, first = word_spans(data, off)
-    words = hasher.of(hasher.prefix(data), starts, ends)
+    words = hasher.spans(data, starts, ends)
     docs = len(off) - 1
     return np.insert(words, first[1:], END), first + np.arange(docs + 1)
 

@@ -28,6 +28,7 @@ whatever their names. A document must fit in a task's memory about 60 times over
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +70,14 @@ def record_sets(data: np.ndarray, off: np.ndarray, hasher: Hasher, n: int) -> tu
     data = lowered(data)
     starts, ends, first = word_spans(data, off)
     counts = np.diff(first)
-    prefix = hasher.prefix(hasher.of(hasher.prefix(data), starts, ends))
-    grams = hasher.windows(prefix, n)
+    values = hasher.spans(data, starts, ends)
+    grams = hasher.windows(values, n)
     out, edge = [], np.zeros(len(off), np.int64)
     for i, (lo, words) in enumerate(zip(first[:-1].tolist(), counts.tolist(), strict=True)):
         if words >= n:
             out.append(np.unique(grams[lo : lo + words - n + 1]))
         elif words:
-            out.append(~hasher.of(prefix, np.array([lo]), np.array([lo + words])))
+            out.append(~hasher.windows(values[lo : lo + words], words))
         edge[i + 1] = edge[i] + (len(out[-1]) if words else 0)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), edge
 
@@ -196,12 +197,12 @@ def match(key: tuple, rows: pa.Table) -> pa.Table:
     out = []
     for times, part in seen.values():
         own, probe = recs[part], roles[part] & PROBE > 0
-        name = int(mixed(np.array([np.bitwise_xor.reduce(mixed(own.view(np.uint64) + probe.astype(np.uint64)))], np.uint64)).view(np.int64)[0])
+        grp, check = np.frombuffer(blake2b(own.tobytes() + probe.tobytes(), digest_size=16).digest(), np.int64).tolist()
         for lo in range(0, len(own), ROW_MEMBERS):
-            out.append((name, lo, times, own[lo : lo + ROW_MEMBERS], probe[lo : lo + ROW_MEMBERS]))
-    cols = list(zip(*out, strict=True)) or [()] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["grp", "part", "times", "recs", "probes"])
+            out.append((grp, check, lo, times, own[lo : lo + ROW_MEMBERS], probe[lo : lo + ROW_MEMBERS]))
+    cols = list(zip(*out, strict=True)) or [()] * 6
+    kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.bool_()))
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["grp", "check", "part", "times", "recs", "probes"])
 
 
 def _compare(n: int, percent: int):
@@ -380,8 +381,9 @@ def candidate_groups(docs: DataFrame, largest: int, n: int, percent: int, text_c
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     sent = texts.mapInArrow(run, "bucket int, blob binary")
-    found = sent.groupBy("bucket").applyInArrow(lambda k, t: match(k, t), "grp bigint, part bigint, times bigint, recs array<bigint>, probes array<boolean>")
-    return found.groupBy("grp", "part").agg(F.sum("times").alias("times"), F.first("recs").alias("recs"), F.first("probes").alias("probes"))
+    found = sent.groupBy("bucket").applyInArrow(lambda k, t: match(k, t), "grp bigint, check bigint, part bigint, times bigint, recs array<bigint>, probes array<boolean>")
+    # equal groups are told by 128 bits; different ones with one grp are compared as one group, which loses nothing
+    return found.groupBy("grp", "check", "part").agg(F.sum("times").alias("times"), F.first("recs").alias("recs"), F.first("probes").alias("probes"))
 
 
 def _links_of(texts: list[bytes], hasher: Hasher, n: int, percent: int) -> list[tuple[int, int]]:
@@ -419,17 +421,17 @@ def _links_of(texts: list[bytes], hasher: Hasher, n: int, percent: int) -> list[
 
 def _content(docs: DataFrame, owned: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rec, z, s): a compressed text of each wanted record and its size. Other texts aren't sent."""
-    draws = cut(owned.join(wanted, "rec").groupBy("rec").agg(F.min("draw").alias("draw")))
+    draws = cut(owned.join(wanted, "rec").groupBy("rec").agg(F.min(F.struct("draw", "doc_id")).alias("m")).select("rec", F.col("m.draw").alias("draw"), F.col("m.doc_id").alias("of")))
     if draws.count() <= BROADCAST_ROWS:
         draws = F.broadcast(draws)
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["rec", "z", "s"])
 
-    return texts.join(draws, "draw").select("rec", "text").mapInArrow(zipped, "rec bigint, z binary, s bigint").dropDuplicates(["rec"])
+    return texts.join(draws, "draw").where(F.col("id").eqNullSafe(F.col("of"))).select("rec", "text").mapInArrow(zipped, "rec bigint, z binary, s bigint").dropDuplicates(["rec"])
 
 
 def _dealt(placed: DataFrame, size: int) -> DataFrame:
@@ -566,8 +568,8 @@ def dedup_docs(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     """One row of each component, that with the smallest id, and all rows without a word; columns unchanged. Text is shuffled once."""
     owned = cut(joined_records(docs, n, percent, id_col, text_col))
     first = owned.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("m"))
-    kept = first.select("m.draw", F.lit(True).alias("one")).distinct()
-    empty = owned.where("component is null").select("draw", F.lit(False).alias("one")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(id_col, text_col).alias("draw"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("draw").orderBy("draw")))
-    return rows.join(kept.unionByName(empty), "draw").where("nth = 1 or not one").select("row.*")
+    kept = first.select("m.draw", F.col("m.doc_id").alias("of"), F.lit(True).alias("one")).distinct()
+    empty = owned.where("component is null").select("draw", F.col("doc_id").alias("of"), F.lit(False).alias("one")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("draw"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("draw", "id").orderBy("draw")))
+    return rows.join(kept.unionByName(empty), "draw").where(F.col("id").eqNullSafe(F.col("of")) & ((F.col("nth") == 1) | ~F.col("one"))).select("row.*")

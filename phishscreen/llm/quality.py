@@ -56,13 +56,12 @@ def text_statistics(data: np.ndarray, off: np.ndarray, hasher: Hasher, window: i
     starts, ends, first = word_spans(data, off)
     n_words, docs = np.diff(first), len(off) - 1
     lead = (data & 0xC0) != 0x80
-    prefix = hasher.prefix(data)
-    words = hasher.of(prefix, starts, ends)
+    words = hasher.spans(data, starts, ends)
     doc = np.repeat(np.arange(docs, dtype=np.uint64), n_words) * np.uint64(0xA0761D6478BD642F)
     doubled = np.zeros(len(words), bool)
     doubled[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
     repeat = np.zeros(len(starts), bool)
-    grams = hasher.windows(hasher.prefix(words), window)
+    grams = hasher.windows(words, window)
     if len(grams):
         grams ^= doc[: len(grams)]
         room = np.flatnonzero(window_room(first, window)[: len(grams)])

@@ -3,10 +3,10 @@
 A window of width words always holds a whole one of the blocks that a document is cut into without overlap, if a block has
 half as many words. So all those reference blocks are indexed, every document probes the index with each rolling window of
 a block's length, and only windows around a hit can repeat. Hits are extended to full windows: the windows that hold a hit
-are compared by 96 bits from two hashes of the whole window (all occurrences of one meet in one bucket; among the 2e13
-windows of 100 TB, two different ones agree with a chance below 1 in 100), and neighbouring repeats of one document join to
-maximal repeats. Of equal windows the first keeps its words: smallest document id (null is smallest), then the earliest
-start; rows with the same id come in the order of a hash of their text, and of equal rows one counts as first.
+are compared by 128 bits from two hashes of the whole window that are independent from the words' bytes on (all occurrences
+of one meet in one bucket), and neighbouring repeats of one document join to maximal repeats. Of equal windows the first keeps
+its words: smallest document id (null counts as the smallest long there is, and comes before a row that has it), then the
+earliest start; rows with the same id come in the order of a hash of their text, and of equal rows one counts as first.
 
 Null and empty texts have no words and nothing removed. An empty table gives an empty result. Extra columns are ignored.
 A document must fit in a task's memory about 60 times over; there is no other limit to its length.
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from .base import PACKET, Hasher, answered, bounds, bucket_bits, chunked, groups, pack, packets, sorted_chunk, steps, unpack, window_room, word_spans
 
 WIDTH = 20
-#: Base and letters of the second hash of a window.
-CHECK = (0xDA942042E4DD58B5, 0x9FB21C651E98DF25)
+#: Seed of the second hash of a window.
+CHECK = 0xDA942042E4DD58B5
 #: Bits of a block's fingerprint inside its bucket. A false hit only costs the comparison that follows.
 BLOCK_BITS = 32
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept_text string"
@@ -33,34 +33,36 @@ class Windows:
 
     def __init__(self, width: int, bits: int) -> None:
         self.width, self.block, self.bits, self.hasher = width, (width + 1) // 2, bits, Hasher()
-        self.second = Hasher(*CHECK)
+        self.second = Hasher(CHECK)
 
     def read(self, chunk: pa.Table) -> None:
         self.keys, self.ids, self.data, self.off = sorted_chunk(chunk)
         starts, ends, self.first = word_spans(self.data, self.off)
         self.units = starts, ends
-        words = self.hasher.of(self.hasher.prefix(self.data), starts, ends)
-        self.prefix = self.hasher.prefix(words)
-        self.n = len(words)
+        self.hashes = self.hasher.spans(self.data, starts, ends)
+        self.n = len(self.hashes)
         self.counts = np.diff(self.first)
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of all block-long windows in documents that have a full window, their fingerprints, and whether they are reference blocks."""
         long = np.repeat(self.counts >= self.width, self.counts)
         places = np.flatnonzero((window_room(self.first, self.block) & long)[: max(0, self.n - self.block + 1)])
-        marks = self.hasher.windows(self.prefix, self.block)[places] >> np.uint64(64 - BLOCK_BITS - self.bits)
+        marks = self.hasher.windows(self.hashes, self.block)[places] >> np.uint64(64 - BLOCK_BITS - self.bits)
         inside = places - np.repeat(self.first[:-1], self.counts)[places] if len(places) else places
         return places, marks, inside % self.block == 0
 
     def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, width and hash of each window that counts as a repeat if it occurs earlier."""
         starts = np.flatnonzero(window_room(self.first, self.width))
-        return starts, np.full(len(starts), self.width), self.hasher.windows(self.prefix, self.width)[starts]
+        return starts, np.full(len(starts), self.width), self.hasher.windows(self.hashes, self.width)[starts]
 
     def checks(self, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
-        """32 more bits for windows, independent from full()."""
-        prefix = self.second.prefix(self.second.of(self.second.prefix(self.data), *self.units))
-        return (self.second.of(prefix, starts, starts + widths) >> np.uint64(32)).astype(np.uint32)
+        """64 more bits for windows, independent from full()."""
+        values, out = self.second.spans(self.data, *self.units), np.zeros(len(starts), np.uint64)
+        for width in np.unique(widths).tolist():
+            own = widths == width
+            out[own] = self.second.windows(values, width)[starts[own]]
+        return out
 
     def probe(self, key: tuple, chunk: pa.Table) -> pa.Table:
         self.read(chunk)

@@ -8,8 +8,9 @@ tied rank within v bytes can have the whole string in common with another one. T
 turn, one bucket at a time, and adjacent equal ones mark repeats. A bucket's memory is bounded, as buckets grow in number
 with the shuffle partitions and no chunk sends a value twice.
 
-Equality, not order, is what dedup needs, so suffixes are compared by fingerprints of their leading bytes (40 bits or more
-for ranks, where a collision only costs a comparison; 56 bits or more for the strings that decide).
+Equality, not order, is what dedup needs, so suffixes are compared by fingerprints of their leading bytes: 32 bits and those of
+the bucket for ranks, where a collision only costs a comparison; 56 and those of the bucket (5 with 8 shuffle partitions, 10
+with 200), 64 together at most, for the strings that decide.
 
 Null texts count as empty: no bytes, no spans. Texts shorter than length keep everything. Repeated rows are documents of
 their own, so they remove each other's long strings. An empty table gives an empty result; extra columns are ignored. A
@@ -22,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import PACKET, Hasher, answered, bounds, bucket_bits, chunked, groups, pack, packets, repeats_covered, sorted_chunk, steps, unpack
+from .base import PACKET, Hasher, answered, bounds, bucket_bits, chunked, groups, joined, pack, packets, repeats_covered, sorted_chunk, steps, unpack
 from .substring_dedup import _answers
 
 LENGTH = 200
-RANK_BITS, STRING_BITS = 32, 48
+RANK_BITS, STRING_BITS = 32, 56
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
 
 #: Perfect difference sets, modulus and members.
@@ -50,7 +51,7 @@ class Suffixes:
     """The steps on one chunk. All see the same documents in the same order and so number places alike."""
 
     def __init__(self, length: int, bits: int) -> None:
-        self.length, self.bits, self.hasher = length, bits, Hasher()
+        self.length, self.bits, self.hasher, self.string_bits = length, bits, Hasher(), min(STRING_BITS, 64 - bits)
         self.v, members = cover(length)
         self.in_cover = np.zeros(self.v, bool)
         self.in_cover[list(members)] = True
@@ -58,7 +59,8 @@ class Suffixes:
     def read(self, chunk: pa.Table) -> None:
         _, self.ids, self.data, self.off = sorted_chunk(chunk)
         self.n, sizes = len(self.data), np.diff(self.off)
-        self.prefix = self.hasher.prefix(self.data)
+        self.span = self.length - self.v + 1
+        self.hashes = self.hasher.byte_windows(self.data, self.span)
         place = np.arange(self.n, dtype=np.int32)
         self.inside = place - np.repeat(self.off[:-1].astype(np.int32), sizes)
         self.left = np.repeat(self.off[1:].astype(np.int32), sizes) - place
@@ -66,10 +68,9 @@ class Suffixes:
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the sample and their ranks' fingerprints."""
-        span = self.length - self.v + 1
-        ok = self.in_cover[self.inside % self.v] & (self.left >= span) & (self.inside + self.left >= self.length)
+        ok = self.in_cover[self.inside % self.v] & (self.left >= self.span) & (self.inside + self.left >= self.length)
         places = np.flatnonzero(ok)
-        return places, self.hasher.of(self.prefix, places, places + span) >> np.uint64(64 - RANK_BITS - self.bits)
+        return places, self.hashes[places] >> np.uint64(64 - RANK_BITS - self.bits)
 
     def _send(self, chunk: int, values: np.ndarray, size: int, kind: type) -> list[tuple]:
         values, times = np.unique(values, return_counts=True)
@@ -86,7 +87,8 @@ class Suffixes:
         return packets(self._send(key[0].as_py(), self.sample()[1], RANK_BITS, np.uint32))
 
     def strings(self, places: np.ndarray) -> np.ndarray:
-        return self.hasher.of(self.prefix, places, places + self.length) >> np.uint64(64 - STRING_BITS - self.bits)
+        both = joined(self.hashes[places], self.hashes[places + self.length - self.span])  # they overlap and leave no byte out
+        return both >> np.uint64(64 - self.string_bits - self.bits)
 
     def resolve(self, key: tuple, chunk: pa.Table, ties: pa.Table) -> pa.Table:
         """Sends the suffixes, cut at length, that have a tied rank within v bytes."""
@@ -101,7 +103,7 @@ class Suffixes:
         n = max(0, self.n - self.length + 1)
         able = (self.left[:n] >= self.length) & (tied[self.v : self.v + n] > tied[:n])
         own = (int(key[0].as_py()) % (1 << self.bits), key[0].as_py(), 1, pack(np.packbits(able)))
-        return packets([own, *self._send(key[0].as_py(), self.strings(np.flatnonzero(able)), STRING_BITS, np.uint64)])
+        return packets([own, *self._send(key[0].as_py(), self.strings(np.flatnonzero(able)), self.string_bits, np.uint64)])
 
     def remove(self, key: tuple, chunk: pa.Table, repeats: pa.Table) -> pa.Table:
         self.read(chunk)
@@ -112,7 +114,7 @@ class Suffixes:
             places = np.flatnonzero(np.unpackbits(flags, count=max(0, self.n - self.length + 1)))
             known, back = np.unique(self.strings(places), return_inverse=True)
             start = np.zeros(self.n, bool)
-            start[places] = answered(bounds(known, self.bits, STRING_BITS + self.bits), repeats.filter(pa.array(kinds == 0)))[back]
+            start[places] = answered(bounds(known, self.bits, self.string_bits + self.bits), repeats.filter(pa.array(kinds == 0)))[back]
             gone = repeats_covered(start, self.length, self.n)
         removed, spans, kept = [], [], []
         raw = self.data.tobytes()

@@ -2,14 +2,16 @@
 
 A rule names a host and a path prefix; it fits the host, its subdomains and every path that starts so. With the labels
 of the host reversed and the path behind, a rule is the interval of all keys that start with its own key. A URL is a few
-points: one for each suffix of its host, each with the whole path. Points and interval ends are dealt out by ranges of
+points: one for each suffix of its host that has no more labels than the longest rule's host and no more characters, each with
+the whole path. Other suffixes fit no rule. Points and interval ends are dealt out by ranges of
 keys; inside a range one sweep over the sorted keys keeps the stack of the rules that are open at that point. Rules nest,
 as prefixes do, so the stack's entries are exactly the rules that fit, and the longest wins.
 
 Only distinct (host, path) pairs are swept. A key that fills several ranges is spread over all of them, and rules that
 span ranges are sent to each. Null urls and urls without "://" have an empty host and path, fit no rule and get the
-default verdict. Repeated rows are judged one by one; an empty table of rules leaves every url to the default. A url may be
-as long as a task's memory allows; extra columns, whatever their names, are ignored.
+default verdict. Repeated rows are judged one by one; an empty table of rules leaves every url to the default. A url takes as
+many points as the longest rule has labels, so memory grows with its length and not with the square of it; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -47,20 +49,30 @@ def _upper(key: bytes) -> bytes:
     return key + b"\xff"
 
 
-def _suffixes(host: str) -> list[str]:
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))]
+def _suffixes(host: str, labels: int, chars: int) -> list[str]:
+    """The host's last label, then one more at a time, while a rule with so many labels and characters can fit; none of an empty host."""
+    out, at = [], len(host) or -1
+    while at >= 0 and len(out) < labels:
+        at = host.rfind(".", 0, at)
+        if len(host) - at - 1 > chars:
+            break
+        out.append(host[at + 1 :])
+    return out
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            hosts, paths, keys = [], [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                for suffix in _suffixes(host) if host else []:
-                    hosts.append(host), paths.append(path), keys.append(_key(suffix, path))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(keys, pa.binary())], names=["host", "path", "key"])
+def _points(labels: int, chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                rows, keys = [], []
+                for i, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                    for suffix in _suffixes(host, labels, chars):
+                        rows.append(i), keys.append(_key(suffix, path))
+                picked = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([picked.column("host"), picked.column("path"), pa.array(keys, pa.binary())], names=["host", "path", "key"])
+
+    return run
 
 
 def _longer(rule: tuple, than: tuple | None) -> bool:
@@ -96,15 +108,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     spark = pages.sparkSession
     host, path = parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    points = rows.where("host <> ''").select("host", "path").distinct().mapInArrow(_points, "host string, path string, key binary")
-    rule_key = F.udf(lambda h, p: bytearray(_key(h, p)), "binary")
     lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rules = rules.select(lower.alias("rhost"), F.col("path").alias("rpath"), "action").dropna().where("rhost <> ''").groupBy("rhost", "rpath").agg(F.min("action").alias("action"))
-    rules = rules.withColumn("key", rule_key("rhost", "rpath"))
+    rules = rules.withColumn("key", F.encode(F.concat(F.array_join(F.reverse(F.split("rhost", "[.]")), "\x02"), F.lit(_HOST_END), F.col("rpath")), "utf-8"))
+    widest = rules.agg(F.max(F.size(F.split("rhost", "[.]"))), F.max(F.length("rhost"))).first()
+    labels, chars = widest[0] or 0, widest[1] or 0
+    points = rows.where("host <> ''").select("host", "path").distinct().mapInArrow(_points(labels, chars), "host string, path string, key binary")
     n = partitions(spark)
     # The bounds come from the points of a sample of urls that is bounded by the number of ranges, as a range partitioner's do.
     sample = rows.where("host <> ''").orderBy(F.xxhash64("page_id", "host", "path")).limit(SAMPLE_PER_RANGE * n).select("host", "path").collect()
-    seen = sorted({_key(suffix, r.path) for r in sample for suffix in _suffixes(r.host)})
+    seen = sorted({_key(suffix, r.path) for r in sample for suffix in _suffixes(r.host, labels, chars)})
     bounds = [seen[len(seen) * i // n] for i in range(1, n)] if seen else []
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +139,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     fits = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_sweep, "host string, path string, rhost string, rpath string, action string")
     size = F.struct((F.length("rhost") + F.length("rpath")).alias("n"), F.length("rhost").alias("h"), "rhost", "rpath", "action")
     won = fits.groupBy("host", "path").agg(F.max(size).alias("won"))
-    out = rows.join(won, ["host", "path"], "left")
+    # urls without a host meet no rule, and don't gather at one key of the join
+    none = rows.where("host = ''").withColumn("won", F.lit(None).cast(won.schema["won"].dataType))
+    out = rows.where("host <> ''").join(won, ["host", "path"], "left").select("page_id", "host", "path", "won").unionByName(none)
     return out.select("page_id", "host", "path", F.concat("won.rhost", "won.rpath").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
 
 

@@ -44,8 +44,8 @@ def test_substring_dedup_first_is_smallest_id_with_null_smallest(spark):
 class WeakHasher(substring_dedup.Hasher):
     """Takes many different windows for equal."""
 
-    def windows(self, prefix, width):
-        return super().windows(prefix, width) >> 59 << 59
+    def windows(self, values, width):
+        return super().windows(values, width) >> 59 << 59
 
 
 @pytest.mark.parametrize("lines", [False, True])
@@ -269,3 +269,60 @@ def test_queries_digest_what_operators_return(spark, sf_dir):
     got = sorted(tuple(r) for r in queries.op2_substring_dedup(spark, sf_dir).collect())
     plain = [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, _, t in plain_words(docs, 20)]
     assert got == sorted(plain)
+
+
+def thue_morse(k):
+    """A word of 2 ** k letters and the one with letters exchanged: any polynomial modulo 2 ** 64 takes them for equal."""
+    x = "a"
+    for _ in range(k):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_are_told_apart(spark):
+    x, y = thue_morse(10)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}")]
+    assert [r.n_removed for r in substring_dedup.dedup(frame(spark, rows)).collect()] == [0, 0]
+    lines = [(i, "\n".join([word, "second line", "third line"])) for i, word in ((1, x), (2, y))]
+    assert [r.n_removed for r in line_dedup.dedup(frame(spark, lines)).collect()] == [0, 0]
+    near = [(1, f"{x} p q r"), (2, f"{y} p q r")]
+    assert sorted(r.component_id for r in ngram_join.classes(frame(spark, near), n=4, percent=85).collect()) == [1, 2]
+    a, b = thue_morse(8)
+    assert [r.n_removed for r in suffix_dedup.dedup(frame(spark, [(1, a), (2, b)])).collect()] == plain_bytes_removed([a, b])
+
+
+def plain_bytes_removed(texts, length=200):
+    raw, seen = [t.encode() for t in texts], Counter()
+    for t in raw:
+        seen.update(t[i : i + length] for i in range(len(t) - length + 1))
+    out = []
+    for t in raw:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(sum(gone))
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 20, 33])
+def test_window_hashes_are_equal_where_windows_are(width):
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    for got in (ngram_join.Hasher().byte_windows(data, width), ngram_join.Hasher().windows(data.astype(np.uint64), width)):
+        raw = data.tobytes()
+        windows = [raw[i : i + width] for i in range(len(raw) - width + 1)]
+        assert len(got) == len(windows) and len(set(got.tolist())) == len(set(windows)) == len(set(zip(got.tolist(), windows)))
+
+
+def test_span_hashes_are_equal_where_spans_are():
+    import numpy as np
+
+    data = np.frombuffer(b"ab" * 300, np.uint8)
+    starts = np.arange(0, 400)
+    for size in (0, 1, 7, 8, 9, 16, 64, 65, 130):
+        got = ngram_join.Hasher().spans(data, starts, starts + size)
+        assert len(set(got.tolist())) == (2 if size else 1)

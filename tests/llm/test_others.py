@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from phishscreen.llm import bpe, embed_dedup, lm, mixing, quality, queries, url_filter
@@ -420,3 +421,48 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == [] and "ids" in docs.columns
+
+
+BLANK_RUNS = [" ", "\t", "\n", "\r\n", "\u00a0", "\u3000 ", " \n\t"]
+
+
+def test_bpe_long_blanks_are_the_pattern_rule(codec):
+    for blank in BLANK_RUNS:
+        for n in (bpe.LONG_BLANKS - 1, bpe.LONG_BLANKS, 3 * bpe.LONG_BLANKS):
+            for before, after in (("", ""), ("a b", "c d"), ("x", ", y"), ("'s", "\n"), ("5", "7"), ("", "z")):
+                text = before + blank * n + after
+                assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("n", [1_000_000, 2_000_000, 10_000_000])
+def test_bpe_millions_of_blanks(codec, n):
+    for blank in " \t\n":
+        words = "ordinary words " * 200
+        for text in (blank * n, words + "end" + blank * n + words):
+            ids = codec.encode(text)
+            assert codec.decode(ids) == text.encode()
+        # what stands around is encoded as ever: the run leaves its last character to what follows
+        head, tail = codec.encoding.encode_ordinary(words + "end"), codec.encoding.encode_ordinary(blank + words)
+        assert ids[: len(head)] == head and ids[-len(tail) :] == tail
+        assert ids[len(head) : -len(tail)] == codec.encoding._encode_single_piece(blank * (n - 1))
+
+
+def test_bpe_millions_of_blanks_on_spark_and_empty_table(spark, codec):
+    text = " " * 1_000_000
+    got = bpe.round_trip_digests(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), codec).collect()
+    assert got[0].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert bpe.round_trip_digests(empty, codec).collect() == bpe.encode(empty, codec).collect() == []
+
+
+def test_url_filter_long_hosts(spark):
+    import time
+
+    host = "a." * 500_000 + "example.org"
+    began = time.time()
+    assert url_filter._suffixes(host, 2, 20) == ["org", "example.org"] and url_filter._suffixes(".", 3, 9) == ["", "."] and url_filter._suffixes("", 3, 9) == []
+    got = list(url_filter._points(2, 20)([pa.record_batch({"host": [host], "path": ["/es/x"]})]))[0]
+    assert got.num_rows == 2 and time.time() - began < 1
+    rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, f"http://{host}/es/x"), (2, None), (3, "no scheme")], "page_id bigint, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()} == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: (None, "allow")}
