@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, line_dedup, lm, mixing, ngram_join, quality, substring_dedup, suffix_dedup, url_filter
+from . import bpe, contamination, embed_dedup, infill, line_dedup, lm, mixing, ngram_join, phrases, quality, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.size("items").cast("long")
+    return out.select("doc_id", "n_words", "n_hit", items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.top(phrases.collocations(table(spark, sf_dir, "documents")))
+    return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infill.digests(infill.transform(infill.frames(docs)))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -144,5 +160,46 @@ least as (select a, min(b) as m from reach group by a)
 select w.doc_id, coalesce(n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) as component_id from w left join sizes using (doc_id) left join least on a = w.doc_id"""
 
 
+_PLAIN = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""
+with d as (select doc_id, regexp_extract_all({_PLAIN}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+b as (select item_id::varchar as item, regexp_extract_all({_PLAIN}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+wins as (select distinct item, array_to_string(ws[s : s + 9], ' ') as win, least(len(ws), 10) as k from (select item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) as s from b where len(ws) > 0)),
+sizes as (select distinct k from wins),
+places as (select doc_id, k, s, array_to_string(ws[s : s + k - 1], ' ') as win from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as s from d, sizes where len(ws) >= k)),
+found as (select doc_id, k, s, item from places join wins using (win, k)),
+hit as (select doc_id, count(distinct s + i) as n from (select distinct doc_id, k, s from found) f, range(10) t(i) where i < k group by doc_id),
+named as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from found where item is not null) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(m.n, 0)::bigint as n_items, sha256(coalesce(m.items, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join hit h using (doc_id) left join named m using (doc_id)"""
+
+
+OP12_SQL = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_PLAIN}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+totals as (select lang, sum(len(ws)) as n from w group by lang),
+places as (select lang, ws, unnest(range(1, len(ws) + 1)) as s from w),
+grams as (select lang, array_to_string(ws[s : s + k - 1], ' ') as phrase, k as m from places, range(1, 6) t(k) where s + k - 1 <= len(ws)),
+freq as (select lang, phrase, m, count(*) as f from grams group by all having count(*) >= 100),
+cuts as (select lang, phrase, m, f as a, unnest(range(1, m)) as k, string_split(phrase, ' ') as ws from freq where m > 1),
+scored as (select c.lang, c.phrase, c.m, c.a, c.k, x.f as l, y.f as r, n, (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score from cuts c join totals t on t.lang = c.lang
+  join freq x on x.lang = c.lang and x.phrase = array_to_string(ws[1 : k], ' ') join freq y on y.lang = c.lang and y.phrase = array_to_string(ws[k + 1 : c.m], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select distinct lang, array_to_string(ws[i : j], ' ') as phrase, f.f from (select lang, phrase, f, m, string_split(phrase, ' ') as ws from freq where m > 2) f, range(1, 6) x(i), range(1, 6) y(j) where j > i and j <= m and j - i + 1 < m),
+left_ as (select b.* from best b where not exists (select 1 from inside i where i.lang = b.lang and i.phrase = b.phrase and 100 * i.f >= 100 * b.a)),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from left_)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000"""
+
+_DIGIT = "instr('0123456789abcdef', substr(h, {} + i, 1)) - 1"
+OP13_SQL = f"""
+with t as (select doc_id, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as us, sha256('1:' || doc_id) as h from documents),
+d as (select doc_id, x, us, len(us) as n, {", ".join(f"list_sum(list_transform(range(8), lambda i: ({_DIGIT.format(1 + 8 * k)}) * (16 ** (7 - i))::bigint))::bigint as h{k + 1}" for k in range(4))} from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (select *, array_to_string(us[1 : a], '') as p, array_to_string(us[a + 1 : b], '') as m, array_to_string(us[b + 1 : n], '') as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(x) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_ngram_join": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op12_collocations": OP12_SQL, "op13_fill_in_middle": OP13_SQL, "op11_decontamination": OP11_SQL, "op2_substring_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_ngram_join": OP8_SQL, "op10_line_dedup": OP10_SQL}
