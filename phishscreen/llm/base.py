@@ -170,7 +170,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: Spans of more bytes are hashed one by one, shorter ones all at once.
 LONG_SPAN = 64
 _MULTIPLY, _LENGTH = np.uint64(0x9FB21C651E98DF27), np.uint64(0xD1342543DE82EF95)
-_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ class Hasher:
         loads, rest = eights(data), np.flatnonzero(sizes <= LONG_SPAN)
         at, left, state = starts[rest], sizes[rest], out[rest]
         while len(rest):
-            state = mixed(state ^ (loads[at] & _LOW_BYTES[np.minimum(left, 8)]))
+            state = mixed(state ^ (loads[at] & LOW_BYTES[np.minimum(left, 8)]))
             out[rest] = state
             more = left > 8
             rest, at, left, state = rest[more], at[more] + 8, left[more] - 8, state[more]
@@ -225,7 +225,7 @@ class Hasher:
         if n <= 0:
             return np.zeros(0, np.uint64)
         if width < 8:
-            return mixed((eights(data)[:n] & _LOW_BYTES[width]) ^ self.seed)
+            return mixed((eights(data)[:n] & LOW_BYTES[width]) ^ self.seed)
         level, size = mixed(eights(data)[: len(data) - 7] ^ self.seed), 8
         while 2 * size <= width:
             level, size = joined(level[:-size], level[size:]), 2 * size

@@ -1,6 +1,6 @@
 """Phrase collocation mining: multikey three-way quicksort of suffix pointers, routed globally by leading words.
 
-Every word of a piece of text begins a suffix of at most five words. Chunks of documents (about a megabyte) first send their
+Every word of a piece of text begins a suffix of at most five words. Chunks of documents (about four megabytes) first send their
 distinct words and pairs of neighbours with counts to buckets of a hash space, which add them up and answer which pairs are
 frequent. A suffix is cut at its first pair that is not, as no phrase over it can be frequent, and those of three words or more
 are routed to buckets by their leading three words; by four if more than ``HOT`` occurrences share their leading pair, so that no
@@ -10,7 +10,7 @@ with the next word, and parts below the least count are abandoned. Buckets compa
 words by their bytes; hashes route, and tell words apart inside a chunk, along with lengths and last bytes. What buckets find is joined once more to score each phrase by its cuts, all in exact integers.
 
 Null and empty texts hold no words; a null language is ``und``; repeated rows count each. An empty table gives an empty result, as
-does one without a frequent phrase. Extra columns are ignored. A document must fit in a task's memory about 60 times over.
+does one without a frequent phrase. Extra columns are ignored. A chunk and a document must fit in a task's memory about 60 times over.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import CHUNK_BYTES, Hasher, bounds, bucket_bits, cut, joined, lowered, pack, partitions, unpack
+from .base import LOW_BYTES, Hasher, bounds, cut, eights, joined, lowered, pack, partitions, unpack, utf8
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
+#: Bytes of text that a chunk holds on average: the larger, the more equal suffixes are sent as one.
+CHUNK_BYTES = 4 << 20
 #: Occurrences of a leading pair beyond which its suffixes are routed by four words.
 HOT = 1 << 20
 #: Languages whose totals are broadcast; more are joined by a shuffle.
@@ -56,9 +58,8 @@ class Text:
         known, first, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
         # words with one hash and other lengths or last bytes are told apart by all their bytes
         vocab = pa.array([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], pa.binary())
-        other = np.flatnonzero((ends - starts)[first][self.ids] != ends - starts)
-        other = np.union1d(other, np.flatnonzero(_tails(data, starts, ends)[first][self.ids] != _tails(data, starts, ends))) if len(starts) else other
-        if len(other):
+        sizes, tails = ends - starts, _tails(data, starts, ends)
+        if (sizes[first][self.ids] != sizes).any() or (tails[first][self.ids] != tails).any():
             said = pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()).dictionary_encode()
             vocab, self.ids = said.dictionary, said.indices.to_numpy()
             order = pc.sort_indices(vocab).to_numpy()
@@ -86,11 +87,8 @@ class Text:
 
 def _tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The last 8 bytes of each word, fewer of a shorter one."""
-    out = np.zeros(len(starts), np.uint64)
-    for i in range(8):
-        at = ends - 1 - i
-        out |= np.where(at >= starts, data[np.maximum(at, 0)].astype(np.uint64) << np.uint64(8 * i), np.uint64(0))
-    return out
+    size = np.minimum(ends - starts, 8)
+    return eights(data)[ends - size] & LOW_BYTES[size]
 
 
 def _texts(chunk: pa.Table, hasher: Hasher):
@@ -106,7 +104,8 @@ def _texts(chunk: pa.Table, hasher: Hasher):
 
 def _said(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and bytes of words, to be packed."""
-    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint32), np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    data, off = utf8(words)
+    return np.diff(off).astype(np.uint32), data
 
 
 def _heard(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -299,7 +298,8 @@ def frequent(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MAX_WORD
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, -(-int(total) // CHUNK_BYTES))
     chunks = rows.select(F.pmod("draw", F.lit(chunks)).alias("chunk"), "lang", "text").repartition(partitions(spark), "chunk")
-    by = Miner(least, most_words, hot, bucket_bits(spark))
+    # a bucket for each partition
+    by = Miner(least, most_words, hot, max(1, (partitions(spark) - 1).bit_length()))
     sent = chunks.groupBy("chunk").applyInArrow(lambda k, t: by.count(k, t), PACKET)
     tally = cut(sent.groupBy("bucket", "lang").applyInArrow(lambda k, t: by.tally(k, t), TALLY))
     answers = tally.where(F.col("kind") == PAIRS).select("bucket", "chunk", "lang", "blob")
