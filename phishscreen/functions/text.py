@@ -1,5 +1,5 @@
 """Scalar expressions over addresses, hosts, headers and HTML (F1-F18). Plain Column expressions; the two helpers that
-need Python (leftover encoded words, odd hosts) get null input on rows that don't need them."""
+need Python (leftover encoded words, odd hosts) get null input on rows that don't need them; HTML is in html.py."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dictionaries import SUFFIXES
+from .html import BLANKS, hidden_random_text, html_to_text  # noqa: F401  F6 and F8 belong here as well
 
 #: White space as browsers see it, wider than Java's.
 WS = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
@@ -28,7 +29,8 @@ def strings(values) -> Column:
 
 
 def trim(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    """Without white space at both ends, found from the ends: a pattern would scan every run of blanks inside."""
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def registrable_domain(host: Column, suffixes=SUFFIXES) -> Column:
@@ -75,27 +77,6 @@ def bodies_of(bodies: Column, kind: str) -> Column:
     return F.array_join(F.transform(own, lambda b: b["body"]), "\n")
 
 
-def _numeric_entities(col: Column) -> Column:
-    """&#n; as characters, through UTF-32, as chr() only knows 256 of them."""
-    parts = F.split(col, "&#")
-    number = lambda p: F.try_to_number(F.regexp_extract(p, "^([0-9]{1,7});", 1), F.lit("9999999")).cast("int")
-    good = lambda p: (number(p) <= 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF)
-    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(number(p).cast("long")), 8, "0")), "UTF-32")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.when(F.coalesce(good(p), F.lit(False)), F.concat(char(p), F.regexp_replace(p, "^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), p)))
-    return F.when(col.rlike("&#[0-9]+;"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(col)
-
-
-def html_to_text(html: Column) -> Column:
-    """text without tags; breaks and block ends become line breaks, entities characters, blanks are squeezed."""
-    out = text(html)
-    # an array of one value whose elements are transformed, so that the chain is computed once for all that follows
-    once = lambda col, f: F.transform(F.array(col), f)[0]
-    for pattern, by in (("(?is)<(script|style)\\b[^>]*>.*?</\\1>", " "), (f"(?i)<br{WS}*/?>", "\n"), ("(?i)</(p|div|tr|li|h[1-6])>", "\n"), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "'")):
-        out = F.regexp_replace(out, pattern, by)
-    out = F.regexp_replace(once(out, _numeric_entities), "(?i)&amp;", "&")
-    return trim(F.regexp_replace(F.regexp_replace(out, "[ \\t\\u00a0]+", " "), "\\n{3,}", "\n\n"))
-
-
 def links(html: Column, plain: Column) -> Column:
     """distinct http(s) urls, those of href attributes first."""
     hrefs = F.regexp_extract_all(text(html), F.lit(f"(?i)href{WS}*={WS}*[\"']([^\"']+)[\"']"), F.lit(1))
@@ -148,18 +129,6 @@ def link_hosts(urls: Column) -> Column:
     return F.array_distinct(F.filter(odd_hosts(F.transform(urls, url_host)), lambda h: h != ""))
 
 
-HIDING = "display{ws}*:{ws}*none|visibility{ws}*:{ws}*hidden|font-size{ws}*:{ws}*0|opacity{ws}*:{ws}*0|max-height{ws}*:{ws}*0".format(ws=WS)
-
-
-def hidden_random_text(html: Column) -> Column:
-    """F8: an element that a style hides holds a run of 16 letters and digits. Its text goes to the first closing tag of
-    its name, else 4000 characters; a lookahead lets hidden elements overlap."""
-    tag = f"(?is)<([a-z]+)\\b[^>]*(?:{HIDING})[^>]*>(?=(.*?)</\\1|(.{{0,4000}}))"
-    found = F.concat(*[F.regexp_extract_all(html, F.lit(tag), F.lit(k)) for k in (2, 3)])
-    plain = F.exists(found, lambda t: F.regexp_replace(html_to_text(t), f"{WS}+", "").rlike("[A-Za-z0-9]{16,}"))
-    return F.when(html.rlike(f"(?i)<[a-z]+\\b[^>]*(?:{HIDING})"), plain).otherwise(F.lit(False))
-
-
 def inner_labels(host: Column) -> Column:
     """All labels but the last."""
     labels = F.split(F.lower(text(host)), "[.]")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.dictionaries import Dictionaries
+from ..functions.html import html_parts
 
 
 def detect_brands(value: Column, dicts: Dictionaries) -> Column:
@@ -65,16 +66,17 @@ def extract_features(messages: DataFrame, dicts: Dictionaries | None = None, dec
     reg = lambda c: t.registrable_domain(c, d.suffixes)
     col, host = F.col, F.col("from.host")
     display = F.col("from.display")
-    atomic = headers_and_bodies(messages, decode_words)
+    atomic = headers_and_bodies(messages, decode_words).withColumn("html", html_parts(col("body_html")))
     atomic = atomic.select(
-        *[c for c in atomic.columns if c not in ("received", "body_plain")],
+        *[c for c in atomic.columns if c not in ("received", "body_plain", "html")],
         reg(host).alias("from_domain"),
         reg(col("message_id_host")).alias("message_id_domain"),
         F.array_distinct(F.transform("list_unsub_hosts", reg)).alias("list_unsub_domains"),
         F.size("received").alias("received_count"),
         t.received_hosts(col("received")).alias("hops"),
         t.received_rdns(col("received")).alias("rdns"),
-        F.when(t.trim(col("body_plain")) != "", col("body_plain")).otherwise(t.html_to_text(col("body_html"))).alias("body_text"),
+        F.when(t.trim(col("body_plain")) != "", col("body_plain")).otherwise(F.coalesce("html.text", F.lit(""))).alias("body_text"),
+        F.coalesce("html.hidden", F.lit(False)).alias("hidden_random_text"),
         t.links(col("body_html"), col("body_plain")).alias("links"),
         t.strip_invisible(col("subject")).alias("clean_subject"),
         t.strip_invisible(display).alias("clean_display"),
@@ -101,7 +103,6 @@ def extract_features(messages: DataFrame, dicts: Dictionaries | None = None, dec
         "consumer_isp_hops": F.concat(F.filter("hops", lambda x: under_any(x, t.strings(d.consumer_lines))), F.filter("rdns", lambda x: x.rlike("|".join(d.residential)) if d.residential else F.lit(False))),
         "urgency_hits": F.filter(t.strings(d.urgency), lambda p: F.contains(col("clean_subject"), p) | F.contains(col("clean_body"), p)),
         "has_html": t.trim(col("body_html")) != "",
-        "hidden_random_text": t.hidden_random_text(col("body_html")),
         "random_from_host": t.looks_random_host(host),
         "bidi_obfuscation": t.has_bidi(col("subject")) | t.has_bidi(display),
         "zero_width_obfuscation": t.has_zero_width(col("subject")),
