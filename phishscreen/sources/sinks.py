@@ -13,9 +13,25 @@ def logged(verdicts: DataFrame, source: str = "auto", at: Column | None = None)
     return out.withColumn("logged_at", at if at is not None else F.current_timestamp()).withColumn("logged_date", F.to_date("logged_at"))
 
 
-def append_log(verdicts: DataFrame, path: str) -> None:
-    """K1: appends to the log, one folder a day; rows of a day meet in few files."""
-    verdicts.repartition("logged_date", F.pmod(F.xxhash64("msg_key"), F.lit(8))).write.mode("append").partitionBy("logged_date").parquet(path)
+#: Folders of the log: the day, then who wrote it (the id of a stream, or a name), then the number of its batch.
+LOG_FOLDERS = ("logged_date", "stream", "batch")
+
+
+def _placed(verdicts: DataFrame, stream: str, batch: int) -> DataFrame:
+    rows = verdicts.drop("stream", "batch").withColumns({"stream": F.lit(stream), "batch": F.lit(batch)})
+    return rows.repartition("logged_date", F.pmod(F.xxhash64("msg_key"), F.lit(8)))
+
+
+def append_log(verdicts: DataFrame, path: str, stream: str = "by hand") -> None:
+    """K1: appends to the log, one folder a day; rows of a day meet in few files. A second call appends a second time."""
+    _placed(verdicts, stream, 0).write.mode("append").partitionBy(*LOG_FOLDERS).parquet(path)
+
+
+def write_batch(verdicts: DataFrame, path: str, stream: str, batch: int) -> None:
+    """K1 for streams: the same batch written again replaces what it wrote before and nothing else. All its rows have to have the
+    logged_date that they had then."""
+    writer = _placed(verdicts, stream, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*LOG_FOLDERS).parquet(path)
 
 
 def csv_rows(log: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.screen import screen
-from ..sources.sinks import append_log, logged
+from ..sources.sinks import logged, write_batch
 
 
 def once(messages: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -16,11 +18,24 @@ def once(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     return messages.withColumn("__id", key).withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["__id"]).drop("__id")
 
 
+def batch_record(spark: SparkSession, checkpoint: str, batch: int) -> tuple[str, int]:
+    """The id of a checkpoint's stream and the time of a batch in milliseconds. Both are on record before the batch runs, and
+    are the same when it runs again, on whatever day."""
+    found = {}
+    for row in spark.read.text([f"{checkpoint}/metadata", f"{checkpoint}/offsets/{batch}"]).collect():  # a few lines
+        if row.value.startswith("{"):
+            found = json.loads(row.value) | found
+    return found["id"], found["batchTimestampMs"]
+
+
 def screen_stream(messages: DataFrame, log_path: str, checkpoint: str, delay: str = "1 day", **options):
-    """A writer that screens each micro-batch and appends verdicts to the log; start it with its start()."""
+    """A writer that screens each micro-batch and puts its verdicts into the log; start it with its start(). A batch that
+    runs again after a failure replaces what it had written: its folder is named by stream and batch, and its rows bear the
+    time of the batch rather than that of the run, so each message is logged once."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        append_log(logged(screen(batch, **options)), log_path)
+    def each(batch: DataFrame, number: int) -> None:
+        stream, at = batch_record(batch.sparkSession, checkpoint, number)
+        write_batch(logged(screen(batch, **options), at=F.timestamp_millis(F.lit(at))), log_path, stream, number)
 
     return once(messages, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
