@@ -9,6 +9,7 @@ hashes once, answers are bits; no value, however frequent, comes more than once
 
 from __future__ import annotations
 
+import gc
 import struct
 import tempfile
 from hashlib import blake2b
@@ -44,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffles and checkpoints that nothing leads to any more. Spark deletes their files when the driver's JVM finds
+    them unreachable, which may otherwise be long after the next steps have written theirs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

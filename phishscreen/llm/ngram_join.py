@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Hasher, bounds, cut, groups, lowered, mixed, pack, partitions, steps, unpack, utf8, window_room, word_spans
+from .base import Hasher, bounds, cut, groups, lowered, mixed, pack, partitions, release, steps, unpack, utf8, window_room, word_spans
 from .components import components
 from .quality import slices
 
@@ -495,6 +495,8 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     ranked = members.join(weight, "rec")
     leads = ranked.groupBy("grp").agg(F.max(F.struct("weight", "rec")).alias("lead"))
     members = cut(ranked.join(leads, "grp").select("grp", F.col("lead.rec").alias("lead"), F.col("lead.weight").alias("weight"), "times", "rec", "probe"))
+    del found, ranked, weight, leads
+    release(docs.sparkSession)  # the groups' shuffles
     traits = owned.join(members.select("rec").distinct(), "rec", "left_semi").select("rec", F.col("n_shingles").alias("n"), "odd", *_SHORT)
     traits = cut(traits.dropDuplicates(["rec"]))
 
@@ -531,6 +533,8 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 
     content = cut(_content(docs, owned, left.select("rec").distinct(), id_col, text_col))
     sure = cut(_dealt(left, TILE).join(content, "rec").groupBy("place").applyInArrow(compare, "a bigint, b bigint"))
+    del content, left
+    release(docs.sparkSession)  # the texts that were compared
     near = components(sure)
     # what is left: pairs with a common signature in neither one cluster nor one component
     label = members.join(near.withColumnRenamed("node", "rec"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
@@ -541,6 +545,8 @@ def joined_records(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     dealt = _dealt(rest, WIDE_TILE).join(traits.select("rec", "n", *_SHORT), "rec")
     cross = dealt.groupBy("place").applyInArrow(lambda k, t: _open_pairs(k, t, percent), "a bigint, b bigint").distinct()
     cross = cut(cross)
+    del label, rest, dealt, members
+    release(docs.sparkSession)  # open groups
     sets = cut(traits.join(cross.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), "rec").select("rec", "n", "odd"))
     few = (sets.agg(F.sum(F.octet_length("odd") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     a, b = (sets.select(F.col("rec").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"p{x}")) for x in "ab")
