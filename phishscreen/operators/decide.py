@@ -24,11 +24,12 @@ def list_reason(kind: str, addresses, domains) -> Column:
     return F.when(by_address, F.concat(F.lit(f"{kind}Addresses: "), sender)).when(hit.isNotNull(), F.concat(F.lit(f"{kind}Domains: "), hit))
 
 
-def match_list(features: DataFrame, entries: DataFrame, kind: str, out: str) -> DataFrame:
+def match_list(features: DataFrame, entries: DataFrame, kind: str, out: str, asked: DataFrame | None = None) -> DataFrame:
     """D1, D2 with a table (kind: address|domain, value, position) of any size. Each different sender is looked up once, by equality
-    on address and on host suffixes; only senders that an entry fits are joined back, so messages without a key match too."""
+    on address and on host suffixes; only senders that an entry fits are joined back, so messages without a key match too. asked:
+    features.senders() of the same messages, which spares a second run of the features."""
     entries = entries.where(F.col("value").isNotNull()).select(F.col("kind").alias("entry_kind"), F.lower("value").alias("entry_key"), "value", "position")
-    senders = features.select(F.col("from.address").alias("sender"), F.col("from.host").alias("sender_host")).distinct()
+    senders = features.select(F.col("from.address").alias("sender"), F.col("from.host").alias("sender_host")).distinct() if asked is None else asked
     keys = F.array(F.struct(F.lit("address").alias("entry_kind"), F.col("sender").alias("entry_key")))
     both = F.concat(keys, F.transform(host_suffixes(F.col("sender_host")), lambda s: F.struct(F.lit("domain").alias("entry_kind"), s.alias("entry_key"))))
     asked = senders.select("sender", "sender_host", F.explode(both).alias("k")).select("sender", "sender_host", "k.*").where("entry_key <> ''")

@@ -8,18 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.dictionaries import Dictionaries
 from ..functions.html import html_parts
-
-
-def detect_brands(value: Column, dicts: Dictionaries) -> Column:
-    """names of the brands that the text names, in dictionary order."""
-    low = F.lower(value)
-    named = [F.when(low.rlike(t.keyword_pattern(b.keywords)), F.lit(b.name)) for b in dicts.brands]
-    return F.filter(F.array(*named), lambda x: x.isNotNull()) if named else t.strings(())
-
-
-def brand_domains(names: Column, dicts: Dictionaries) -> Column:
-    table = F.create_map(*[x for b in dicts.brands for x in (F.lit(b.name), t.strings(b.domains))]) if dicts.brands else None
-    return F.flatten(F.transform(names, lambda n: table[n])) if table is not None else t.strings(())
+from ..functions.words import word_hits
 
 
 def under_any(host: Column, domains: Column) -> Column:
@@ -33,17 +22,29 @@ def sender_label_echo(host: Column, domain: Column, return_path: Column, dicts:
     return (domain != "") & host.endswith(tail) & label.rlike("^[a-z]{4,12}$") & ~label.isin(*dicts.common_labels) & (F.substring_index(return_path, "@", 1) == label)
 
 
+def author_header() -> Column:
+    named = t.header(F.col("headers"), "from")
+    return F.when(named != "", named).otherwise(t.text(F.col("meta_author")))
+
+
+def senders(messages: DataFrame, decode_words: bool = True) -> DataFrame:
+    """The different (sender, sender_host) of messages, from headers alone, for look-ups in tables. Equal to from.address and
+    from.host of the features, without any other feature."""
+    author = t.decode_encoded_words(author_header()) if decode_words else author_header()
+    found = messages.select(author.alias("author")).select(t.parse_address(F.col("author")).alias("from"))
+    return found.select(F.col("from.address").alias("sender"), F.col("from.host").alias("sender_host")).distinct()
+
+
 def headers_and_bodies(messages: DataFrame, decode_words: bool = True) -> DataFrame:
     h = F.col("headers")
     word = t.decode_encoded_words if decode_words else (lambda c: c)
-    author = F.when(t.header(h, "from") != "", t.header(h, "from")).otherwise(t.text(F.col("meta_author")))
     subject = F.when(t.header(h, "subject") != "", t.header(h, "subject")).otherwise(t.text(F.col("meta_subject")))
     kept = [c for c in ("msg_key", "header_message_id", "source_path", "label", "received_at") if c in messages.columns]
     unsub = t.header(h, "list-unsubscribe")
     hosts = F.concat(F.regexp_extract_all(unsub, F.lit(f"(?i)https?://([^/>{t.WS[1:-1]}]+)"), F.lit(1)), F.regexp_extract_all(unsub, F.lit(f"(?i)mailto:[^@>{t.WS[1:-1]}]+@([^,>{t.WS[1:-1]}]+)"), F.lit(1)))
     first = messages.select(
         *kept,
-        word(author).alias("author"),
+        word(author_header()).alias("author"),
         word(subject).alias("subject"),
         t.parse_address(t.header(h, "reply-to")).alias("reply_to"),
         t.parse_address(t.header(h, "return-path")).alias("return_path"),
@@ -84,11 +85,9 @@ def extract_features(messages: DataFrame, dicts: Dictionaries | None = None, dec
     )
     atomic = atomic.withColumns({"link_hosts": t.link_hosts(col("links")), "clean_body": t.strip_invisible(col("body_text"))})
     named = atomic.withColumns({
-        "brands": detect_brands(F.concat_ws(" ", "clean_display", "clean_subject"), d),
-        "brands_in_display": detect_brands(col("clean_display"), d),
+        "words": word_hits(col("clean_display"), col("clean_subject"), col("clean_body"), d),
         "link_domains": F.array_distinct(F.transform("link_hosts", reg)),
-    })
-    named = named.withColumn("brand_domains", brand_domains(col("brands"), d))
+    }).select("*", "words.*").drop("words")
     some = F.size("brands") > 0
     foreign = lambda x: (x != "") & ~under_any(x, col("brand_domains"))
     mail = "(?i)^[^@{ws}]+@[^@{ws}]+[.][a-z]{{2,}}$".format(ws=t.WS[1:-1])
@@ -101,7 +100,6 @@ def extract_features(messages: DataFrame, dicts: Dictionaries | None = None, dec
         "foreign_link_domains": F.filter("link_domains", lambda x: foreign(x) & (x != col("from_domain"))),
         "brand_foreign_link_domains": F.when(some, F.filter("link_domains", foreign)).otherwise(t.strings(())),
         "consumer_isp_hops": F.concat(F.filter("hops", lambda x: under_any(x, t.strings(d.consumer_lines))), F.filter("rdns", lambda x: x.rlike("|".join(d.residential)) if d.residential else F.lit(False))),
-        "urgency_hits": F.filter(t.strings(d.urgency), lambda p: F.contains(col("clean_subject"), p) | F.contains(col("clean_body"), p)),
         "has_html": t.trim(col("body_html")) != "",
         "random_from_host": t.looks_random_host(host),
         "bidi_obfuscation": t.has_bidi(col("subject")) | t.has_bidi(display),
@@ -136,10 +134,11 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def mark_self_domains(features: DataFrame, domains: DataFrame) -> DataFrame:
+def mark_self_domains(features: DataFrame, domains: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """F35 with a table of domains of any size: the suffixes of each different host are joined by equality, and hosts that are own
-    ones back to the messages."""
-    keyed = features.select(F.col("from.host").alias("own_host")).distinct().select("own_host", F.explode(host_suffixes(F.col("own_host"))).alias("domain"))
+    ones back to the messages. asked: senders() of the same messages, which spares a second run of the features."""
+    hosts = features.select(F.col("from.host").alias("own_host")) if asked is None else asked.select(F.col("sender_host").alias("own_host"))
+    keyed = hosts.distinct().select("own_host", F.explode(host_suffixes(F.col("own_host"))).alias("domain"))
     own = keyed.join(domains.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi").select("own_host").distinct()
     spoof = F.col("own_host").isNotNull() & (F.col("auth.spf") != "pass") & (F.col("auth.dkim") != "pass")
     return features.join(own, F.col("from.host") == F.col("own_host"), "left").withColumn("self_domain_spoof", spoof).drop("own_host")

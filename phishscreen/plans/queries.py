@@ -46,6 +46,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.scored(messages(mail_view(spark, sf_dir)), SETTINGS)
 
 
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.featured(messages(mail_view(spark, sf_dir)), SETTINGS)
+
+
 def slim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("msg_key", "label", "score", "rule_hits", "from_domain", "subject", "source_path", "received_at")
 
@@ -71,37 +75,37 @@ def html_to_text(spark, sf_dir):
 
 @query(chain("select msg_key, display, address, host, from_domain, return_host, reply_host from scored"))
 def parse_address(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", F.col("from.display").alias("display"), F.col("from.address").alias("address"), F.col("from.host").alias("host"), "from_domain", F.col("return_path.host").alias("return_host"), F.col("reply_to.host").alias("reply_host"))
+    return featured(spark, sf_dir).select("msg_key", F.col("from.display").alias("display"), F.col("from.address").alias("address"), F.col("from.host").alias("host"), "from_domain", F.col("return_path.host").alias("return_host"), F.col("reply_to.host").alias("reply_host"))
 
 
 @query(chain("select msg_key, array_to_string(urls, ' ') as urls, array_to_string(link_domains, '/') as link_domains, array_to_string(foreign_domains, '/') as foreign_domains, array_to_string(brand_foreign, '/') as brand_foreign from scored"))
 def extract_links(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", joined("links", " ").alias("urls"), joined("link_domains").alias("link_domains"), joined("foreign_link_domains").alias("foreign_domains"), joined("brand_foreign_link_domains").alias("brand_foreign"))
+    return featured(spark, sf_dir).select("msg_key", joined("links", " ").alias("urls"), joined("link_domains").alias("link_domains"), joined("foreign_link_domains").alias("foreign_domains"), joined("brand_foreign_link_domains").alias("brand_foreign"))
 
 
 @query(chain("select msg_key, random_host, vowelless, unpronounceable, random_local, echo, tld from scored"))
 def host_shapes(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", F.col("random_from_host").alias("random_host"), F.col("vowelless_domain").alias("vowelless"), F.col("unpronounceable_domain").alias("unpronounceable"), F.col("random_local_part").alias("random_local"), F.col("sender_label_echo").alias("echo"), F.substring_index("from_domain", ".", -1).alias("tld"))
+    return featured(spark, sf_dir).select("msg_key", F.col("random_from_host").alias("random_host"), F.col("vowelless_domain").alias("vowelless"), F.col("unpronounceable_domain").alias("unpronounceable"), F.col("random_local_part").alias("random_local"), F.col("sender_label_echo").alias("echo"), F.substring_index("from_domain", ".", -1).alias("tld"))
 
 
 @query(chain("select msg_key, clean_subject, bidi, zero_width, hidden, md5(body_text) as body_md5 from scored"))
 def hidden_characters(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", t.strip_invisible(F.col("subject")).alias("clean_subject"), F.col("bidi_obfuscation").alias("bidi"), F.col("zero_width_obfuscation").alias("zero_width"), F.col("hidden_random_text").alias("hidden"), F.md5("body_text").alias("body_md5"))
+    return featured(spark, sf_dir).select("msg_key", t.strip_invisible(F.col("subject")).alias("clean_subject"), F.col("bidi_obfuscation").alias("bidi"), F.col("zero_width_obfuscation").alias("zero_width"), F.col("hidden_random_text").alias("hidden"), F.md5("body_text").alias("body_md5"))
 
 
 @query(chain("select msg_key, spf, dkim, dmarc, upstream, upstream_score, self_spoof from scored"))
 def auth_and_upstream(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", "auth.spf", "auth.dkim", "auth.dmarc", F.col("upstream_spam.flagged").alias("upstream"), F.col("upstream_spam.score").alias("upstream_score"), F.col("self_domain_spoof").alias("self_spoof"))
+    return featured(spark, sf_dir).select("msg_key", "auth.spf", "auth.dkim", "auth.dmarc", F.col("upstream_spam.flagged").alias("upstream"), F.col("upstream_spam.score").alias("upstream_score"), F.col("self_domain_spoof").alias("self_spoof"))
 
 
 @query(chain("select msg_key, array_to_string(hops, '/') as hops, array_to_string(consumer_hops, '/') as consumer_hops, message_id_host, message_id_domain, array_to_string(unsub_domains, '/') as unsub_domains from scored"))
 def delivery_path(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", joined("hops").alias("hops"), joined("consumer_isp_hops").alias("consumer_hops"), "message_id_host", "message_id_domain", joined("list_unsub_domains").alias("unsub_domains"))
+    return featured(spark, sf_dir).select("msg_key", joined("hops").alias("hops"), joined("consumer_isp_hops").alias("consumer_hops"), "message_id_host", "message_id_domain", joined("list_unsub_domains").alias("unsub_domains"))
 
 
 @query(chain("select msg_key, array_to_string(brands, '/') as brands, array_to_string(shown_brands, '/') as shown_brands, brand_matched, mismatch, third_party, array_to_string(urgency, '/') as urgency, freemail, japanese, shows_address from scored"))
 def brands_and_urgency(spark, sf_dir):
-    return scored(spark, sf_dir).select("msg_key", joined("brands").alias("brands"), joined("brands_in_display").alias("shown_brands"), "brand_matched", F.col("brand_mismatch").alias("mismatch"), F.col("mention_third_party_links").alias("third_party"), joined("urgency_hits").alias("urgency"), F.col("freemail_sender").alias("freemail"), F.col("has_japanese").alias("japanese"), F.col("display_name_is_address").alias("shows_address"))
+    return featured(spark, sf_dir).select("msg_key", joined("brands").alias("brands"), joined("brands_in_display").alias("shown_brands"), "brand_matched", F.col("brand_mismatch").alias("mismatch"), F.col("mention_third_party_links").alias("third_party"), joined("urgency_hits").alias("urgency"), F.col("freemail_sender").alias("freemail"), F.col("has_japanese").alias("japanese"), F.col("display_name_is_address").alias("shows_address"))
 
 
 # --- rules and decisions ----------------------------------------------------------------------------------------------
@@ -138,9 +142,9 @@ def list_table(spark: SparkSession, addresses, domains) -> DataFrame:
 
 @query(chain("select msg_key, allowed, blocked from lists", LISTS_SQL))
 def match_lists(spark, sf_dir):
-    out = scored(spark, sf_dir)
-    out = decide.match_list(out, list_table(spark, ALLOW_ADDRESSES, ALLOW_DOMAINS), "allow", "allowed")
-    return decide.match_list(out, list_table(spark, BLOCK_ADDRESSES, BLOCK_DOMAINS), "block", "blocked").select("msg_key", "allowed", "blocked")
+    asked = features.senders(messages(mail_view(spark, sf_dir)))
+    out = decide.match_list(featured(spark, sf_dir), list_table(spark, ALLOW_ADDRESSES, ALLOW_DOMAINS), "allow", "allowed", asked)
+    return decide.match_list(out, list_table(spark, BLOCK_ADDRESSES, BLOCK_DOMAINS), "block", "blocked", asked).select("msg_key", "allowed", "blocked")
 
 
 @query(chain("select msg_key, score from scored where score >= 35 and score < 70"))
@@ -451,7 +455,8 @@ def evidence(spark, sf_dir):
 @query(chain("select msg_key, self_spoof from scored"))
 def own_domain_table(spark, sf_dir):
     own = spark.createDataFrame([(d,) for d in SELF], "domain string")
-    return features.mark_self_domains(scored(spark, sf_dir), own).select("msg_key", F.col("self_domain_spoof").alias("self_spoof"))
+    asked = features.senders(messages(mail_view(spark, sf_dir)))
+    return features.mark_self_domains(featured(spark, sf_dir), own, asked).select("msg_key", F.col("self_domain_spoof").alias("self_spoof"))
 
 
 @query(chain("select msg_key, verdict, final_score as score, path, 'manual' as source from logged where msg_key in (select concat('m', doc_id) from labels where toxic = 1)", *SCREEN_SQL))
