@@ -47,6 +47,19 @@ def recent(verdicts: DataFrame, n: int = 20) -> DataFrame:
     return verdicts.orderBy(F.desc("logged_at"), "msg_key").limit(n)
 
 
+def repeat_alerts(verdicts: DataFrame, least: int = 2, hours: int = 168) -> DataFrame:
+    """T4 over a log: (from_domain, hour, n, subject), one row for each hour in which the spam of a domain in the hours that end
+    with it comes to least or more while those before it had less; n is their count, subject the newest of the hour. The log is
+    counted by hours first, so that a domain has one row an hour however much it sends. streaming.alerts has it live."""
+    spam = verdicts.where((F.col("verdict") == "spam") & (F.col("from_domain") != "") & F.col("logged_at").isNotNull())
+    hour = F.floor(F.unix_millis("logged_at") / 3_600_000).cast("bigint")
+    counted = spam.groupBy("from_domain", hour.alias("nth")).agg(F.count("*").alias("n"), F.max(F.struct("logged_at", t.text(F.col("subject")).alias("subject")))["subject"].alias("subject"))
+    earlier = Window.partitionBy("from_domain").orderBy("nth").rangeBetween(1 - hours, -1)
+    out = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    out = out.where((F.col("before") < least) & (F.col("before") + F.col("n") >= least))
+    return out.select("from_domain", F.timestamp_seconds(F.col("nth") * 3600).alias("hour"), (F.col("before") + F.col("n")).alias("n"), "subject")
+
+
 def retained(verdicts: DataFrame, n: int, mailbox: str = "source_path") -> DataFrame:
     """The newest n rows of each mailbox. The rank limit is pushed below the shuffle, so a large mailbox sends n rows a task."""
     newest = Window.partitionBy(mailbox).orderBy(F.desc("logged_at"), "msg_key")

@@ -303,6 +303,16 @@ def log_recent(spark, sf_dir):
     return loganalytics.recent(log(spark, sf_dir)).select("msg_key", "verdict")
 
 
+ALERT_SQL = """hourly as (select from_domain, floor(epoch_ms(received_at) / 3600000)::bigint as nth, count(*) as n, arg_max(coalesce(subject, ''), (received_at, coalesce(subject, ''))) as subject
+  from logged where verdict = 'spam' and from_domain <> '' and received_at is not null group by 1, 2),
+weekly as (select *, coalesce(sum(n) over (partition by from_domain order by nth range between 167 preceding and 1 preceding), 0)::bigint as before from hourly)"""
+
+
+@query(chain("select from_domain, nth * 3600 as hour, before + n as n, subject from weekly where before < 2 and before + n >= 2", *SCREEN_SQL, ALERT_SQL))
+def repeat_alerts(spark, sf_dir):
+    return loganalytics.repeat_alerts(log(spark, sf_dir)).withColumn("hour", F.unix_seconds("hour"))
+
+
 @query(chain("select msg_key, source_path from logged qualify row_number() over (partition by source_path order by received_at desc nulls last, msg_key) <= 50", *SCREEN_SQL))
 def log_retained(spark, sf_dir):
     return loganalytics.retained(log(spark, sf_dir), 50).select("msg_key", "source_path")
