@@ -51,7 +51,7 @@ def repeat_alerts(verdicts: DataFrame, least: int = 2, hours: int = 168) -> Data
     """T4 over a log: (from_domain, hour, n, subject), one row for each hour in which the spam of a domain in the hours that end
     with it comes to least or more while those before it had less; n is their count, subject the newest of the hour. The log is
     counted by hours first, so that a domain has one row an hour however much it sends. streaming.alerts has it live."""
-    spam = verdicts.where((F.col("verdict") == "spam") & (F.col("from_domain") != "") & F.col("logged_at").isNotNull())
+    spam = verdicts.where((F.col("verdict") == "spam") & (F.col("from_domain") != "") & F.col("logged_at").isNotNull()).withColumn("logged_at", F.col("logged_at").cast("timestamp"))
     hour = F.floor(F.unix_millis("logged_at") / 3_600_000).cast("bigint")
     counted = spam.groupBy("from_domain", hour.alias("nth")).agg(F.count("*").alias("n"), F.max(F.struct("logged_at", t.text(F.col("subject")).alias("subject")))["subject"].alias("subject"))
     earlier = Window.partitionBy("from_domain").orderBy("nth").rangeBetween(1 - hours, -1)

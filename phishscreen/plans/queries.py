@@ -308,9 +308,9 @@ ALERT_SQL = """hourly as (select from_domain, floor(epoch_ms(received_at) / 3600
 weekly as (select *, coalesce(sum(n) over (partition by from_domain order by nth range between 167 preceding and 1 preceding), 0)::bigint as before from hourly)"""
 
 
-@query(chain("select from_domain, nth * 3600 as hour, before + n as n, subject from weekly where before < 2 and before + n >= 2", *SCREEN_SQL, ALERT_SQL))
+@query(chain("select from_domain, strftime(make_timestamp(nth * 3600000000), '%Y-%m-%d %H') as hour, before + n as n, subject from weekly where before < 2 and before + n >= 2", *SCREEN_SQL, ALERT_SQL))
 def repeat_alerts(spark, sf_dir):
-    return loganalytics.repeat_alerts(log(spark, sf_dir)).withColumn("hour", F.unix_seconds("hour"))
+    return loganalytics.repeat_alerts(log(spark, sf_dir)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
 @query(chain("select msg_key, source_path from logged qualify row_number() over (partition by source_path order by received_at desc nulls last, msg_key) <= 50", *SCREEN_SQL))

@@ -71,7 +71,6 @@ def repeat_alerts(verdicts: DataFrame, least: int = 2, hours: int = 168, delay:
     """T4: (from_domain, hour, n, subject), one row for each hour in which the spam of a domain in the hours that end with it comes
     to least or more while the hour before it had less; n is the count of these hours, subject the newest of the hour. A row
     comes out once the watermark has passed its hour. Needs the RocksDB state store."""
-    spam = verdicts.where((F.col("verdict") == "spam") & (F.col("from_domain") != "") & F.col("logged_at").isNotNull()).withWatermark("logged_at", delay)
+    spam = verdicts.withColumn("logged_at", F.col("logged_at").cast("timestamp")).where((F.col("verdict") == "spam") & (F.col("from_domain") != "") & F.col("logged_at").isNotNull()).withWatermark("logged_at", delay)
     rows = spam.select("from_domain", "logged_at", F.floor(F.unix_millis("logged_at") / HOUR_MS).cast("bigint").alias("hour"), F.unix_micros("logged_at").alias("at"), F.coalesce("subject", F.lit("")).alias("subject"), F.lit(1).cast("bigint").alias("n"))
-    found = rows.groupBy("from_domain").transformWithStateInPandas(RepeatSender(least, hours), "from_domain string, hour timestamp, n bigint, subject string", "Append", "EventTime")
-    return found
+    return rows.groupBy("from_domain").transformWithStateInPandas(RepeatSender(least, hours), "from_domain string, hour timestamp, n bigint, subject string", "Append", "EventTime")
