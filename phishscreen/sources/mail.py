@@ -102,28 +102,33 @@ def _date(value: str):
 
     try:
         when = parsedate_to_datetime(value)
-        return when.astimezone(UTC).replace(tzinfo=None) if when.tzinfo else when
+        return when.astimezone(UTC) if when.tzinfo else when.replace(tzinfo=UTC)
     except (TypeError, ValueError, IndexError, OverflowError):
         return None
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def message_row(path: str, raw: bytes, label: str | None = None) -> tuple:
+    """One raw message as a row of MESSAGES. A message that can't be parsed is a row that tells why, not a failed task."""
     from hashlib import sha256
 
+    headers, bodies, error = {}, [], None
+    try:
+        headers, bodies = parse_message(raw)
+    except Exception as e:  # noqa: BLE001
+        error = f"{type(e).__name__}: {e}"
+    first = lambda k: headers.get(k, [""])[0]
+    return (f"{path}#{sha256(raw).hexdigest()[:16]}", first("message-id"), path, label, _date(first("date")), None, None, dict(headers), [{"content_type": k, "body": b} for k, b in bodies], error)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in re.split(r", (?=\w+ )", MESSAGES)])
+    out["received_at"] = pd.to_datetime(out["received_at"], utc=True, errors="coerce")
+    return out
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for path, raw in zip(batch["source_path"], batch["raw"], strict=True):
-            key, headers, bodies, error = f"{path}#{sha256(raw or b'').hexdigest()[:16]}", {}, [], None
-            try:
-                headers, bodies = parse_message(raw or b"")
-            except Exception as e:  # noqa: BLE001  a broken message is a row, not a failed task
-                error = f"{type(e).__name__}: {e}"
-            first = lambda k, h=headers: h.get(k, [""])[0]
-            rows.append((key, first("message-id"), path, None, _date(first("date")), None, None, list(headers.items()), [{"content_type": k, "body": b} for k, b in bodies], error))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in re.split(r", (?=\w+ )", MESSAGES)])
-        out["received_at"] = pd.to_datetime(out["received_at"])
-        out["headers"] = [dict(h) for h in out["headers"]]
-        yield out
+        yield _frame([message_row(path, raw or b"") for path, raw in zip(batch["source_path"], batch["raw"], strict=True)])
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -131,19 +136,26 @@ def parse(raw: DataFrame) -> DataFrame:
     return raw.select("source_path", "raw").mapInPandas(_parse, MESSAGES)
 
 
+def unquoted(raw: bytes) -> bytes:
+    """A message without its separator line and the quoting of such lines in its body. Line breaks at its end are one, as the
+    empty lines before the next separator are not the message's."""
+    body = re.sub(rb"(?m)^>(>*From )", rb"\1", raw.partition(b"\n")[2]).rstrip(b"\r\n")
+    return body + b"\n" if body else b""
+
+
 def read_mbox(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """All messages of mailbox archives. A message begins at a line that begins with From and a space."""
+    """All messages of mailbox archives, on any file system that Spark reads. A message begins at a line that begins with
+    From and a space. mailbox.read_mbox gives the same rows by ranges of bytes, and a stream."""
     lines = spark.read.option("lineSep", "\nFrom ").text(path)
     raw = lines.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").cast("binary").alias("raw"))
 
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # every record begins inside its From line: drop that line, then the quoting of such lines in bodies
-            batch["raw"] = [re.sub(rb"(?m)^>(>*From )", rb"\1", (x or b"").partition(b"\n")[2]) for x in batch["raw"]]
-            yield batch[[bool(x.strip()) for x in batch["raw"]]]
+            # every record begins inside its separator line
+            mails = ((path, unquoted(raw or b"")) for path, raw in zip(batch["source_path"], batch["raw"], strict=True))
+            yield _frame([message_row(path, mail, label) for path, mail in mails if mail.strip()])
 
-    out = parse(raw.mapInPandas(strip, "source_path string, raw binary"))
-    return out.withColumn("label", F.lit(label).cast("string"))
+    return raw.mapInPandas(parsed, MESSAGES)
 
 
 def newest(messages: DataFrame, n: int) -> DataFrame:
