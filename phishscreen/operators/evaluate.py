@@ -134,10 +134,13 @@ def last_by_message(run: DataFrame) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(latest)).where("__nth = 1").drop("__nth")
 
 
+#: What a comparison reads of each run.
+PAIR_FIELDS = ("label", "model_score", "final_score", "detail", "from_domain", "subject")
+
+
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row for each message of both runs. Both sides are ranked by message, so the join needs no more shuffle."""
-    fields = ["label", "model_score", "final_score", "detail", "from_domain", "subject"]
-    side = lambda df, p: last_by_message(df).select("message", *[F.col(c).alias(f"{p}_{c}") for c in fields])
+    side = lambda df, p: last_by_message(df).select("message", *[F.col(c).alias(f"{p}_{c}") for c in PAIR_FIELDS])
     return side(new, "new").join(side(old, "old"), "message")
 
 

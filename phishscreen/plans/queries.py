@@ -13,8 +13,9 @@ from ..functions.dictionaries import FREEMAIL
 from ..operators import calibrate, decide, evaluate, features, loganalytics, rules
 from ..oracles import chain, html_text, reg
 from ..sources import mail as sources
-from ..sources import sinks
+from ..sources import mailbox, runs, sinks
 from ..testmail import MAIL_SQL, mail_view, messages
+from . import kept
 from . import screen as plan
 from .settings import Settings
 
@@ -483,3 +484,44 @@ def gray_sweep(spark, sf_dir):
 @query(chain("select coalesce(sum(n), 0)::bigint as messages, count(*) as senders, count(*) filter (n = 1) as once, coalesce(sum(n - 1), 0)::bigint as stopped from (select address, count(*) as n from logged where verdict = 'spam' and address <> '' group by 1)", *SCREEN_SQL))
 def sender_repetition_by_address(spark, sf_dir):
     return calibrate.sender_repetition(log(spark, sf_dir).withColumn("address", t.parse_address(F.col("author"))["address"]), "address")
+
+
+# --- written and read back --------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, 'Weekly ' || (doc_id % 7) as subject, md5(rtrim(coalesce(text, ''), chr(13) || chr(10))) as body_md5, 'text/plain' as content_type from documents")
+def mailbox_archive(spark, sf_dir):
+    """The documents as messages of archives, written and read by ranges of bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "(?md)^(>*From )", ">$1")
+    head = F.format_string("From x@example.com Mon Jan  1 00:00:00 2024\nMessage-ID: <%d@example.com>\nSubject: =?utf-8?Q?Weekly_%d?=\nContent-Transfer-Encoding: 8bit\n\n", "doc_id", F.col("doc_id") % 7)
+    folder = runs.scratch(spark)
+    docs.select(F.concat(head, body, F.lit("\n"))).write.text(folder)
+    read = mailbox.read_mbox(spark, folder, rangeBytes=16 << 20)
+    text = F.coalesce(F.get("bodies", F.lit(0))["body"], F.lit(""))
+    doc_id = F.regexp_extract("header_message_id", "<([0-9]+)@", 1).cast("bigint")
+    return read.select(doc_id.alias("doc_id"), F.get(F.col("headers")["subject"], F.lit(0)).alias("subject"), F.md5(F.rtrim(text, F.lit("\r\n"))).alias("body_md5"), F.lit("text/plain").alias("content_type"))
+
+
+@query(chain("select new_label as label, count(*) as n, count(*) filter (old_f >= 55) as old_over, count(*) filter (new_f >= 55) as new_over, count(*) filter (new_label = 'phish' and old_f < 55 and new_f >= 55) as gained, count(*) filter (new_label = 'phish' and old_f >= 55 and new_f < 55) as lost from pairs group by 1", *PAIRS_SQL))
+def stored_runs(spark, sf_dir):
+    """Two runs stored in buckets, then compared without a shuffle of either."""
+    tables = []
+    for step in (7, 37):
+        folder = runs.scratch(spark)
+        tables.append(f"run_{folder[-32:]}")
+        runs.store_run(_run(spark, sf_dir, step), tables[-1], buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), path=folder)
+    pairs = evaluate.transitions(runs.compare_stored(spark, *tables))
+    over = lambda c: F.count(F.when(F.col(c) >= SETTINGS.spam_threshold, 1))
+    moved = lambda k: F.count(F.when(F.col("transition") == k, 1))
+    return pairs.groupBy(F.col("new_label").alias("label")).agg(F.count("*").alias("n"), over("old_final_score").alias("old_over"), over("new_final_score").alias("new_over"), moved("gained").alias("gained"), moved("lost").alias("lost"))
+
+
+@query(chain("select msg_key, score, greatest(0, least(100, coalesce(list_sum(list_transform(hits, lambda h: case h.id when 'upstreamSpamFlag' then 26 when 'brandMatched' then 0 else h.weight end)), 0)))::int as other_score, ids from scored"))
+def kept_scores(spark, sf_dir):
+    """R33, R34 from stored hits: half of the mail is stored first, then all of it, of which only the rest is read for features."""
+    mail, folder = messages(mail_view(spark, sf_dir)), runs.scratch(spark)
+    kept.update(mail.where("source_path in ('box0', 'box1')"), folder, SETTINGS)
+    kept.update(mail, folder, SETTINGS)
+    out = kept.scores(mail, folder, SETTINGS)
+    return out.select("msg_key", "score", rules.rescored(F.col("rule_hits"), {"upstreamSpamFlag": 26, "brandMatched": 0}).alias("other_score"), rules.hit_ids(F.col("rule_hits")).alias("ids"))
