@@ -13,7 +13,8 @@ A link is counted in one of the shards that both nodes are in, the first by name
 that span the links leave a shard; links of nodes without a common shard leave it one by one. A brute-force audit measures
 recall, by link and by query, on some queries drawn from all nodes and some from those that have a link; below the target
 the overlap doubles and the work is done again, and after the last overlap all pairs of each label are compared exactly, in
-tiles. Where neither draw has a link, nothing was found and nothing is there to be measured.
+tiles. Where neither draw has a link, recall can't be measured, so all pairs are compared at once; that work grows with the
+square of a label's vectors, and is met only where no shard holds a link.
 
 Shards beyond a size are split into tiles, and each pair of tiles is a shard of its own, so that memory stays bounded and
 no pair is lost.
@@ -360,9 +361,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     while True:
         found, asked = graph_links(nodes, threshold, overlap)
         recall = audit(nodes, found, asked, threshold)
-        if recall is None or recall >= TARGET_RECALL:
+        if recall is not None and recall >= TARGET_RECALL:
             break
-        if overlap >= LAST_OVERLAP:
+        if recall is None or overlap >= LAST_OVERLAP:
             found = exact_links(nodes, threshold)
             break
         overlap *= 2

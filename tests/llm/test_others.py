@@ -250,6 +250,24 @@ def test_embedding_links_lead_over_shards(spark, monkeypatch):
     assert embed_dedup.audit(nodes, found, asked.limit(0), 0.93) is None
 
 
+def test_embedding_links_that_no_draw_has_are_still_found(spark, monkeypatch):
+    """Recall that can't be measured is not taken for good: all pairs are compared."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, (base[i // 2] + rng.normal(size=16) * 0.02 * (i % 2)).tolist(), i % 4 // 2) for i in range(120)]
+    expected = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(vectors(spark, rows)).collect())
+    assert sum(n for _, n, _ in expected) == 120
+    real = embed_dedup.graph_links
+
+    def blind(*args):
+        found, asked = real(*args)
+        return found.limit(0), asked.limit(0)
+
+    monkeypatch.setattr(embed_dedup, "graph_links", blind)
+    got = embed_dedup.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == expected
+
+
 @pytest.mark.parametrize("largest", [4096, 40])
 def test_embedding_falls_back_to_all_pairs(spark, monkeypatch, largest):
     monkeypatch.setattr(embed_dedup, "MAX_SHARD", largest)
