@@ -5,14 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dictionaries import Brand, Dictionaries
+from .rows import by_row
 
 #: Bytes of all words of a list, which go to each task; Spark broadcasts them.
 MOST_BYTES = 64 << 20
+HITS = pa.struct([(c, pa.list_(pa.string())) for c in ("brands", "brands_in_display", "brand_domains", "urgency_hits")])
 _LETTERS_AND_DIGITS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -61,11 +63,11 @@ def find_brands(value: Column, dicts: Dictionaries) -> Column:
     names, words = [b.name for b in dicts.brands], brand_words(dicts.brands)
     check_size(w for own in words for w in own)
 
-    @F.pandas_udf("array<string>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = Finder(words, edges=True)
         for texts in batches:
-            yield texts.map(lambda x: [names[i] for i in finder(x)])
+            yield by_row(lambda x: [names[i] for i in finder(x)], [texts], pa.list_(pa.string()))
 
     return find(F.lower(value))
 
@@ -76,15 +78,16 @@ def word_hits(display: Column, subject: Column, body: Column, dicts: Dictionarie
     phrases = list(dicts.urgency)
     check_size([*(w for own in words for w in own), *(d for own in domains for d in own), *phrases])
 
-    @F.pandas_udf("brands array<string>, brands_in_display array<string>, brand_domains array<string>, urgency_hits array<string>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("brands array<string>, brands_in_display array<string>, brand_domains array<string>, urgency_hits array<string>")
+    def find(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         brand, haste = Finder(words, edges=True), Finder([[p] for p in phrases], edges=False)
+
+        def hits(both, shown, title, text):
+            named = brand(both)
+            urgent = sorted({*haste(title), *haste(text)})
+            return {"brands": [names[i] for i in named], "brands_in_display": [names[i] for i in brand(shown)], "brand_domains": [d for i in named for d in domains[i]], "urgency_hits": [phrases[i] for i in urgent]}
+
         for batch in batches:
-            rows = []
-            for both, shown, title, text in zip(*batch, strict=True):
-                named = brand(both)
-                hits = sorted({*haste(title), *haste(text)})
-                rows.append(([names[i] for i in named], [names[i] for i in brand(shown)], [d for i in named for d in domains[i]], [phrases[i] for i in hits]))
-            yield pd.DataFrame(rows, columns=["brands", "brands_in_display", "brand_domains", "urgency_hits"])
+            yield by_row(hits, batch, HITS)
 
     return find(F.lower(F.concat_ws(" ", display, subject)), F.lower(display), subject, body)
