@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +46,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.scored(messages(mail_view(spark, sf_dir)), SETTINGS)
 
 
+def scored_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of labelled messages alone: no filter on labels gets behind the scores, so it has to stand before them."""
+    return plan.scored(messages(mail_view(spark, sf_dir).where("label is not null")), SETTINGS)
+
+
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.featured(messages(mail_view(spark, sf_dir)), SETTINGS)
 
 
 def slim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("msg_key", "label", "score", "rule_hits", "from_domain", "subject", "source_path", "received_at")
+    return scored_labelled(spark, sf_dir).select("msg_key", "label", "score", "rule_hits", "from_domain", "subject", "source_path", "received_at")
 
 
 # --- sources and scalar functions -------------------------------------------------------------------------------------
@@ -229,7 +233,7 @@ LABELLED = "scored where label is not null"
 
 
 def cube(spark, sf_dir):
-    return calibrate.cube(scored(spark, sf_dir))
+    return calibrate.cube(scored_labelled(spark, sf_dir))
 
 
 @query(chain(f"select l.label, b.bucket::int as bucket, coalesce(n, 0) as n from (select unnest(['ham', 'spam']) as label) l cross join range(11) b(bucket) left join (select label, least(10, score // 10) as bucket, count(*) as n from {LABELLED} group by all) c on c.label = l.label and c.bucket = b.bucket"))
@@ -249,7 +253,7 @@ def rule_rates(spark, sf_dir):
 
 @query(chain("select msg_key, score, from_domain, subject from scored where label = 'spam' and score < 35 order by msg_key limit 30"))
 def missed_sample(spark, sf_dir):
-    return calibrate.missed_sample(scored(spark, sf_dir))
+    return calibrate.missed_sample(scored_labelled(spark, sf_dir))
 
 
 @query(chain("select from_domain, count(*) as n from scored where label = 'spam' and score < 35 group by 1 order by n desc, from_domain limit 30"))
@@ -340,8 +344,11 @@ cases as (select 'phish' as case_label, * from phish union all select 'ham', * f
 
 
 def _pools(spark, sf_dir):
-    # several passes follow: the scores are kept, without bodies
-    rows = scored(spark, sf_dir).select("msg_key", "label", "score", "from", "from_domain", "auth", "brand_matched", "message_id", "subject").where("label is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    # several passes follow: the scores are written once, without bodies. Cached ones would be made anew by each executor that
+    # is asked for them before it knows where they are
+    folder = runs.scratch(spark)
+    scored_labelled(spark, sf_dir).select("msg_key", "label", "score", "from", "from_domain", "auth", "brand_matched", "message_id", "subject").write.parquet(folder)
+    rows = spark.read.parquet(folder)
     inbox, junk = rows.where("label = 'ham'"), rows.where("label = 'spam'")
     addresses, domains = evaluate.known_good(inbox)
     return evaluate.looks_phishing(junk, addresses, domains), inbox.where(evaluate.authenticated())
@@ -371,8 +378,9 @@ RUN_SQL = """{name} as (select concat_ws(':', case_label, message_id, score) as
 EVAL_SQL = (CASES_SQL, answers_sql(), RUN_SQL.format(name="run", said="said"))
 
 
-def _run(spark, sf_dir, step=7):
-    return evaluate.evaluation_run(_cases(spark, sf_dir), answers(spark, sf_dir, step), f"r{step}", SETTINGS)
+def _run(spark, sf_dir, step=7, cases=None):
+    cases = _cases(spark, sf_dir) if cases is None else cases
+    return evaluate.evaluation_run(cases, answers(spark, sf_dir, step), f"r{step}", SETTINGS)
 
 
 @query(chain("select key, label, local_score, coalesce(model_score, -1) as model_score, coalesce(final_score, -1) as final_score, error from run", *EVAL_SQL))
@@ -414,7 +422,8 @@ def rescued_cases(spark, sf_dir):
 
 @query(chain("select c.msg_key from cases c where not exists (select 1 from run r where r.key = concat_ws(':', c.case_label, c.message_id, c.score) and r.error is null)", *EVAL_SQL))
 def unanswered_cases(spark, sf_dir):
-    return evaluate.unanswered(_cases(spark, sf_dir), _run(spark, sf_dir)).select("msg_key")
+    cases = _cases(spark, sf_dir)
+    return evaluate.unanswered(cases, _run(spark, sf_dir, cases=cases)).select("msg_key")
 
 
 LAST = "select *, row_number() over (partition by message_id order by key desc, model_score desc, final_score desc) as nth from {run} where model_score is not null"
@@ -422,7 +431,8 @@ PAIRS_SQL = (*EVAL_SQL, answers_sql(37, "said2"), RUN_SQL.format(name="run2", sa
 
 
 def _pairs(spark, sf_dir):
-    return evaluate.compare_runs(_run(spark, sf_dir), _run(spark, sf_dir, 37))
+    cases = _cases(spark, sf_dir)
+    return evaluate.compare_runs(_run(spark, sf_dir, 7, cases), _run(spark, sf_dir, 37, cases))
 
 
 @query(chain("select message, new_label, old_m, new_m, case when new_label = 'phish' and old_f < 55 and new_f >= 55 then 'gained' when new_label = 'phish' and old_f >= 55 and new_f < 55 then 'lost' when new_label <> 'phish' and old_f < 55 and new_f >= 55 then 'worse' when new_label <> 'phish' and old_f >= 55 and new_f < 55 then 'fixed' end as transition from pairs", *PAIRS_SQL))
@@ -506,11 +516,11 @@ def mailbox_archive(spark, sf_dir):
 @query(chain("select new_label as label, count(*) as n, count(*) filter (old_f >= 55) as old_over, count(*) filter (new_f >= 55) as new_over, count(*) filter (new_label = 'phish' and old_f < 55 and new_f >= 55) as gained, count(*) filter (new_label = 'phish' and old_f >= 55 and new_f < 55) as lost from pairs group by 1", *PAIRS_SQL))
 def stored_runs(spark, sf_dir):
     """Two runs stored in buckets, then compared without a shuffle of either."""
-    tables = []
+    tables, cases = [], _cases(spark, sf_dir)
     for step in (7, 37):
         folder = runs.scratch(spark)
         tables.append(f"run_{folder[-32:]}")
-        runs.store_run(_run(spark, sf_dir, step), tables[-1], buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), path=folder)
+        runs.store_run(_run(spark, sf_dir, step, cases), tables[-1], buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), path=folder)
     pairs = evaluate.transitions(runs.compare_stored(spark, *tables))
     over = lambda c: F.count(F.when(F.col(c) >= SETTINGS.spam_threshold, 1))
     moved = lambda k: F.count(F.when(F.col("transition") == k, 1))

@@ -44,9 +44,10 @@ LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Scoring is a costly map: a table of fewer files than there are cores is dealt out to all of them first."""
+    """Scoring is a costly map: a table that is read in fewer tasks than there are cores is dealt out to all of them first. A large
+    one is not, however few its files: it has enough tasks, and would be sorted and shuffled whole into a few parts."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
