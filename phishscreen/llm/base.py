@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
+#: Rows of a few numbers that a partition may hold.
+PARTITION_ROWS = 100_000
 
 
 def session() -> SparkSession:
@@ -45,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fitted(df: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
+    """A checkpoint of few narrow rows in as few partitions as they need. A shuffle leaves files for each partition it reads."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of shuffles and checkpoints that nothing leads to any more. Spark deletes their files when the driver's JVM finds
     them unreachable, which may otherwise be long after the next steps have written theirs."""
