@@ -68,6 +68,16 @@ def _narrow(x: np.ndarray, n: int) -> np.ndarray:
     return x.astype(np.uint16) if n <= 1 << 16 else x
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What np.unique gives with the inverse. Words repeat a lot, so they are hashed, and only the different ones sorted."""
+    coded = pa.array(hashes).dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(words)
+    rank = np.empty(len(order), np.intp)
+    rank[order] = np.arange(len(order))
+    return words[order], rank.take(coded.indices.to_numpy(zero_copy_only=False))
+
+
 def class_edges(counts: np.ndarray) -> list[int]:
     """Where the classes of the words begin, and the end. Word 0 is a class of its own; the others, the most frequent first,
     form some sqrt(n) classes of equal sums of square roots of counts, which keeps the classes of frequent words small."""
@@ -265,8 +275,9 @@ class Vocabulary:
     def ids(self, words: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
             return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == words, self.by_hash[at] + 1, 0)
+        known, back = distinct(words)
+        at = np.minimum(np.searchsorted(self.sorted, known), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == known, self.by_hash[at] + 1, 0).take(back)
 
     @property
     def all_counts(self) -> np.ndarray:
@@ -305,7 +316,7 @@ class Counter:
         _, self.ids, data, off = sorted_chunk(chunk)
         self.held = held_out(self.ids)
         self.tokens, self.first = _tokens(data, off, self.hasher)
-        self.known, self.back = np.unique(self.tokens, return_inverse=True)
+        self.known, self.back = distinct(self.tokens)
         self.edges = bounds(self.known, self.bits)
 
     def send(self, key: tuple, chunk: pa.Table) -> pa.Table:
