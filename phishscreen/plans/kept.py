@@ -20,6 +20,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.dictionaries import Dictionaries
 from ..operators.rules import RULES, raw_ip_rule, rescored, score_by_rules
+from ..sources.runs import written
 from .screen import featured, settled
 from .settings import Settings
 
@@ -60,14 +61,16 @@ def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def update(messages: DataFrame, path: str, settings: Settings | None = None, dicts: Dictionaries | None = None, decode_words: bool = True, rules=None) -> int:
     """Adds the hits of content that the table has not yet under this version; gives their number. New content is found by
-    fingerprints alone; if there is none, no feature is computed. Mail is then narrowed by a join that sends the new fingerprints
-    to it where they are few, which is the usual case; into a table without this version no mail is joined at all."""
+    fingerprints alone, which are written once; if there is none, no feature is computed. Mail is then narrowed by a join that
+    sends the new fingerprints to it where they are few, which is the usual case; into a table without this version no mail is
+    joined at all. The messages are made twice, so costly ones should be written first (runs.written)."""
     spark, s = messages.sparkSession, settings or Settings()
     name = version(s, dicts, decode_words, rules)
-    # features keep msg_key, so the fingerprint takes its place
-    keyed = messages.withColumn("msg_key", F.hex(content()))
+    # features keep msg_key, so the fingerprint takes its place; it is never null, and a join that knows that makes it only once
+    keyed = messages.withColumn("msg_key", F.coalesce(F.hex(content()), F.lit("")))
     known = _stored(spark, path, name).select(F.hex("content").alias("msg_key")).distinct()
-    fresh = keyed.select("msg_key").distinct().join(known, "msg_key", "left_anti")
+    # read back, not made again: a fingerprint takes the whole of a message
+    fresh = written(keyed.select("msg_key").distinct().join(known, "msg_key", "left_anti"))
     n = fresh.count()
     if not n:
         return 0

@@ -344,11 +344,8 @@ cases as (select 'phish' as case_label, * from phish union all select 'ham', * f
 
 
 def _pools(spark, sf_dir):
-    # several passes follow: the scores are written once, without bodies. Cached ones would be made anew by each executor that
-    # is asked for them before it knows where they are
-    folder = runs.scratch(spark)
-    scored_labelled(spark, sf_dir).select("msg_key", "label", "score", "from", "from_domain", "auth", "brand_matched", "message_id", "subject").write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    # several passes follow: the scores are written once, without bodies
+    rows = runs.written(scored_labelled(spark, sf_dir).select("msg_key", "label", "score", "from", "from_domain", "auth", "brand_matched", "message_id", "subject"))
     inbox, junk = rows.where("label = 'ham'"), rows.where("label = 'spam'")
     addresses, domains = evaluate.known_good(inbox)
     return evaluate.looks_phishing(junk, addresses, domains), inbox.where(evaluate.authenticated())
@@ -529,8 +526,9 @@ def stored_runs(spark, sf_dir):
 
 @query(chain("select msg_key, score, greatest(0, least(100, coalesce(list_sum(list_transform(hits, lambda h: case h.id when 'upstreamSpamFlag' then 26 when 'brandMatched' then 0 else h.weight end)), 0)))::int as other_score, ids from scored"))
 def kept_scores(spark, sf_dir):
-    """R33, R34 from stored hits: half of the mail is stored first, then all of it, of which only the rest is read for features."""
-    mail, folder = messages(mail_view(spark, sf_dir)), runs.scratch(spark)
+    """R33, R34 from stored hits: half of the mail is stored first, then all of it, of which only the rest is read for features.
+    The mail is written first, as five passes over it follow, each of which would join the tables of the view again."""
+    mail, folder = runs.written(messages(mail_view(spark, sf_dir))), runs.scratch(spark)
     kept.update(mail.where("source_path in ('box0', 'box1')"), folder, SETTINGS)
     kept.update(mail, folder, SETTINGS)
     out = kept.scores(mail, folder, SETTINGS)

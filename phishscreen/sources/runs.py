@@ -28,6 +28,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{top or tempfile.mkdtemp(prefix='spark-scratch-')}{os.sep}{uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written once to a new folder and read from there, for several passes. Cached ones would be made anew by each
+    executor that is asked for them before it knows where they are."""
+    folder = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def store_run(run: DataFrame, table: str, buckets: int = BUCKETS, path: str | None = None) -> None:
     """K3: replaces the table by the last record of each message of the run that has a model's score. Empty runs make empty
     tables. path: where the table's files lie, if not in the warehouse."""

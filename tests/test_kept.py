@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from phishscreen.operators import evaluate
 from phishscreen.operators.rules import RULES
-from phishscreen.plans import kept
+from phishscreen.plans import kept, queries
 from phishscreen.plans.screen import scored
 from phishscreen.plans.settings import Settings
 from phishscreen.sources import runs
@@ -100,3 +100,19 @@ def test_stored_runs_of_other_buckets_and_empty_ones(spark, stored):
     a, b, none = stored(run, 4), stored(run, 3), stored(_run(spark, []))
     assert runs.compare_stored(spark, a, b).count() == 20
     assert runs.compare_stored(spark, a, none).count() == 0
+
+
+def test_mail_is_written_once_and_fingerprints_are_made_once(spark, sf_dir, monkeypatch):
+    plans, feature = [], kept.featured
+    monkeypatch.setattr(kept, "featured", lambda m, *a: plans.append(m) or feature(m, *a))
+    queries.QUERIES["kept_scores"](spark, sf_dir)
+    first, second = [m._jdf.queryExecution().optimizedPlan().toString() for m in plans]
+    assert not any(sf_dir in f for m in plans for f in m.inputFiles())
+    assert first.count("sha2(") == 1 and second.count("sha2(") == 1 and "Join LeftSemi" in second
+
+
+def test_rows_written_keep_their_schema(spark):
+    rows = _mail(spark, [_message("a"), (None, None, None, None, None, None, None, None, None, None)])
+    again = runs.written(rows)
+    assert again.schema == rows.schema and sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+    assert runs.written(_mail(spark, [])).schema == rows.schema
