@@ -46,7 +46,7 @@ RULES = (
     Rule("urgency", 10, "two or more phrases press for haste", lambda: F.size("urgency_hits") >= 2),
     Rule("punycodeLink", 10, "a link's domain is punycode", lambda: F.exists("link_domains", lambda d: d.contains("xn--"))),
     Rule("rawIpLink", 12, "a link's domain is a bare address", lambda: F.exists("link_domains", lambda d: d.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$"))),
-    Rule("noPlainText", 4, "HTML without any text", lambda: F.col("has_html") & (t.trim(F.col("body_text")) == "")),
+    Rule("noPlainText", 4, "HTML without any text", lambda: F.col("has_html") & t.is_blank(F.col("body_text"))),
     Rule("upstreamSpamFlag", 22, "an earlier filter called it spam", _flag("upstream_spam.flagged")),
     Rule("vowellessDomain", 18, "a label of the sending host has no vowel", _flag("vowelless_domain")),
     Rule("bidiObfuscation", 30, "direction controls in subject or name", _flag("bidi_obfuscation")),

@@ -20,6 +20,10 @@ CASES = [
     (lambda c: t.match_keyword(c, "line"), {"shop.online": False, "line news": True}),
     (lambda c: t.match_keyword(c, "e-tax"), {"e-tax還付": True, "e-taxes": False}),
     (t.strip_invisible, {"お​知‮ら": "お知ら", None: ""}),
+    (t.strip_invisible, {"plain": "plain", "": "", "\u00ad\u061c\u200b\u200f\u2060\u2066\u2069\ufeff": "", "\u00ae\u2010\u2029\u2065\u206a\ufefe\U0001f600é": "\u00ae\u2010\u2029\u2065\u206a\ufefe\U0001f600é"}),
+    (t.is_blank, {" \u3000\n\ufeff": True, "": True, "  a ": False, "\u200b": False, None: None}),
+    (lambda c: t.under_fixed(c, ["X.jp", "", "a-b.org"]), {"mail.x.JP": True, "x.jp": True, "notx.jp": False, "xxjp": False, "x.jp\n": False, "m.a-b.org": True, "": False, None: False}),
+    (lambda c: t.under_fixed(c, []), {"x.jp": False}),
     (t.has_bidi, {"a‮b": True, "a‎b": True, "ab": False, None: False}),
     (t.has_zero_width, {"a​b": True, "ab": False}),
     (t.html_to_text, {"<p>a&nbsp;&amp;lt;</p><script>x<b></script>b": "a &lt;\n b", "x&#65;&#12354;&#128512;&#99999999;y": "xAあ😀&#99999999;y", "a<br/>b\n\n\n\nc": "a\nb\n\nc", "　 t　": "t", None: "", "&#39;&quot;": "'\""}),
@@ -54,3 +58,17 @@ def test_links(spark):
     rows = spark.createDataFrame([('<a HREF = "http://a.b/x">x</a><a href=\'mailto:z\'>', "see https://c.d/e) and http://a.b/x")], "h string, p string")
     r = rows.select(t.links(F.col("h"), F.col("p")).alias("u")).first()
     assert r.u == ["http://a.b/x", "https://c.d/e"]
+
+
+def test_links_of_texts_with_and_without_urls(spark):
+    rows = spark.createDataFrame([(0, None, "HTTP://A.b/c HTTPS:// x"), (1, "<p>", "http:/a"), (2, None, None)], "i int, h string, p string")
+    assert [r.u for r in rows.select("i", t.links(F.col("h"), F.col("p")).alias("u")).orderBy("i").collect()] == [["HTTP://A.b/c"], [], []]
+
+
+def test_bodies_are_not_trimmed_or_searched_where_that_can_change_nothing(spark):
+    """Only what a body begins with tells whether it is blank; a text in ASCII has nothing invisible; one without :// has no url."""
+    from phishscreen.operators.features import extract_features
+    from phishscreen.sources.schemas import MESSAGES
+
+    plan = extract_features(spark.createDataFrame([], MESSAGES)).select("body_text", "urgency_hits", "links", "has_html")._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(body_" not in plan.replace("ltrim(", "") and "octet_length(body_text" in plan and "Contains(body_plain" in plan
